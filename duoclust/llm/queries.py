@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, token_counts, warc
+from . import exact_topk, ngram_join, token_counts, warc
 from .common import table
 
 
@@ -24,10 +24,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op8_warc": op8_warc,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {

@@ -16,12 +16,11 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     e, before = written(e, "links"), None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = large.join(low, "u")
-        e = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = written(e.distinct(), "small")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = written(small.distinct(), "links")
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if row[0] == 0 or tuple(row) == before:
             break

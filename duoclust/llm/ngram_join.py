@@ -213,7 +213,7 @@ def _links(pairs: DataFrame, named: DataFrame, docs: DataFrame, width: int, t: i
     members = members.select("grp", "member", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"))
     pivots = salts.select("grp", F.col("grp").alias("member"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     need = written(members.unionByName(pivots).join(named.select(F.col("sig").alias("member"), F.col("first").alias("doc_id")), "member"), "need")
-    texts = docs.join(need, "doc_id").select("grp", "salt", "member", "text")
+    texts = docs.join(need.hint("merge"), "doc_id").select("grp", "salt", "member", "text")
     dealt = texts.repartition(tasks_wanted(spark), "grp", "salt").sortWithinPartitions("grp", "salt", F.col("member") != F.col("grp"))
     return dealt.mapInArrow(_tested(width, t), "a long, b long")
 

@@ -1,6 +1,6 @@
 """Toxicity scores from misspelled lexicon terms in their contexts.
 
-The lexicon (words, and stems that take endings) is learned from labelled rows. Its terms form a trie; a
+The lexicon (words, and stems that take any ending) is learned from labelled rows. Its words form a trie; a
 Levenshtein automaton of each distinct word walks the trie, so one walk compares the word with all terms at once.
 Each hit is placed in its context: inside quotation marks or after a word that reports speech it counts as
 quoted, near a second-person word as addressed. A logistic model over such counts gives the score.
@@ -21,8 +21,8 @@ from .common import table
 
 #: Labelled rows that fit the lexicon and the model, at most; terms of the lexicon, at most.
 FIT_ROWS, TERMS = 40_000, 400
-#: Letters of a stem; documents and share of toxic ones that admit a term.
-STEM, SEEN, SHARE = 5, 8, 0.9
+#: Letters of a stem; documents and share of toxic ones that admit a term; shorter terms match without edits only.
+STEM, SEEN, SHARE, SHORT = 5, 5, 0.9, 5
 #: Words on either side of a hit that are its context.
 WINDOW = 6
 #: Fixed word lists: reported speech and the second person.
@@ -36,61 +36,68 @@ _PRIOR = np.array([1.5, 0.5, -1.0, 0.5, 1.0, 0.5])
 
 
 class Trie:
-    """Terms as nested dictionaries; "" marks the end of a term, "*" the end of a stem that takes any ending."""
+    """Terms as nested dictionaries, "" marking the end of a term with its length."""
 
-    def __init__(self, words, stems):
+    def __init__(self, words):
         self.root: dict = {}
-        for mark, terms in (("", words), ("*", stems)):
-            for term in terms:
-                node = self.root
-                for c in term:
-                    node = node.setdefault(c, {})
-                node[mark] = True
-
-    def nearest(self, word: str, most: int) -> int | None:
-        """The least edit distance (insertion, deletion, substitution) from the word to a term, or to a stem
-        followed by anything; None beyond `most`. A row of the automaton holds, for each prefix of the word,
-        its distance to the letters on the trie's path."""
-        best = most + 1
-        stack = [(self.root, tuple(range(len(word) + 1)))]
+        for term in words:
+            node = self.root
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = len(term)
+
+    def nearest(self, word: str) -> int | None:
+        """The least edit distance (insertion, deletion, substitution) from the word to a term: 0, 1 or None.
+
+        The automaton's state is two bit sets: bit i of r0 (r1) says that the path in the trie is the word's first
+        i letters with no (at most one) edit. Terms under SHORT letters match without edits only."""
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 1 << i
+        end, best = 1 << len(word), None
+        full = 2 * end - 1
+        stack = [(self.root, 1, 3 & full)]
         while stack:
-            node, row = stack.pop()
+            node, r0, r1 = stack.pop()
             if "" in node:
-                best = min(best, row[-1])
-            if "*" in node:
-                best = min(best, min(row))
+                if r0 & end:
+                    return 0
+                if r1 & end and node[""] >= SHORT:
+                    best = 1
             for c, child in node.items():
-                if len(c) != 1 or c == "*":
-                    continue
-                new = [row[0] + 1]
-                for j, w in enumerate(word, 1):
-                    new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (w != c)))
-                if min(new) < best:
-                    stack.append((child, tuple(new)))
-        return best if best <= most else None
-
-
-def _edits(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+                if c:
+                    m = masks.get(c, 0)
+                    s0 = (r0 & m) << 1
+                    s1 = ((r1 & m) << 1 | r0 | r0 << 1 | s0 << 1) & full
+                    if s1:
+                        stack.append((child, s0, s1))
+        return best
 
 
 class Scorer:
-    """Counts of one text. Distances of words that were met are kept, up to a bound."""
+    """Counts of one text. A word within one edit of a term shares its first or its second half, at the start or
+    the end; only words that share the outer letters of a half walk the trie. Distances found are kept, up to a bound."""
 
     def __init__(self, words, stems):
-        self.trie, self.known = Trie(words, stems), {}
+        self.trie, self.known = Trie(words), {}
+        self.whole, self.stems = frozenset(w for w in words if len(w) < SHORT), frozenset(stems)
+        long = [w for w in words if len(w) >= SHORT]
+        self.heads, self.tails = frozenset(w[:2] for w in long), frozenset(w[-3:] for w in long)
 
     def distance(self, word: str) -> int | None:
+        if word[:STEM] in self.stems:
+            return 0
         if word not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
-            self.known[word] = self.trie.nearest(word, _edits(word)) if len(word) <= 64 else self.trie.nearest(word[:64], 0)
+            self.known[word] = self.trie.nearest(word) if len(word) <= 64 else None
         return self.known[word]
 
     def features(self, text: str | None) -> list[float]:
         tokens = _WORD.findall((text or "").lower())
-        known = self.known
-        hits = {w for w in set(tokens) if (known[w] if w in known else self.distance(w)) is not None}
+        whole, stems, heads, tails = self.whole, self.stems, self.heads, self.tails
+        likely = [w for w in set(tokens) if w[:2] in heads or w[-3:] in tails or w[:STEM] in stems or w in whole]
+        hits = {w: d for w in likely if (d := self.distance(w)) is not None}
         if not hits:
             return [0.0] * len(_FEATURES)
         exact = near = quoted = addressed = 0
@@ -103,7 +110,7 @@ class Scorer:
                 closes = inside and i - last_open <= 40 and any(x in _QUOTES for x in tokens[i + 1 : i + 41])
                 if closes or not REPORTS.isdisjoint(tokens[max(0, i - 3) : i]):
                     quoted += 1
-                elif self.known[w] == 0:
+                elif hits[w] == 0:
                     exact += 1
                 else:
                     near += 1
@@ -120,14 +127,17 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, usable: Column, label: str,
 
 def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems that labelled rows mark as toxic: in SEEN documents at least and SHARE of them toxic. A
-    word that begins with a stem is covered by it. Both lists together hold TERMS at most, the most frequent."""
+    stem has no single word that makes up half of it, and covers all its words. Both lists together hold TERMS at most, the most frequent."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), 0))
     each = rows.select("label", F.explode(words).alias("w")).where(F.length("w").between(3, 64))
     counts = each.groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     fine = (F.col("toxic") >= SEEN) & (F.col("toxic") >= SHARE * F.col("docs"))
-    stems = each.where(F.length("w") >= STEM).select("label", F.substring("w", 1, STEM).alias("w")).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs")).where(fine)
+    stem = F.substring("w", 1, STEM)
+    alone = counts.where(F.length("w") >= STEM).groupBy(stem.alias("w")).agg(F.max("toxic").alias("one"))
+    stems = each.where(F.length("w") >= STEM).select("label", stem.alias("w")).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
+    stems = stems.where(fine).join(alone, "w").where(2 * F.col("one") < F.col("toxic"))
     stems = [r["w"] for r in stems.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()]
-    found = counts.where(fine & ~F.substring("w", 1, STEM).isin(stems)) if stems else counts.where(fine)
+    found = counts.where(fine & ~stem.isin(stems)) if stems else counts.where(fine)
     return [r["w"] for r in found.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()], stems
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, ngram_join, token_counts, toxicity, warc
+from . import exact_topk, html_extract, ngram_join, token_counts, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_html_extract": op9_html_extract,
     "op10_ngram_join": op10_ngram_join,
 }
 

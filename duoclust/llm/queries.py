@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_extract, ngram_join, token_counts, toxicity, warc
+from . import exact_topk, html_extract, license_scan, ngram_join, token_counts, toxicity, warc
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: a document stands at source/lang/doc_id."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), path.alias("path"), "text")
+    return license_scan.licences(files).withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -39,6 +46,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_exact_topk": op3_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op7_toxicity": op7_toxicity,

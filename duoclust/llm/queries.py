@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, html_extract, license_scan, ngram_join, token_counts, toxicity, warc
+from . import decontaminate, exact_topk, html_extract, license_scan, ngram_join, token_counts, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licences(files).withColumnRenamed("id", "doc_id")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = exact_topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return exact_topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -47,6 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontaminate": op2_decontaminate,
     "op3_exact_topk": op3_exact_topk,
     "op4_token_counts": op4_token_counts,
     "op7_toxicity": op7_toxicity,

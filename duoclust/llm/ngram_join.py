@@ -9,9 +9,9 @@ pair meets in the region of its first common one. Rare shingles come first (by a
 the whole corpus), which keeps the regions of frequent passages for documents that hold little else.
 
 Inside a region the sizes and positions prune. Small regions test every pair that is left. A larger one is joined
-recursively: its pivot documents are tested against all members, members within the radius join the pivot's
-component, and only pairs of different components are left for the next level, which tests them all. Every test
-counts whole sets. Sets with the same elements are one vertex, known by a 64-bit signature.
+recursively: on each level some pivot documents are tested against all members, members within the radius join the
+pivot's component, and only pairs of different components are left for the next level; the last tests them all.
+Every test counts whole sets. Sets with the same elements are one vertex, known by a 64-bit signature.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_steps, mix, shingles_of, tasks_wanted, text_bytes, words_of, written
@@ -30,6 +30,8 @@ from .components import components
 #: Counters of the frequency sketch and of one of its blocks; members up to which a region tests all pairs;
 #: members of one pivot that are tested in a task.
 SKETCH_BITS, BLOCK_BITS, SMALL, TESTED = 22, 16, 24, 256
+#: Levels of recursion on pivots of larger regions, and pivots of a region on each.
+LEVELS, PIVOTS = 2, 64
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -118,8 +120,9 @@ _PAIR = ["key", "a", "na", "pa", "b", "nb", "pb"]
 
 
 def _regions(t: int):
-    """Rows sorted by key and signature -> candidate pairs (b not null) and members of larger regions (b null).
-    A region is read as a stream; no more than SMALL of its members are held."""
+    """Rows sorted by key, position and signature, so that the members with the fewest rarer shingles are the pivots
+    -> candidate pairs (b not null) and members of larger regions (b null). A region is read as a stream; no more
+    than SMALL of its members are held."""
 
     def passes(x, y) -> np.ndarray:
         (na, pa_), (nb, pb) = x, y
@@ -239,22 +242,31 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     tuples = d.mapInArrow(_prefixes(width, percent, ranks), "key long, sig long, n int, pos int")
     dealt = tuples.repartition(2 * tasks_wanted(spark), "key").sortWithinPartitions("key", "sig")
     met = written(dealt.mapInArrow(_regions(percent), ", ".join(f"{c} long" for c in _PAIR)), "regions")
-    pairs = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = written(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = written(_links(pairs, named, d, width, percent), "links")
     joined = written(components(links), "components")
 
-    # the next level: regions with members of more than one component
+    # the next levels: regions with members of more than one component
     member = met.where("b is null").select("key", F.col("a").alias("sig"), F.col("na").alias("n"), F.col("pa").alias("pos"))
-    member = member.join(joined, member["sig"] == joined["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
-    member = written(member, "members")
-    open_ = written(member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
-    member = written(member.join(open_, "key"), "left-open")
-    x, y = (member.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
-    need = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent) - F.lit(1e-9))
-    near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
-    more = x.join(y, "key").where((F.col("xsig") < F.col("ysig")) & (F.col("xc") != F.col("yc")) & near).select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
+    for level in range(LEVELS + 1):
+        placed = member.join(joined, member["sig"] == joined["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
+        placed = written(placed, "members")
+        open_ = written(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
+        placed = written(placed.join(open_, "key"), "left-open")
+        member = placed.select("key", "sig", "n", "pos")
+        x, y = (placed.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
+        if level < LEVELS:  # some pivots against all members; the last level tests every pair that is left
+            x = x.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("xsig", F.lit(level)), "xsig"))).where(F.col("turn") <= PIVOTS)
+        need = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent) - F.lit(1e-9))
+        near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
+        order = F.lit(True) if level < LEVELS else F.col("xsig") < F.col("ysig")
+        more = x.join(y, "key").where(order & (F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if more.isEmpty():
+            if level == LEVELS or open_.isEmpty():
+                break
+            continue
+        pairs = pairs.unionByName(more)
         links = written(links.unionByName(_links(more, named, d, width, percent)), "links")
         joined = written(components(links), "components")
 

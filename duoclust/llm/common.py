@@ -32,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans that are gone
     return spark.read.parquet(path)
 
 

@@ -163,29 +163,30 @@ def _removed(length: int):
                 yield sig, start + a, start + b - 1 + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, held, group, size, out = None, set(), [], [], 0, []
+        last, before, seen, held, group, size, out = None, None, set(), [], [], 0, []
         for batch in batches:
             for h, sig, start, n, piece in zip(*(batch.column(c).to_pylist() for c in ("hash", "sig", "start", "n", "piece")), strict=True):
                 if h != last:
-                    if len(group) > 1:  # one distinct piece may still hold a string twice
-                        held += group
-                    elif group and group[0][2] > 1:
+                    if len(group) > 1:  # strings with one anchor, at different places of one piece, differ
                         held += group
+                        size += sum(len(x[3]) for x in group)
                     if size > SHARD_BYTES:
                         out += settle(held)
                         held, size = [], 0
-                    last, group = h, []
+                    last, group, before = h, [], None
                     seen = set()
+                if (sig, start) == before:  # a row of docs that is there twice
+                    continue
+                before = (sig, start)
                 if piece in seen:
                     out.append((sig, start, start + n - 1 + length))
                 else:
                     seen.add(piece)
                     group.append((sig, start, n, piece))
-                    size += len(piece)
             if out:
                 yield _span_rows(out)
                 out = []
-        held += group
+        held += group if len(group) > 1 else []
         if held:
             out = list(settle(held))
             if out:
@@ -239,13 +240,13 @@ def repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> Data
     # each text that has such anchors, once, under its first document
     known = spots.join(first, F.col("sig") == F.col("of")).select("sig", "first_doc", "spots")
     texts = d.select("doc_id", F.col("sig").alias("of"), "text").join(known.hint("merge"), (F.col("of") == F.col("sig")) & (F.col("doc_id") == F.col("first_doc")))
-    texts = written(texts.dropDuplicates(["sig"]).select("doc_id", "sig", "text", "spots"), "texts")
+    texts = written(texts.select("doc_id", "sig", "text", "spots"), "texts")
     segments = texts.mapInArrow(_segments(length), "hash long, doc_id long, sig long, start long, n int, piece binary")
     dealt = segments.repartition(2 * tasks_wanted(spark), "hash").sortWithinPartitions("hash", "doc_id", "sig", "start")
     spans = dealt.mapInArrow(_removed(length), "sig long, first long, end long")
     spans = written(spans.groupBy("sig").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
     cut = texts.select("sig", "text").join(spans, "sig").mapInArrow(_cut, "of long, removed long, spans long, sha string, left string")
-    cut = written(cut if with_text else cut.drop("left"), "cut")
+    cut = written((cut if with_text else cut.drop("left")).dropDuplicates(["of"]), "cut")
 
     place = first.join(cut.withColumnRenamed("sha", "cut_sha"), "of", "left")
     place = written(place, "place").withColumnRenamed("of", "sig")

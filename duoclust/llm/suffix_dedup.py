@@ -223,8 +223,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text also `kept`, the
-    text that is left (bytes of a character of which only some stay are dropped from it, not from the digest) and
-    `row`, which tells rows of docs with equal ids apart. Earlier means a smaller doc_id, in one document an earlier
+    text that is left if anything went (bytes of a character of which only some stay are dropped from it, not from
+    the digest), and `sig`, a hash of the text. Earlier means a smaller doc_id, in one document an earlier
     start; rows with one doc_id are ordered by a hash of their text, equal rows by place. A null text counts as
     empty; texts of fewer bytes than `length` stay whole; an empty table gives none."""
     spark = docs.sparkSession
@@ -258,5 +258,21 @@ def repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> Data
         F.when(copy, none).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     ]
     if with_text:
-        columns += [F.when(copy, F.lit("")).otherwise(F.col("left")).alias("kept"), "row"]
+        columns += [F.when(copy, F.lit("")).otherwise(F.col("left")).alias("kept"), "sig"]
     return out.select(*columns)
+
+
+def clean(docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs with repeated strings cut from their texts and n_chars counted again; a document of which nothing but
+    white space is left goes. Documents without repeats are as they were; rows that are equal in doc_id and text
+    stay or go together, with the text of the first. Other columns stay as they are."""
+    changed = repeats(docs, length, with_text=True).where("n_removed > 0")
+    changed = changed.groupBy(F.col("doc_id").alias("of_id"), F.col("sig").alias("of_sig")).agg(F.max("kept").alias("cut_text"))
+    changed = written(changed, "changed")
+    d = docs.withColumn("text_sig", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    both = d.join(changed, (F.col("text_sig") == F.col("of_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")), "left")
+    both = both.where(F.col("cut_text").isNull() | (F.trim("cut_text") != ""))
+    both = both.withColumn("text", F.coalesce("cut_text", "text"))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text").cast("long")))
+    return both.select(*docs.columns)

@@ -192,6 +192,8 @@ def _tested(width: int, t: int):
             a, b = [], []
             rows = zip(part.column("grp").to_pylist(), part.column("member").to_pylist(), part.column("salt").to_pylist(), _sets(part.column("text"), width), strict=True)
             for grp, member, salt, s in rows:
+                if _signature(s) != member:  # another text under the same doc_id
+                    continue
                 if (grp, salt) != group:
                     group, pivot = (grp, salt), s
                 elif member != grp:
@@ -207,17 +209,17 @@ def _tested(width: int, t: int):
     return run
 
 
-def _links(pairs: DataFrame, named: DataFrame, docs: DataFrame, width: int, t: int) -> DataFrame:
-    """Which pairs (a, b) of signatures have a Jaccard of t percent or more, by their whole sets."""
+def _links(pairs: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
+    """Which pairs (a, b) of signatures have a Jaccard of t percent or more, by the whole sets of their texts."""
     spark = pairs.sparkSession
     sizes = pairs.groupBy("a").count()
     salts = written(sizes.select(F.col("a").alias("grp"), F.ceil(F.col("count") / TESTED).cast("int").alias("salts")), "salts")
     members = pairs.select(F.col("a").alias("grp"), F.col("b").alias("member")).join(salts, "grp")
     members = members.select("grp", "member", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"))
     pivots = salts.select("grp", F.col("grp").alias("member"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    need = written(members.unionByName(pivots).join(named.select(F.col("sig").alias("member"), F.col("first").alias("doc_id")), "member"), "need")
-    texts = docs.join(need.hint("merge"), "doc_id").select("grp", "salt", "member", "text")
-    dealt = texts.repartition(tasks_wanted(spark), "grp", "salt").sortWithinPartitions("grp", "salt", F.col("member") != F.col("grp"))
+    need = written(members.unionByName(pivots), "need")
+    each = need.join(texts, need["member"] == texts["sig"]).select("grp", "salt", "member", "text")
+    dealt = each.repartition(tasks_wanted(spark), "grp", "salt").sortWithinPartitions("grp", "salt", F.col("member") != F.col("grp"))
     return dealt.mapInArrow(_tested(width, t), "a long, b long")
 
 
@@ -243,7 +245,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     dealt = tuples.repartition(2 * tasks_wanted(spark), "key").sortWithinPartitions("key", "sig")
     met = written(dealt.mapInArrow(_regions(percent), ", ".join(f"{c} long" for c in _PAIR)), "regions")
     pairs = written(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = written(_links(pairs, named, d, width, percent), "links")
+    # the texts of all sets that any level can test, read once
+    tested = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(met.where("b is null").select("a")).distinct()
+    tested = written(tested.join(named, "sig").select("sig", F.col("first").alias("of_doc")), "tested")
+    texts = d.join(tested.hint("merge"), F.col("doc_id") == F.col("of_doc")).select("sig", "text")
+    texts = written(texts, "texts")
+    links = written(_links(pairs, texts, width, percent), "links")
     joined = written(components(links), "components")
 
     # the next levels: regions with members of more than one component
@@ -267,7 +274,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 break
             continue
         pairs = pairs.unionByName(more)
-        links = written(links.unionByName(_links(more, named, d, width, percent)), "links")
+        links = written(links.unionByName(_links(more, texts, width, percent)), "links")
         joined = written(components(links), "components")
 
     at = named.join(joined, named["sig"] == joined["node"], "left").select("sig", "first", F.coalesce("component", "sig").alias("c"))

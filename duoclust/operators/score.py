@@ -17,6 +17,13 @@ EPS = 1e-10
 LN2 = 0.6931471805599453
 
 
+def checked(matrix: DataFrame, model: str = "") -> DataFrame:
+    """The matrix; reading it fails if a value is missing, not finite or negative, or over 1 for bernoulli."""
+    v = F.col("value").cast("double")
+    wrong = v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf")) | ((v > 1) if model and score_model(model) == "bernoulli" else F.lit(False))
+    return matrix.withColumn("value", F.when(wrong, F.raise_error(F.lit("a value of the matrix is out of range")).cast("double")).otherwise(v))
+
+
 def _weights(c: int) -> Column:
     return F.col("m") if c else 1 - F.col("m")
 

@@ -5,6 +5,492 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import evaluate, inference, score, text
+from . import benchmarks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Columns of the sparse matrix that the score queries use; replicates of the resampling queries.
+COLUMNS, REPLICATES = 60, 8
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- text
+
+_DOCS = """
+docs AS (
+  SELECT conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS seq, count(*) OVER (PARTITION BY conv_id) AS n_docs,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda t: lower(t)) AS toks,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS raw
+  FROM conversations),
+axis AS (SELECT key, seq, n_docs, unnest(generate_subscripts(toks, 1)) AS pos, unnest(toks) AS tok, unnest(raw) AS rawtok FROM docs)"""
+
+
+def _occurrences_sql(n: int, w: int) -> str:
+    gram = " || ' ' || ".join(["tok", *(f"lead(tok, {k}) OVER l" for k in range(1, n))])
+    other = " || ' ' || ".join(["rawtok", *(f"lead(rawtok, {k}) OVER l" for k in range(1, n))])
+    return f"""{_DOCS},
+occ AS (
+  SELECT key, n_docs, seq AS ds, lead(seq, {n - 1}) OVER l AS de, row_number() OVER l AS place, {gram} AS feature, {other} AS other
+  FROM axis WINDOW l AS (PARTITION BY key ORDER BY seq, pos)),
+found AS (
+  SELECT * FROM (SELECT *, greatest(0, de - {w} + 1) AS lo, least(n_docs - 1, ds + {w}) AS hi FROM occ WHERE feature IS NOT NULL AND de <= n_docs - 2)
+  WHERE hi >= lo),
+counts AS (SELECT feature, CAST(sum(hi - lo + 1) AS BIGINT) AS cnt, min(struct_pack(k := key, l := lo, p := place)) AS first FROM found GROUP BY feature),
+ranks AS (SELECT *, CAST(row_number() OVER (ORDER BY cnt DESC, first) AS INTEGER) AS rank FROM counts)"""
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = scalar.tokens("text")
+    return text.sequences(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], toks=F.transform(raw, F.lower), raw=raw)
+
+
+@query(f"WITH {_occurrences_sql(2, 2)} SELECT feature, cnt, rank FROM ranks WHERE rank <= 100")
+def windowed_ngram_top(spark, sf_dir):
+    """The 100 most frequent bigrams over windows of two documents to either side."""
+    counts = text.feature_counts(text.occurrences(_conversations(spark, sf_dir), 2, 2))
+    return text.ranked(counts, 100).select(scalar.display("feature").alias("feature"), "cnt", "rank")
+
+
+def _ngram_query(name: str, n: int, source: str) -> None:
+    gram = " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n))
+
+    def run(spark, sf_dir):
+        grams = table(spark, sf_dir, source).select(F.explode(scalar.ngrams(F.transform(scalar.tokens("text"), F.lower), n)).alias("g"))
+        return grams.groupBy(scalar.display("g").alias("ngram")).agg(F.count("*").alias("cnt"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"""
+        WITH d AS (SELECT list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda t: lower(t)) AS t FROM {source}),
+        g AS (SELECT t, unnest(range(1, len(t) - {n} + 2)) AS i FROM d WHERE len(t) >= {n})
+        SELECT {gram} AS ngram, count(*) AS cnt FROM g GROUP BY 1"""
+
+
+for _n, _source in ((1, "documents"), (2, "conversations"), (3, "conversations")):
+    _ngram_query(f"ngrams_n{_n}", _n, _source)
+
+
+@query(f"""WITH {_DOCS} SELECT d.key, d.seq, CAST(coalesce(sum(len(e.toks)), 0) AS BIGINT) AS n_tokens, md5(coalesce(string_agg(array_to_string(e.toks, ' '), ' ' ORDER BY e.seq) FILTER (len(e.toks) > 0), '')) AS tokens_md5
+    FROM docs d LEFT JOIN docs e ON e.key = d.key AND e.seq BETWEEN greatest(0, d.seq - 3) AND least(d.seq + 2, d.n_docs - 2) GROUP BY d.key, d.seq""")
+def running_window_tokens(spark, sf_dir):
+    windows = text.running_windows(_conversations(spark, sf_dir), 3)
+    return windows.select("key", "seq", F.size("toks").cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", "toks").cast("binary")).alias("tokens_md5"))
+
+
+@query(f"WITH {_occurrences_sql(3, 3)} SELECT feature, cnt FROM counts")
+def windowed_ngram_counts(spark, sf_dir):
+    return text.feature_counts(text.occurrences(_conversations(spark, sf_dir), 3, 3)).select(scalar.display("feature").alias("feature"), "cnt")
+
+
+@query(f"""WITH {_occurrences_sql(1, 4)}, c AS (SELECT key, feature, CAST(sum(hi - lo + 1) AS BIGINT) AS cnt, min(struct_pack(l := lo, p := place)) AS first FROM found GROUP BY key, feature),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY cnt DESC, first) AS INTEGER) AS rank FROM c) SELECT key, feature, cnt, rank FROM r WHERE rank <= 10""")
+def feature_ranking(spark, sf_dir):
+    """The ten first features of each conversation, ties by first appearance."""
+    counts = text.feature_counts(text.occurrences(_conversations(spark, sf_dir), 1, 4), by_key=True)
+    return text.ranked(counts, 10, by_key=True).select("key", scalar.display("feature").alias("feature"), "cnt", "rank")
+
+
+_MATRIX_12 = f"""{_occurrences_sql(1, 2)}, matrix AS (
+  SELECT key, row, rank AS feature_id, count(*) AS value FROM (SELECT f.key, r.rank, unnest(range(CAST(f.lo AS BIGINT), CAST(f.hi AS BIGINT) + 1)) AS row FROM found f JOIN ranks r USING (feature) WHERE r.rank <= 50) GROUP BY ALL)"""
+
+
+def _window_matrix(spark, sf_dir):
+    docs = _conversations(spark, sf_dir)
+    found = text.occurrences(docs, 1, 2)
+    return docs, text.count_matrix(found, text.ranked(text.feature_counts(found), 50))
+
+
+@query(f"WITH {_MATRIX_12} SELECT key, row, feature_id, value FROM matrix")
+def count_matrix(spark, sf_dir):
+    return _window_matrix(spark, sf_dir)[1]
+
+
+@query(f"WITH {_MATRIX_12} SELECT key, row, feature_id, CAST(1 AS DOUBLE) AS value FROM matrix")
+def binary_matrix(spark, sf_dir):
+    return text.binary(_window_matrix(spark, sf_dir)[1])
+
+
+@query(f"WITH {_MATRIX_12} SELECT d.key, d.seq AS row FROM docs d ANTI JOIN matrix m ON d.key = m.key AND d.seq = m.row")
+def dropped_rows(spark, sf_dir):
+    return text.dropped_rows(*_window_matrix(spark, sf_dir))
+
+
+_REAL = f"""{_occurrences_sql(2, 2)}, real AS (SELECT feature, other, CAST(sum(hi - lo + 1) AS BIGINT) AS cnt, min(struct_pack(k := key, l := lo, p := place)) AS first FROM found GROUP BY feature, other)"""
+
+
+@query(f"WITH {_REAL} SELECT feature, other, cnt, CAST(sum(cnt) OVER (PARTITION BY feature) AS BIGINT) AS total FROM real")
+def surface_realizations(spark, sf_dir):
+    """Lower-case bigrams and the forms in which they appear."""
+    found = text.occurrences(_conversations(spark, sf_dir), 2, 2, more="raw")
+    return text.surface_realizations(found).select(scalar.display("feature").alias("feature"), scalar.display("other").alias("other"), "cnt", "total")
+
+
+@query(f"WITH {_REAL}, r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, first) AS k FROM real) SELECT feature, other, cnt FROM r WHERE k = 1")
+def top_realization(spark, sf_dir):
+    found = text.occurrences(_conversations(spark, sf_dir), 2, 2, more="raw")
+    return text.top_realization(text.surface_realizations(found)).select(scalar.display("feature").alias("feature"), scalar.display("other").alias("other"), "cnt")
+
+
+@query(f"WITH {_DOCS} SELECT count(*) AS misaligned FROM docs WHERE len(toks) <> len(raw)")
+def alignment(spark, sf_dir):
+    return text.misaligned(_conversations(spark, sf_dir), "toks", "raw").agg(F.count("*").alias("misaligned"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_MCC = """
+a AS (SELECT sum(x * x) AS aa FROM (SELECT CAST(sum(n) AS DOUBLE) AS x FROM con GROUP BY t)),
+b AS (SELECT sum(x * x) AS bb FROM (SELECT CAST(sum(n) AS DOUBLE) AS x FROM con GROUP BY p)),
+ab AS (SELECT sum(l.x * r.x) AS ab FROM (SELECT t AS k, CAST(sum(n) AS DOUBLE) AS x FROM con GROUP BY t) l JOIN (SELECT p AS k, CAST(sum(n) AS DOUBLE) AS x FROM con GROUP BY p) r USING (k)),
+sc AS (SELECT CAST(sum(n) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (t = p), 0) AS DOUBLE) AS c FROM con)
+SELECT round(CASE WHEN (s * s - bb) * (s * s - aa) > 0 THEN 50 + 50 * abs((c * s - coalesce(ab, 0)) / sqrt((s * s - bb) * (s * s - aa))) ELSE 50.0 END, 6) AS mcc FROM a, b, ab, sc"""
+
+
+def _rounded(df: DataFrame, *columns: str, to: int = 6) -> DataFrame:
+    """Other engines sum in another order; and no zero has a sign."""
+    return df.withColumns({c: F.round(F.col(c), to) + 0.0 for c in columns})
+
+
+@query(f"WITH con AS (SELECT quality AS t, toxic AS p, count(*) AS n FROM labels GROUP BY ALL), {_MCC}")
+def mcc_binary(spark, sf_dir):
+    return _rounded(evaluate.mcc(evaluate.contingency(table(spark, sf_dir, "labels"), "quality", "toxic")), "mcc")
+
+
+@query(f"WITH con AS (SELECT role AS t, CASE WHEN turn % 3 = 0 THEN 'system' WHEN turn % 3 = 1 THEN 'user' ELSE 'assistant' END AS p, count(*) AS n FROM conversations GROUP BY ALL), {_MCC}")
+def mcc_multiclass(spark, sf_dir):
+    guess = F.when(F.col("turn") % 3 == 0, "system").when(F.col("turn") % 3 == 1, "user").otherwise("assistant")
+    return _rounded(evaluate.mcc(evaluate.contingency(table(spark, sf_dir, "conversations").withColumn("guess", guess), "role", "guess")), "mcc")
+
+
+@query("SELECT event_type, CAST(user_id % 7 AS BIGINT) AS panel, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS count FROM events WHERE NOT isnan(value) GROUP BY ALL")
+def summary_mean_std_count(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("panel", F.col("user_id") % 7)
+    return _rounded(evaluate.summary(events, ["event_type", "panel"], "value"), "mean", "std").where("count > 0")
+
+
+@query("""WITH s AS (SELECT l_returnflag, CAST(floor(l_discount * 100) AS INTEGER) AS level, avg(l_quantity) AS mean, count(*) AS count FROM lineitem GROUP BY ALL),
+    levels AS (SELECT f.l_returnflag, CAST(g.level AS INTEGER) AS level FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN range(0, 16) g(level))
+    SELECT l_returnflag, level, round(mean, 6) AS mean, coalesce(count, 0) AS count FROM levels LEFT JOIN s USING (l_returnflag, level)""")
+def reindexed_curve(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").withColumn("level", F.floor(F.col("l_discount") * 100).cast("int"))
+    levels = evaluate.grid(line.select("l_returnflag").distinct(), spark.range(16).select(F.col("id").cast("int").alias("level")))
+    return _rounded(evaluate.curve(line.groupBy("l_returnflag", "level").agg(F.avg("l_quantity").alias("mean"), F.count("*").alias("count")), levels, ["l_returnflag", "level"]).na.fill(0, ["count"]), "mean")
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"count(*) FILTER (s BETWEEN {a} AND {b}) AS n_{a}_{b}" for a, b in evaluate.INTERVALS) + " FROM (SELECT l_returnflag, 50 + l_quantity + l_tax * 5 AS s FROM lineitem) GROUP BY 1")
+def interval_histogram(spark, sf_dir):
+    return evaluate.interval_histogram(table(spark, sf_dir, "lineitem").withColumn("s", 50 + F.col("l_quantity") + F.col("l_tax") * 5), "s", ["l_returnflag"])
+
+
+@query("""WITH m AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), n AS (SELECT o_orderstatus, count(*) AS size FROM orders GROUP BY 1),
+    b AS (SELECT o_orderstatus, CAST(least(floor((o_totalprice - lo) / (hi - lo) * 24), 23) AS INTEGER) AS bin, count(*) AS n FROM orders, m GROUP BY ALL)
+    SELECT b.o_orderstatus, bin, b.n, round(b.n / size, 9) AS share FROM b JOIN n USING (o_orderstatus)""")
+def equal_width_histogram(spark, sf_dir):
+    return _rounded(evaluate.equal_width_histogram(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus"), "share", to=9)
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def keep_last_dedupe(spark, sf_dir):
+    return evaluate.keep_last(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def resume_anti_join(spark, sf_dir):
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return evaluate.missing(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
+
+
+@query("SELECT n.n_nationkey AS c_nationkey, s.c_mktsegment FROM nation n CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 9000)")
+def missing_conditions(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    expected = evaluate.grid(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey")), customer.select("c_mktsegment").distinct())
+    return evaluate.missing(expected, customer.where("c_acctbal > 9000"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT CAST(n AS INTEGER) AS n, CAST(w AS INTEGER) AS w, coalesce(CAST(f AS VARCHAR), 'all') AS f, 'n-' || n || '_l-' || w || '_f-' || coalesce(CAST(f AS VARCHAR), 'all') AS combination FROM (SELECT unnest([1, 2, 3, 4, 5]) AS n), (SELECT unnest([2, 3, 4, 6, 8, 10, 12, 14, 18, 22, 24, 26, 28]) AS w), (SELECT unnest([100, 300, 500, NULL]) AS f)")
+def grid_cross_join(spark, sf_dir):
+    frames = [spark.createDataFrame([(v,) for v in values], f"{name} int") for name, values in (("n", benchmarks.NGRAMS), ("w", benchmarks.WINDOWS), ("f", benchmarks.FEATURES))]
+    combined = evaluate.grid(*frames).withColumn("combination", scalar.result_key("n", "w", "f"))
+    return combined.withColumn("f", F.coalesce(F.col("f").cast("string"), F.lit("all")))
+
+
+@query("SELECT p_partkey, method, CAST(mcc AS DOUBLE) AS mcc FROM (UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) ON size, price INTO NAME method VALUE mcc)")
+def unpivot_scores(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return evaluate.unpivot_scores(part, ["p_partkey"], ["size", "price"])
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) WHERE k <= 20")
+def topk_combinations(spark, sf_dir):
+    return evaluate.top_combinations(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", ["p_partkey"]).select("p_brand", "p_partkey", "p_retailprice", "rank")
+
+
+@query("""WITH e AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders GROUP BY 1), o AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 500 <> 1 GROUP BY 1)
+    SELECT count(*) AS rows, count(*) FILTER (e.o_custkey IS NULL OR o.o_custkey IS NULL) AS unmatched, round(max(abs(e.v - o.v)), 2) AS max_v,
+           bool_and(coalesce(abs(e.v - o.v) <= 1e-2 + 1e-9 * abs(e.v), FALSE)) AS passed FROM e FULL JOIN o USING (o_custkey)""")
+def tolerance_compare(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    sums = lambda d: d.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
+    return _rounded(evaluate.compare(sums(orders), sums(orders.where("o_orderkey % 500 <> 1")), ["o_custkey"], ["v"], atol=1e-2), "max_v", to=2)
+
+
+@query("SELECT lang, round(avg(quality), 6) AS share_quality, round(avg(toxic), 6) AS share_toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def label_shares(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return _rounded(evaluate.label_shares(rows, "lang", ["quality", "toxic"]), "share_quality", "share_toxic")
+
+
+@query("SELECT toxic AS label, count(*) AS n, (SELECT min(c) < 0.02 * sum(c) FROM (SELECT count(*) AS c FROM labels GROUP BY toxic)) AS collapsed FROM labels GROUP BY toxic")
+def cluster_sizes(spark, sf_dir):
+    return evaluate.cluster_sizes(table(spark, sf_dir, "labels").select(F.col("toxic").alias("label")), "label")
+
+
+@query("""WITH v AS (SELECT p_partkey, [p_size % 2, CAST(floor(p_retailprice) AS INTEGER) % 2, length(p_type) % 2] AS bits FROM part),
+    d AS (SELECT bits, row_number() OVER (ORDER BY bits) - 1 AS cluster FROM (SELECT bits FROM v GROUP BY bits HAVING count(*) >= 5))
+    SELECT p_partkey, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM v LEFT JOIN d USING (bits)""")
+def dbscan_duplicates(spark, sf_dir):
+    bits = F.array(F.col("p_size") % 2, F.floor("p_retailprice").cast("int") % 2, F.length("p_type") % 2)
+    return evaluate.duplicate_clusters(table(spark, sf_dir, "part").select("p_partkey", bits.alias("bits")), "bits").select("p_partkey", F.col("cluster").cast("int").alias("cluster"))
+
+
+@query("SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, count(*) FILTER (w >= 0.5) AS by_threshold, count(*) FILTER (round_even(w, 0) = 1) AS by_half_even FROM (SELECT l_linenumber, l_tax * 12.5 AS w FROM lineitem) GROUP BY 1")
+def label_rounding(spark, sf_dir):
+    w = table(spark, sf_dir, "lineitem").withColumn("w", F.col("l_tax") * 12.5)
+    return w.groupBy(F.col("l_linenumber").cast("int").alias("l_linenumber")).agg(F.sum(scalar.threshold_label("w")).alias("by_threshold"), F.count(F.when(scalar.half_even_label("w") == 1, 1)).alias("by_half_even"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings WHERE len(embedding) > 0")
+def l2_norms(spark, sf_dir):
+    return _rounded(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", scalar.l2_norm("embedding").alias("norm")), "norm")
+
+
+@query("SELECT item_id, reverse(text) AS mirrored FROM benchmark")
+def mirrored_text(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", scalar.mirrored("text").alias("mirrored"))
+
+
+# ---------------------------------------------------------------- scores
+
+_MATRIX = f"""
+tok AS (SELECT conv_id * 100000 + turn AS row, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda t: lower(t))) AS feature FROM conversations),
+chosen AS (SELECT feature FROM tok GROUP BY feature ORDER BY count(*) DESC, feature LIMIT {COLUMNS}),
+x AS (SELECT row, feature, CAST(count(*) AS DOUBLE) AS value FROM tok JOIN chosen USING (feature) GROUP BY ALL),
+r AS (SELECT row, sum(value) AS r FROM x GROUP BY row),
+mem AS (SELECT row, CASE WHEN row_number() OVER (ORDER BY r, row) - 1 >= (SELECT count(*) FROM r) // 2 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS m FROM r),
+lab AS (SELECT row, CAST(m > 0.5 AS INTEGER) AS label FROM mem)"""
+
+
+def _matrix(spark, sf_dir, model: str = ""):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("row"), F.explode(F.transform(scalar.tokens("text"), F.lower)).alias("feature"))
+    chosen = rows.groupBy("feature").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "feature").limit(COLUMNS).select("feature")
+    x = rows.join(F.broadcast(chosen), "feature").groupBy("row", "feature").agg(F.count("*").cast("double").alias("value"))  # COLUMNS rows
+    x = score.checked(text.binary(x) if model == "bernoulli" else x, model)
+    members = score.median_split(score.row_totals(x), "total")
+    return x, members, members.select("row", scalar.threshold_label("m").alias("label"))
+
+
+def _loss_sql(model: str, what: str) -> str:
+    bern, multi = model == "bernoulli", model == "multinomial"
+    parts = []
+    for c, w in ((0, "(1 - m)"), (1, "m")):
+        size = f"(SELECT sum({w}) FROM mem)" if bern else f"(SELECT sum({w} * value) FROM x JOIN mem USING (row))"
+        lq = "0.0" if multi else "ln(1 - p + 1e-10)"
+        parts.append(f"""
+f{c} AS (SELECT feature, f, z, p, ln(p + 1e-10) AS lp, {lq} AS lq, f / (p + 1e-10) - {"0" if multi else "(z - f) / (1 - p + 1e-10)"} AS d
+  FROM (SELECT feature, f, z, f / z AS p FROM (SELECT feature, sum({w} * value) AS f, {size} AS z FROM x JOIN mem USING (row) GROUP BY feature))),
+t{c} AS (SELECT sum(f * lp + {"0" if multi else "(z - f) * lq"}) AS score, sum(lq) AS slq, sum(p * d) AS pd, max(z) AS z FROM f{c}),
+g{c} AS (SELECT row, sum(value * ({"lp" if multi else "lp - lq"})) AS v, sum(value * d) AS vd FROM x JOIN f{c} USING (feature) GROUP BY row)""")
+    scale = "ln(2)" if bern else "1.0"
+    matrix = _MATRIX.replace("CAST(count(*) AS DOUBLE) AS value", "CAST(1 AS DOUBLE) AS value") if bern else _MATRIX
+    head = f"WITH {matrix}, {', '.join(parts)}"
+    if what == "loss":
+        return f"{head} SELECT round(-(t0.score + t1.score) / {scale}, 4) AS loss FROM t0, t1"
+    own = "1.0" if bern else "r"
+    g = [f"(g{c}.v + {own if not multi else '0'} * t{c}.slq + (g{c}.vd - {own} * t{c}.pd) / t{c}.z) / {scale}" for c in (0, 1)]
+    return f"{head} SELECT r.row, round({g[0]} - ({g[1]}), 5) AS g FROM r JOIN g0 USING (row) JOIN g1 USING (row), t0, t1"
+
+
+def _score_queries(model: str) -> None:
+    def loss(spark, sf_dir):
+        x, members, _ = _matrix(spark, sf_dir, model)
+        return _rounded(score.loss(x, members, model), "loss", to=4)
+
+    def gradient(spark, sf_dir):
+        x, members, _ = _matrix(spark, sf_dir, model)
+        return _rounded(score.gradient(x, members, model), "g", to=5)
+
+    for name, f in (("loss", loss), ("gradient", gradient)):
+        QUERIES[f"{name}_{model}"] = f
+        ORACLE[f"{name}_{model}"] = _loss_sql(model, name)
+
+
+for _model in ("bernoulli", "binomial", "multinomial"):
+    _score_queries(_model)
+
+_LOO = f"""{_MATRIX}, cf AS (SELECT label, feature, sum(value) AS f FROM x JOIN lab USING (row) GROUP BY ALL), ct AS (SELECT label, sum(f) AS t FROM cf GROUP BY label),
+loo AS (SELECT x.row, lab.label, -sum(value * log2((f - value + 0.5) / (t - r + 0.5 * (SELECT count(*) FROM chosen)))) / max(r) AS bits
+  FROM x JOIN lab USING (row) JOIN cf ON cf.label = lab.label AND cf.feature = x.feature JOIN ct ON ct.label = lab.label JOIN r ON r.row = x.row GROUP BY x.row, lab.label)"""
+
+
+@query(f"WITH {_LOO} SELECT row, label, round(bits, 6) AS bits FROM loo")
+def loo_self_information(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    return _rounded(score.loo_self_information(x, labels), "bits")
+
+
+_SOFT = f"""{_MATRIX}, sf AS (SELECT feature, sum((1 - m) * value) AS f0, sum(m * value) AS f1 FROM x JOIN mem USING (row) GROUP BY feature), st AS (SELECT sum(f0) AS t0, sum(f1) AS t1, count(*) AS v FROM sf),
+sb AS (SELECT x.row, m, -sum(value * log2((f0 - (1 - m) * value + 0.5) / (t0 - (1 - m) * r + 0.5 * v))) / max(r) AS b0, -sum(value * log2((f1 - m * value + 0.5) / (t1 - m * r + 0.5 * v))) / max(r) AS b1
+  FROM x JOIN mem USING (row) JOIN sf USING (feature) JOIN r ON r.row = x.row, st GROUP BY x.row, m),
+soft AS (SELECT sum((1 - m) * b0) / sum(1 - m) AS mean0, sum(m * b1) / sum(m) AS mean1 FROM sb)"""
+
+
+@query(f"WITH {_SOFT} SELECT round(mean0, 6) AS mean0, round(mean1, 6) AS mean1 FROM soft")
+def soft_loo_mean(spark, sf_dir):
+    x, members, _ = _matrix(spark, sf_dir)
+    return _rounded(score.soft_loo_mean(x, members), "mean0", "mean1")
+
+
+@query(f"""WITH model AS ({_loss_sql("multinomial", "loss").replace("round(-(t0.score + t1.score) / 1.0, 4)", "-(t0.score + t1.score)")}), soft AS (WITH {_SOFT} SELECT * FROM soft),
+    p AS (SELECT loss AS model_loss, abs(mean0 - mean1) AS gap, 2.0 * power(greatest(0.0, 0.5 - abs(mean0 - mean1)), 2) AS penalty FROM model, soft)
+    SELECT round(model_loss * (1 + penalty), 3) AS loss, round(model_loss, 3) AS model_loss, round(penalty, 6) AS penalty, round(gap, 6) AS gap FROM p""")
+def gap_penalised_loss(spark, sf_dir):
+    x, members, _ = _matrix(spark, sf_dir)
+    return _rounded(_rounded(score.penalised_loss(x, members, "multinomial", 2.0, 0.5), "penalty", "gap"), "loss", "model_loss", to=3)
+
+
+_STATS = f"""{_MATRIX}, cf AS (SELECT label, feature, sum(value) AS f FROM x JOIN lab USING (row) GROUP BY ALL), ck AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, feature) AS k, sum(f) OVER (PARTITION BY label) AS t FROM cf),
+stats AS (SELECT label, max(t) AS tokens, count(*) AS vocabulary, -sum(f / t * log2(f / t)) AS entropy, coalesce(sum(f / t) FILTER (k <= 10), 0) AS top10_share, coalesce(sum(f / t) FILTER (k <= 100), 0) AS top100_share FROM ck GROUP BY label)"""
+
+
+@query(f"""WITH {_STATS} SELECT label, (SELECT count(*) FROM lab l WHERE l.label = s.label) AS rows, tokens, vocabulary, round(entropy, 6) AS entropy, round(CASE WHEN vocabulary > 1 THEN entropy / log2(vocabulary) ELSE 0 END, 6) AS normalized_entropy,
+    round(1 - vocabulary / tokens, 6) AS repetition, round(top10_share, 6) AS top10_share, round(top100_share, 6) AS top100_share FROM stats s""")
+def cluster_stats(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    return _rounded(score.cluster_stats(x, labels), "entropy", "normalized_entropy", "repetition", "top10_share", "top100_share")
+
+
+@query(f"""WITH b AS (WITH {_LOO} SELECT avg(bits) FILTER (label = 0) AS bits0, avg(bits) FILTER (label = 1) AS bits1 FROM loo), s AS (WITH {_STATS} SELECT max(1 - vocabulary / tokens) FILTER (label = 0) AS rep0, max(1 - vocabulary / tokens) FILTER (label = 1) AS rep1 FROM stats)
+    SELECT CAST(CASE WHEN abs(bits0 - bits1) <= 1e-9 THEN rep1 > rep0 ELSE bits1 < bits0 END AS INTEGER) AS formulaic_cluster, abs(bits0 - bits1) <= 1e-9 AS tied, (bits1 < bits0) = (rep1 > rep0) AS diagnostics_agree,
+           round(bits0, 6) AS bits0, round(bits1, 6) AS bits1, round(rep0, 6) AS repetition0, round(rep1, 6) AS repetition1 FROM b, s""")
+def orientation(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    return _rounded(score.orientation(x, labels), "bits0", "bits1", "repetition0", "repetition1")
+
+
+@query(f"WITH {_MATRIX} SELECT row, m FROM mem")
+def median_split_init(spark, sf_dir):
+    return _matrix(spark, sf_dir)[1]
+
+
+@query("SELECT round(abs(avg(n_chars) FILTER (toxic = 0) - avg(n_chars) FILTER (toxic = 1)) / (stddev_samp(n_chars) * sqrt(1 / count(*) FILTER (toxic = 0) + 1 / count(*) FILTER (toxic = 1))), 6) AS z FROM documents JOIN labels USING (doc_id)")
+def null_z(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return _rounded(inference.null_z(rows, "toxic", "n_chars"), "z")
+
+
+@query(f"""WITH {_MATRIX}, n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM lab),
+    s AS (SELECT feature, coalesce(sum(value) FILTER (label = 0), 0) / any_value(n0) AS mean0, coalesce(sum(value) FILTER (label = 1), 0) / any_value(n1) AS mean1 FROM x JOIN lab USING (row), n GROUP BY feature)
+    SELECT feature, round(mean0, 6) AS mean0, round(mean1, 6) AS mean1, round(mean1 - mean0, 6) AS diff FROM s""")
+def feature_contrast(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    return _rounded(inference.feature_contrast(x, labels), "mean0", "mean1", "diff")
+
+
+_HALF = f"""{_MATRIX}, half AS (SELECT rep, row, label FROM (SELECT rep, row, label, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || row), row) AS k FROM lab, range(0, {REPLICATES}) g(rep)) WHERE k <= (SELECT count(*) FROM lab) // 2),
+hn AS (SELECT rep, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM half GROUP BY rep),
+hs AS (SELECT rep, feature, coalesce(sum(value) FILTER (label = 0), 0) AS s0, coalesce(sum(value) FILTER (label = 1), 0) AS s1 FROM x JOIN half USING (row) GROUP BY ALL),
+hd AS (SELECT c.feature, coalesce(s1, 0) / n1 - coalesce(s0, 0) / n0 AS d FROM (SELECT DISTINCT feature FROM x) c CROSS JOIN hn LEFT JOIN hs ON hs.rep = hn.rep AND hs.feature = c.feature),
+imp AS (SELECT feature, avg(d) AS mean, stddev_samp(d) AS std FROM hd GROUP BY feature)"""
+
+
+@query(f"WITH {_HALF} SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM imp")
+def half_sample_importance(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    return _rounded(inference.half_sample_importance(x, labels, REPLICATES), "mean", "std")
+
+
+@query(f"WITH {_HALF}, top AS (SELECT * FROM imp WHERE mean > 0 ORDER BY mean DESC, feature LIMIT 12) SELECT feature, round(mean, 6) AS mean, round(mean / max(mean) OVER (), 6) AS normalized FROM top")
+def top_importances(spark, sf_dir):
+    x, _, labels = _matrix(spark, sf_dir)
+    top = inference.top_importances(inference.half_sample_importance(x, labels, REPLICATES))
+    return _rounded(top.select("feature", "mean", "normalized"), "mean", "normalized")
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    w AS (SELECT *, (1 + label) / 10.0 AS w FROM e)
+    SELECT CAST(j AS INTEGER) AS j, round(sum(w * x) / sum(w), 6) AS mean, round(sum(w * x * x) / sum(w) - power(sum(w * x) / sum(w), 2) + 0.01, 6) AS variance FROM w GROUP BY j""")
+def weighted_gaussian_params(spark, sf_dir):
+    """Weighted mean and ridged diagonal of the covariance of each coordinate."""
+    e = table(spark, sf_dir, "embeddings").select(((1 + F.col("label")) / 10.0).alias("w"), F.posexplode("embedding").alias("j", "e")).withColumn("x", F.col("e").cast("double"))
+    mean = F.sum(F.col("w") * F.col("x")) / F.sum("w")
+    out = e.groupBy("j").agg(mean.alias("mean"), (F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w") - mean * mean + 0.01).alias("variance"))
+    return _rounded(out, "mean", "variance")
+
+
+@query("""WITH h AS (SELECT (1 + label) / 10.0 AS w, (1 + label) / 10.0 * sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS h FROM embeddings WHERE len(embedding) > 0)
+    SELECT round(stddev_pop(h) * avg(h) / sqrt(sum(w * w)), 8) AS objective FROM h""")
+def l2_objective(spark, sf_dir):
+    w = (1 + F.col("label")) / 10.0
+    h = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(w.alias("w"), (w * scalar.l2_norm("embedding")).alias("h"))
+    return _rounded(h.agg((F.stddev_pop("h") * F.avg("h") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("objective")), "objective", to=8)
+
+
+@query("""WITH e AS (SELECT vec_id, label % 2 AS c, unnest(range(0, len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT c, j, avg(x) AS m FROM e GROUP BY ALL),
+    d AS (SELECT vec_id, m.c, sum(power(x - m, 2)) AS d FROM e JOIN m USING (j) GROUP BY ALL) SELECT vec_id, CAST(arg_min(c, (round(d, 9), c)) AS INTEGER) AS nearest FROM d GROUP BY vec_id""")
+def kmeans_one_step(spark, sf_dir):
+    """One Lloyd step from the centres of even and odd labels, ties to cluster 0."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("c"), F.posexplode("embedding").alias("j", "v")).withColumn("x", F.col("v").cast("double"))
+    centres = e.groupBy("c", "j").agg(F.avg("x").alias("m"))  # two rows for each coordinate
+    d = e.drop("c").join(F.broadcast(centres), "j").groupBy("vec_id", "c").agg(F.round(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))), 9).alias("d"))
+    return d.groupBy("vec_id").agg(F.min_by("c", F.struct("d", "c")).cast("int").alias("nearest"))
+
+
+# ---------------------------------------------------------------- fits and benchmarks: no SQL
+
+
+@query()
+def optimized_partitions(spark, sf_dir):
+    """The best partition of each conversation's turns by its own word counts."""
+    docs = _conversations(spark, sf_dir)
+    found = text.occurrences(docs, 1, 2)
+    chosen = text.ranked(text.feature_counts(found), 100)
+    matrix = text.count_matrix(found, chosen).select("key", "row", F.col("feature_id").alias("feature"), "value")
+    return benchmarks.partitions(matrix, "key", "multinomial", restarts=2, iterations=60)
+
+
+@query()
+def categorical_benchmark(spark, sf_dir):
+    config = benchmarks.Config(simulations=1, rows_per_cluster=50, restarts=2, iterations=60)
+    trials = benchmarks.categorical_trials(benchmarks.categorical_tasks(spark, config), config)
+    return evaluate.summary(trials, ["panel", "dimensions", "p", "p_form", "fraction", "method"], "mcc")
+
+
+@query()
+def gaussian_benchmark(spark, sf_dir):
+    config = benchmarks.Config(simulations=1)
+    tasks = benchmarks.gaussian_tasks(spark, config).where("samples_per_class <= 100")
+    return evaluate.summary(benchmarks.gaussian_trials(tasks, config, starts=1, iterations=60), ["dimension", "coefficient", "samples_per_class", "noise", "method"], "mcc")
+
+
+@query()
+def permutation_significance(spark, sf_dir):
+    """Do long conversations have longer turns? One value for each turn of the panel."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null").orderBy("conv_id").collect()  # one summary for each conversation
+    middle = sorted(r["n"] for r in turns)[len(turns) // 2] if turns else 0
+    return inference.permutation_test([r["v"] for r in turns], [r["n"] > middle for r in turns], spark, 20_000)

@@ -39,7 +39,7 @@ docs AS (
          list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda t: lower(t)) AS toks,
          regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS raw
   FROM conversations),
-axis AS (SELECT key, seq, n_docs, unnest(generate_subscripts(toks, 1)) AS pos, unnest(toks) AS tok, unnest(raw) AS rawtok FROM docs)"""
+axis AS (SELECT key, seq, n_docs, pos, toks[pos] AS tok, raw[pos] AS rawtok FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS pos FROM docs))"""
 
 
 def _occurrences_sql(n: int, w: int) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import in_steps, table
 
 #: Labelled rows that fit the lexicon and the model, at most; terms of the lexicon, at most.
 FIT_ROWS, TERMS = 40_000, 400
@@ -88,7 +88,7 @@ class Scorer:
         if word[:STEM] in self.stems:
             return 0
         if word not in self.known:
-            if len(self.known) > 300_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = self.trie.nearest(word) if len(word) <= 64 else None
         return self.known[word]
@@ -147,7 +147,7 @@ def fit(rows: DataFrame) -> dict:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, counts = Scorer(words, stems), {}
-        for batch in batches:
+        for batch in in_steps(batches):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 k = (y, *(round(v, 3) for v in scorer.features(text)))
                 counts[k] = counts.get(k, 0) + 1
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(model["words"], model["stems"]), np.array(model["weights"])
-        for batch in batches:
+        for batch in in_steps(batches):
             x = np.array([scorer.features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(_FEATURES))
             s = 1 / (1 + np.exp(-np.clip(x @ w + model["bias"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])

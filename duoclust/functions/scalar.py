@@ -74,5 +74,5 @@ def l2_norm(vector: str | Column) -> Column:
 
 def wrapped_seed(seed: Column, attempt: Column) -> Column:
     """seed + attempt * 0x9E3779B97F4A7C15 modulo 2**64, as a decimal that holds 64 unsigned bits."""
-    product = seed.cast("decimal(20,0)") + attempt.cast("decimal(4,0)") * F.lit(0x9E3779B97F4A7C15).cast("decimal(20,0)")
-    return F.pmod(product, F.lit(1 << 64).cast("decimal(21,0)")).cast("decimal(20,0)")
+    product = seed.cast("decimal(20,0)") + attempt.cast("decimal(4,0)") * F.lit(str(0x9E3779B97F4A7C15)).cast("decimal(20,0)")
+    return F.pmod(product, F.lit(str(1 << 64)).cast("decimal(21,0)")).cast("decimal(20,0)")

@@ -76,7 +76,7 @@ def unpivot_scores(df: DataFrame, ids: list[str], methods: list[str]) -> DataFra
 
 def without_empty_methods(df: DataFrame, method: str, value: str) -> DataFrame:
     """Rows of methods that have a value at all."""
-    kept = df.groupBy(method).agg(F.count(without_nan(value)).alias("k")).where("k > 0").select(method)
+    kept = df.groupBy(method).agg(F.count(without_nan(value)).alias("__values")).where("__values > 0").select(method)
     return df.join(kept, method, "left_semi")
 
 

@@ -10,15 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """erfc(|z| / sqrt 2): the normal two-sided p of a Z score."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def z_of_p(p: pd.Series) -> pd.Series:
     """The Z score whose two-sided p this is."""
     return p.map(lambda v: -NormalDist().inv_cdf(v / 2) if pd.notna(v) and 0 < v < 2 else None).astype("float64")

@@ -215,5 +215,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that hold a benchmark passage, all columns and other rows as they are. Rows
     without a doc_id stay."""
-    found = written(matches(docs, benchmark, **how).select(F.col("doc_id").alias("leaks")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"] == found["leaks"], "left_anti")
+    found = written(matches(docs, benchmark, **how).select(F.col("doc_id").alias("__leaks")).distinct(), "leaks")
+    return docs.join(found, docs["doc_id"] == found["__leaks"], "left_anti")

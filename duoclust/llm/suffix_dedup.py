@@ -267,12 +267,12 @@ def clean(docs: DataFrame, length: int = 100) -> DataFrame:
     white space is left goes. Documents without repeats are as they were; rows that are equal in doc_id and text
     stay or go together, with the text of the first. Other columns stay as they are."""
     changed = repeats(docs, length, with_text=True).where("n_removed > 0")
-    changed = changed.groupBy(F.col("doc_id").alias("of_id"), F.col("sig").alias("of_sig")).agg(F.max("kept").alias("cut_text"))
+    changed = changed.groupBy(F.col("doc_id").alias("__of_id"), F.col("sig").alias("__of_sig")).agg(F.max("kept").alias("__cut_text"))
     changed = written(changed, "changed")
-    d = docs.withColumn("text_sig", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = d.join(changed, (F.col("text_sig") == F.col("of_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")), "left")
-    both = both.where(F.col("cut_text").isNull() | (F.trim("cut_text") != ""))
-    both = both.withColumn("text", F.coalesce("cut_text", "text"))
+    d = docs.withColumn("__text_sig", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    both = d.join(changed, (F.col("__text_sig") == F.col("__of_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__of_id")), "left")
+    both = both.where(F.col("__cut_text").isNull() | (F.trim("__cut_text") != ""))
+    both = both.withColumn("text", F.coalesce("__cut_text", "text"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.length("cut_text").cast("long")))
+        both = both.withColumn("n_chars", F.when(F.col("__cut_text").isNull(), F.col("n_chars")).otherwise(F.length("__cut_text").cast("long")))
     return both.select(*docs.columns)

@@ -21,8 +21,8 @@ from .common import in_steps, table
 
 #: Labelled rows that fit the lexicon and the model, at most; terms of the lexicon, at most.
 FIT_ROWS, TERMS = 40_000, 400
-#: Letters of a stem; documents and share of toxic ones that admit a term; shorter terms match without edits only.
-STEM, SEEN, SHARE, SHORT = 5, 5, 0.9, 5
+#: Letters of stems; documents and share of toxic ones that admit a term; shorter terms match without edits only.
+STEMS, SEEN, SHARE, SHORT = (4, 5, 6), 5, 0.9, 5
 #: Words on either side of a hit that are its context.
 WINDOW = 6
 #: Fixed word lists: reported speech and the second person.
@@ -81,11 +81,12 @@ class Scorer:
     def __init__(self, words, stems):
         self.trie, self.known = Trie(words), {}
         self.whole, self.stems = frozenset(w for w in words if len(w) < SHORT), frozenset(stems)
+        self.fronts = frozenset(w[: STEMS[0]] for w in stems)
         long = [w for w in words if len(w) >= SHORT]
         self.heads, self.tails = frozenset(w[:2] for w in long), frozenset(w[-3:] for w in long)
 
     def distance(self, word: str) -> int | None:
-        if word[:STEM] in self.stems:
+        if word[: STEMS[0]] in self.fronts and any(word[:n] in self.stems for n in STEMS):
             return 0
         if word not in self.known:
             if len(self.known) > 100_000:
@@ -95,8 +96,8 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         tokens = _WORD.findall((text or "").lower())
-        whole, stems, heads, tails = self.whole, self.stems, self.heads, self.tails
-        likely = [w for w in set(tokens) if w[:2] in heads or w[-3:] in tails or w[:STEM] in stems or w in whole]
+        whole, fronts, heads, tails, front = self.whole, self.fronts, self.heads, self.tails, STEMS[0]
+        likely = [w for w in set(tokens) if w[:2] in heads or w[-3:] in tails or w[:front] in fronts or w in whole]
         hits = {w: d for w in likely if (d := self.distance(w)) is not None}
         if not hits:
             return [0.0] * len(_FEATURES)
@@ -132,12 +133,17 @@ def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
     each = rows.select("label", F.explode(words).alias("w")).where(F.length("w").between(3, 64))
     counts = each.groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     fine = (F.col("toxic") >= SEEN) & (F.col("toxic") >= SHARE * F.col("docs"))
-    stem = F.substring("w", 1, STEM)
-    alone = counts.where(F.length("w") >= STEM).groupBy(stem.alias("w")).agg(F.max("toxic").alias("one"))
-    stems = each.where(F.length("w") >= STEM).select("label", stem.alias("w")).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
+    cuts = F.array(*(F.substring("w", 1, n) for n in STEMS))
+    fronts = F.explode(F.slice(cuts, 1, F.least(F.lit(len(STEMS)), F.greatest(F.lit(0), F.length("w") - STEMS[0] + 1)))).alias("w")
+    alone = counts.select("toxic", fronts).groupBy("w").agg(F.max("toxic").alias("one"))
+    stems = each.select("label", fronts).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     stems = stems.where(fine).join(alone, "w").where(2 * F.col("one") < F.col("toxic"))
-    stems = [r["w"] for r in stems.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()]
-    found = counts.where(fine & ~stem.isin(stems)) if stems else counts.where(fine)
+    ranked = sorted((r["w"] for r in stems.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()), key=len)
+    stems = [w for w in ranked if not any(w[:n] in ranked for n in STEMS if n < len(w))]
+    covered = F.lit(False)
+    for n in STEMS:
+        covered = covered | F.substring("w", 1, n).isin([w for w in stems if len(w) == n])
+    found = counts.where(fine & ~covered)
     return [r["w"] for r in found.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()], stems
 
 

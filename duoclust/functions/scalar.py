@@ -76,3 +76,9 @@ def wrapped_seed(seed: Column, attempt: Column) -> Column:
     """seed + attempt * 0x9E3779B97F4A7C15 modulo 2**64, as a decimal that holds 64 unsigned bits."""
     product = seed.cast("decimal(20,0)") + attempt.cast("decimal(4,0)") * F.lit(str(0x9E3779B97F4A7C15)).cast("decimal(20,0)")
     return F.pmod(product, F.lit(str(1 << 64)).cast("decimal(21,0)")).cast("decimal(20,0)")
+
+
+def argmax_label(responsibilities: str) -> Column:
+    """The place, from 0, of the largest entry; the first of equal ones."""
+    r = F.col(responsibilities)
+    return (F.array_position(r, F.array_max(r)) - 1).cast("int")

@@ -147,3 +147,8 @@ def oriented(df: DataFrame, label: str, chosen: int) -> DataFrame:
 def lower_mean_cluster(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """The cluster with the lower mean, ties to the smaller number."""
     return df.groupBy(cluster).agg(F.avg(value).alias("mean")).orderBy("mean", cluster).limit(1)
+
+
+def differences(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """Rows on one side only, counted as often as they are more there, and which side."""
+    return expected.exceptAll(observed).withColumn("side", F.lit("expected")).unionByName(observed.exceptAll(expected).withColumn("side", F.lit("observed")))

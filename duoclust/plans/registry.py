@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import evaluate, inference, score, text
+from ..operators import evaluate, inference, optimize, score, text
 from . import benchmarks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,9 +461,52 @@ def kmeans_one_step(spark, sf_dir):
     return d.groupBy("vec_id").agg(F.min_by("c", F.struct("d", "c")).cast("int").alias("nearest"))
 
 
+@query("""WITH e AS (SELECT (1 + label) / 10.0 AS w, embedding AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+    p AS (SELECT w, i - 1 AS i, CAST(x[i] AS DOUBLE) AS a, unnest(range(i, len(x) + 1)) AS j, x FROM e), q AS (SELECT w, i, j - 1 AS j, a, CAST(x[j] AS DOUBLE) AS b FROM p)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(w * a * b) / sum(w) - sum(w * a) / sum(w) * (sum(w * b) / sum(w)) + CASE WHEN i = j THEN 0.01 ELSE 0 END, 6) + 0.0 AS covariance FROM q GROUP BY i, j""")
+def weighted_covariance(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").withColumn("w", (1 + F.col("label")) / 10.0)
+    return _rounded(optimize.weighted_moments(df, "embedding", "w"), "covariance")
+
+
+@query("SELECT 'l_quantity' AS i, 'l_discount' AS j, round(covar_samp(l_quantity, l_discount), 6) AS covariance FROM lineitem UNION ALL SELECT 'l_quantity', 'l_quantity', round(covar_samp(l_quantity, l_quantity), 6) FROM lineitem UNION ALL SELECT 'l_discount', 'l_discount', round(covar_samp(l_discount, l_discount), 6) FROM lineitem")
+def sample_covariance(spark, sf_dir):
+    return _rounded(optimize.sample_covariance(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]), "covariance")
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS label FROM embeddings WHERE len(embedding) > 0")
+def argmax_label(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", scalar.argmax_label("embedding").alias("label"))
+
+
+@query("""SELECT c_nationkey AS nation, 'expected' AS side FROM (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL
+    SELECT s_nationkey, 'observed' FROM (SELECT s_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)""")
+def set_differences(spark, sf_dir):
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return evaluate.differences(customer.select(F.col("c_nationkey").alias("nation")), supplier.select(F.col("s_nationkey").alias("nation")))
+
+
+@query("SELECT event_id, CAST(user_id AS BIGINT) AS user_id, value IS NULL AS to_compute FROM (SELECT o.o_orderkey AS event_id, o.o_custkey AS user_id, l.value FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_quantity) AS value FROM lineitem WHERE l_quantity > 45 GROUP BY 1) l ON l.l_orderkey = o.o_orderkey)")
+def reused_results(spark, sf_dir):
+    known = table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.max("l_quantity").alias("value"))
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("user_id"))
+    return evaluate.reused(tasks, known, ["event_id"], "value").select("event_id", "user_id", "to_compute")
+
+
 # ---------------------------------------------------------------- fits and benchmarks: no SQL
 
 
+@query()
+def large_partition(spark, sf_dir):
+    """The distributed fit, on the matrix of the score queries."""
+    return optimize.large_partition(_matrix(spark, sf_dir)[0], "multinomial", steps=4)
+
+
+@query()
+def large_kmeans(spark, sf_dir):
+    return optimize.large_kmeans(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding"), "embedding", [0, 1, 2]).select("vec_id", "label")
+
+
 @query()
 def optimized_partitions(spark, sf_dir):
     """The best partition of each conversation's turns by its own word counts."""

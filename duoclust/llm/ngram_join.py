@@ -261,8 +261,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         open_ = written(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
         placed = written(placed.join(open_, "key"), "left-open")
         member = placed.select("key", "sig", "n", "pos")
-        x, y = (placed.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
-        if level < LEVELS:  # some pivots against all members; the last level tests every pair that is left
+        met_in = placed
+        if level < LEVELS:  # some pivots against all members, in each member's largest region; the last level tests every pair that is left
+            sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
+            largest = Window.partitionBy("sig").orderBy(F.desc("size"), "key")
+            met_in = written(placed.join(sizes, "key").withColumn("turn", F.row_number().over(largest)).where("turn = 1").drop("turn", "size"), "largest")
+        x, y = (met_in.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
+        if level < LEVELS:
             x = x.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("xsig", F.lit(level)), "xsig"))).where(F.col("turn") <= PIVOTS)
         need = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent) - F.lit(1e-9))
         near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)

@@ -8,7 +8,8 @@ shingles of A outside B; so A is copied to the regions of its first n - ceil(t n
 pair meets in the region of its first common one. Rare shingles come first (by a sketch of fixed size that counts
 the whole corpus), which keeps the regions of frequent passages for documents that hold little else.
 
-Inside a region the sizes and positions prune. Small regions test every pair that is left. A larger one is joined
+Inside a region the sizes and positions prune, and after it the parities of hashed elements, which differ in no more
+places than the sets do. Small regions test every pair that is left. A larger one is joined
 recursively: on each level some pivot documents are tested against all members, members within the radius join the
 pivot's component, and only pairs of different components are left for the next level; the last tests them all.
 Every test counts whole sets. Sets with the same elements are one vertex, known by a 64-bit signature.
@@ -54,6 +55,35 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(both[:1] + both[1:] * np.uint64(3)).view(np.int64)[0])
 
 
+def _parities(s: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of elements hash to i; as many bits as a power of two of about 0.6 to 1.2 n."""
+    size = max(64, 1 << int(np.ceil(np.log2(max(1, 0.6 * len(s))))))
+    odd = np.bincount((s >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(x: int, size: int, to: int) -> int:
+    while size > to:
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return x
+
+
+def _plausible(t: int):
+    """Pairs whose parities leave room for the link: two sets differ in as many elements as parities, at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xbits", "ybits")), strict=True):
+                to = 8 * min(len(x), len(y))
+                differ = _folded(int.from_bytes(x, "little"), 8 * len(x), to) ^ _folded(int.from_bytes(y, "little"), 8 * len(y), to)
+                keep.append(differ.bit_count() <= na + nb - 2 * (-(-t * (na + nb) // (100 + t))))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _least(n, t: int):
     """Shingles that a partner of a set of n shares with it, at least."""
     return -(-t * n // 100)
@@ -68,7 +98,7 @@ def _profile(width: int):
                 np.add(counts, np.bincount((np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int32()), pa.array([_parities(s) for s in sets], pa.binary())],
                 ["doc_id", "n", "sig", "block", "counts"],
             )
         blocks = [(k, zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1)) for k, x in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS))) if x.any()]
@@ -235,22 +265,28 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     bits = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for row in sketch.collect():  # of fixed size: 2**SKETCH_BITS bytes
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    profile = profile.where("block is null").select("doc_id", "n", "sig")
+    profile = profile.where("block is null").select("doc_id", "n", "sig", F.col("counts").alias("bits"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     usual = int(2 * total >> SKETCH_BITS).bit_length()
     ranks = spark.sparkContext.broadcast(np.clip(bits.ravel().astype(np.int16) - usual, 0, 15).astype(np.uint8))
 
-    named = written(profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first")), "named")
+    named = written(profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")), "named")
     tuples = d.mapInArrow(_prefixes(width, percent, ranks), "key long, sig long, n int, pos int")
     dealt = tuples.repartition(2 * tasks_wanted(spark), "key").sortWithinPartitions("key", "sig")
     met = written(dealt.mapInArrow(_regions(percent), ", ".join(f"{c} long" for c in _PAIR)), "regions")
     pairs = written(met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    x, y = (named.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"{p}bits")) for c, p in (("a", "x"), ("b", "y")))
+
+    def plausible(found: DataFrame) -> DataFrame:
+        return found.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xbits", "ybits").mapInArrow(_plausible(percent), "a long, b long")
+
+    likely = written(plausible(pairs), "likely")
     # the texts of all sets that any level can test, read once
-    tested = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(met.where("b is null").select("a")).distinct()
-    tested = written(tested.join(named, "sig").select("sig", F.col("first").alias("of_doc")), "tested")
+    tested = likely.select(F.col("a").alias("sig")).union(likely.select("b")).union(met.where("b is null").select("a")).distinct()
+    tested = written(tested.join(named.select("sig", "first"), "sig").select("sig", F.col("first").alias("of_doc")), "tested")
     texts = d.join(tested.hint("merge"), F.col("doc_id") == F.col("of_doc")).select("sig", "text")
     texts = written(texts, "texts")
-    links = written(_links(pairs, texts, width, percent), "links")
+    links = written(_links(likely, texts, width, percent), "links")
     joined = written(components(links), "components")
 
     # the next levels: regions with members of more than one component
@@ -266,23 +302,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
             largest = Window.partitionBy("sig").orderBy(F.desc("size"), "key")
             met_in = written(placed.join(sizes, "key").withColumn("turn", F.row_number().over(largest)).where("turn = 1").drop("turn", "size"), "largest")
-        x, y = (met_in.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
+        xs, ys = (met_in.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
         if level < LEVELS:
-            x = x.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("xsig", F.lit(level)), "xsig"))).where(F.col("turn") <= PIVOTS)
+            xs = xs.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("xsig", F.lit(level)), "xsig"))).where(F.col("turn") <= PIVOTS)
         need = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent) - F.lit(1e-9))
         near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
         order = F.lit(True) if level < LEVELS else F.col("xsig") < F.col("ysig")
-        more = x.join(y, "key").where(order & (F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
+        more = xs.join(ys, "key").where(order & (F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if more.isEmpty():
             if level == LEVELS or open_.isEmpty():
                 break
             continue
         pairs = pairs.unionByName(more)
-        links = written(links.unionByName(_links(more, texts, width, percent)), "links")
+        links = written(links.unionByName(_links(written(plausible(more), "likely"), texts, width, percent)), "links")
         joined = written(components(links), "components")
 
-    at = named.join(joined, named["sig"] == joined["node"], "left").select("sig", "first", F.coalesce("component", "sig").alias("c"))
+    at = named.select("sig", "first").join(joined, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("component", "sig").alias("c"))
     at = written(at, "placed")
     least = at.groupBy("c").agg(F.min("first").alias("component_id"))
     place = written(at.join(least, "c").select(F.col("sig").alias("of"), "component_id"), "placed")

@@ -72,7 +72,8 @@ def _ngram_query(name: str, n: int, source: str) -> None:
     gram = " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n))
 
     def run(spark, sf_dir):
-        grams = table(spark, sf_dir, source).select(F.explode(scalar.ngrams(F.transform(scalar.tokens("text"), F.lower), n)).alias("g"))
+        words = table(spark, sf_dir, source).select(F.transform(scalar.tokens("text"), F.lower).alias("w"))  # a column of its own: ngrams() reads it for every n-gram
+        grams = words.select(F.explode(scalar.ngrams("w", n)).alias("g"))
         return grams.groupBy(scalar.display("g").alias("ngram")).agg(F.count("*").alias("cnt"))
 
     QUERIES[name] = run

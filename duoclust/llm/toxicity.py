@@ -19,10 +19,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import in_steps, table
 
-#: Labelled rows that fit the lexicon and the model, at most; terms of the lexicon, at most.
-FIT_ROWS, TERMS = 40_000, 400
-#: Letters of a stem; documents and share of toxic ones that admit a term; shorter terms match without edits only.
-STEM, SEEN, SHARE, SHORT = 5, 5, 0.9, 5
+#: Labelled rows that fit the lexicon and the model, at most; words whose distances a task keeps, about.
+FIT_ROWS, KEPT = 40_000, 200_000
+#: Letters of stems; documents and share of toxic ones that admit a term; shorter terms match without edits only.
+STEMS, SEEN, SHARE, SHORT = (4, 5, 6), 5, 0.9, 5
 #: Words on either side of a hit that are its context.
 WINDOW = 6
 #: Fixed word lists: reported speech and the second person.
@@ -76,28 +76,42 @@ class Trie:
 
 class Scorer:
     """Counts of one text. A word within one edit of a term shares its first or its second half, at the start or
-    the end; only words that share the outer letters of a half walk the trie. Distances found are kept, up to a bound."""
+    the end; only words that share the outer letters of a half walk the trie, once for all texts: distances found and
+    words without one are kept, up to a bound."""
 
     def __init__(self, words, stems):
-        self.trie, self.known = Trie(words), {}
+        self.trie, self.known, self.dull = Trie(words), {}, set()
         self.whole, self.stems = frozenset(w for w in words if len(w) < SHORT), frozenset(stems)
+        self.fronts = frozenset(w[: STEMS[0]] for w in stems)
         long = [w for w in words if len(w) >= SHORT]
         self.heads, self.tails = frozenset(w[:2] for w in long), frozenset(w[-3:] for w in long)
 
     def distance(self, word: str) -> int | None:
-        if word[:STEM] in self.stems:
+        if word[: STEMS[0]] in self.fronts and any(word[:n] in self.stems for n in STEMS):
             return 0
-        if word not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[word] = self.trie.nearest(word) if len(word) <= 64 else None
-        return self.known[word]
+        if word[:2] in self.heads or word[-3:] in self.tails or word in self.whole:
+            return self.trie.nearest(word) if len(word) <= 64 else None
+        return None
+
+    def hits(self, words: set[str]) -> dict[str, int]:
+        """The distances of those words that have one."""
+        known, dull = self.known, self.dull
+        if len(known) > KEPT:
+            known.clear()
+        if len(dull) > KEPT:
+            dull.clear()
+        out = {}
+        for w in words - dull:
+            d = known[w] if w in known else self.distance(w)
+            if d is None:
+                dull.add(w)
+            else:
+                out[w] = known[w] = d
+        return out
 
     def features(self, text: str | None) -> list[float]:
         tokens = _WORD.findall((text or "").lower())
-        whole, stems, heads, tails = self.whole, self.stems, self.heads, self.tails
-        likely = [w for w in set(tokens) if w[:2] in heads or w[-3:] in tails or w[:STEM] in stems or w in whole]
-        hits = {w: d for w in likely if (d := self.distance(w)) is not None}
+        hits = self.hits(set(tokens))
         if not hits:
             return [0.0] * len(_FEATURES)
         exact = near = quoted = addressed = 0
@@ -126,19 +140,21 @@ def fitting_rows(docs: DataFrame, labels: DataFrame, usable: Column, label: str,
 
 
 def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems that labelled rows mark as toxic: in SEEN documents at least and SHARE of them toxic. A
-    stem has no single word that makes up half of it, and covers all its words. Both lists together hold TERMS at most, the most frequent."""
+    """Words and stems that labelled rows mark as toxic: all that are in SEEN documents at least and SHARE of them toxic.
+    A stem has no single word that makes up half of it, and covers all its words and longer stems."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), 0))
     each = rows.select("label", F.explode(words).alias("w")).where(F.length("w").between(3, 64))
     counts = each.groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     fine = (F.col("toxic") >= SEEN) & (F.col("toxic") >= SHARE * F.col("docs"))
-    stem = F.substring("w", 1, STEM)
-    alone = counts.where(F.length("w") >= STEM).groupBy(stem.alias("w")).agg(F.max("toxic").alias("one"))
-    stems = each.where(F.length("w") >= STEM).select("label", stem.alias("w")).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
+    cuts = F.array(*(F.substring("w", 1, n) for n in STEMS))
+    fronts = F.explode(F.slice(cuts, 1, F.least(F.lit(len(STEMS)), F.greatest(F.lit(0), F.length("w") - STEMS[0] + 1)))).alias("w")
+    alone = counts.select("toxic", fronts).groupBy("w").agg(F.max("toxic").alias("one"))
+    stems = each.select("label", fronts).groupBy("w").agg(F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     stems = stems.where(fine).join(alone, "w").where(2 * F.col("one") < F.col("toxic"))
-    stems = [r["w"] for r in stems.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()]
-    found = counts.where(fine & ~stem.isin(stems)) if stems else counts.where(fine)
-    return [r["w"] for r in found.orderBy(F.desc("toxic"), "w").limit(TERMS // 2).collect()], stems
+    every = {r["w"] for r in stems.select("w").collect()}  # at most the words of FIT_ROWS texts over SEEN
+    stems = {w for w in every if not any(w[:n] in every for n in STEMS if n < len(w))}
+    found = [r["w"] for r in counts.where(fine).select("w").collect()]  # likewise
+    return sorted(w for w in found if not any(w[:n] in stems for n in STEMS)), sorted(stems)
 
 
 def fit(rows: DataFrame) -> dict:

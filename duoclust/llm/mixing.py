@@ -4,12 +4,14 @@ A multinomial classifier over hashed words is fitted on labelled rows and gives
 its domains. With n tokens in a document and rate r, domain k expects sum(r * n * p[k]) tokens. The rates minimise
 the weighted least squares |D (A r - b)|^2 over r >= 0, where A holds n * p[k] of every document, b the target
 tokens and D whitens the domains (the inverse square root of A A', ridged); under that weighting the step length is
-one. Each step of projected gradient descent, with momentum, needs sums over all documents, a number for each domain: the driver
-holds those, and a rate is a nested expression of the steps so far. Rates start at one.
+one. The rates nearest to one that do so are max(0, 1 + A' u) with a number u for each domain: Newton steps on u need
+sums over all documents of which the rate is positive, a few numbers, which the driver holds. Rates start at one.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from .common import table, written
 #: Buckets of hashed words; labelled rows that fit the classifier, at most; its smoothing; words that a posterior
 #: is worth at most, so that long documents do not become certain of a domain by length alone.
 BUCKETS, FIT_ROWS, SMOOTHING, WORTH = 4096, 20_000, 1.0, 40.0
-#: Steps of descent; steps after which the rates so far are written out; relative residual that ends the descent.
-STEPS, WRITE_EVERY, TOLERANCE = 60, 10, 1e-4
+#: Newton steps, at most; relative residual that ends them; ridge of the weighting; weight of nearness to one.
+STEPS, TOLERANCE, RIDGE, SOFT = 200, 1e-4, 1e-5, 1e-8
 
 
 def _words(text: str = "text") -> Column:
@@ -70,34 +72,59 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFra
 def rates(soft: DataFrame, weights: list[float], total: float | None = None) -> DataFrame:
     """soft (doc_id, row, n, p) with `rate`. The target of domain k is weights[k] / sum(weights) of `total` tokens, by
     default as many as there are. Rows without tokens keep the rate 1, and so do all if there are no tokens.
-    Targets that no rates meet (a domain that no document is in) are met as nearly as the least squares go."""
+    Targets that no rates meet (a domain that no document is in) are met as nearly as the least squares go, ridged;
+    a warning then tells the residual. RuntimeError if the steps end neither at the targets nor at such a place."""
     k = len(weights)
-    a = soft.select("doc_id", "row", "n", "p", *((F.col("n") * F.col("p")[i]).alias(f"a{i}") for i in range(k)), F.lit(1.0).alias("rate"))
+    a = soft.select("doc_id", "row", "n", "p", *((F.col("n") * F.col("p")[i]).alias(f"a{i}") for i in range(k)))
     a = written(a, "mixing")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = a.agg(F.sum("n"), *(F.sum(F.col(f"a{i}") * F.col(f"a{j}")) for i, j in pairs)).first()
     tokens = float(row[0] or 0)
     if not tokens:
-        return a.select("doc_id", "row", "n", "p", "rate")
+        return a.select("doc_id", "row", "n", "p", F.lit(1.0).alias("rate"))
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, row[1:], strict=True):
         gram[i, j] = gram[j, i] = x
-    inverse = np.linalg.inv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
+    metric = gram + RIDGE * np.trace(gram) / k * np.eye(k)
     target = np.array(weights, float) / sum(weights) * (tokens if total is None else total)
-    a = a.withColumn("ahead", F.col("rate"))
-    for step in range(1, STEPS + 1):
-        sums = a.agg(*(F.sum(F.col(c) * F.col(f"a{i}")) for c in ("rate", "ahead") for i in range(k))).first()
-        expected, ahead = np.array(sums[:k], float), np.array(sums[k:], float)
-        if np.abs(expected - target).max() <= TOLERANCE * target.max():
+
+    def rate(u: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.col(f"a{i}") * float(u[i]) for i in range(k)), F.lit(1.0)))
+
+    def sums(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the sum of squared rates, the expected tokens, and the gram of the documents with a rate."""
+        r = rate(u)
+        got = a.agg(F.sum(r * r) / 2, *(F.sum(r * F.col(f"a{i}")) for i in range(k)), *(F.sum(F.when(r > 0, F.col(f"a{i}") * F.col(f"a{j}")).otherwise(0.0)) for i, j in pairs)).first()
+        active = np.zeros((k, k))
+        for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+            active[i, j] = active[j, i] = x
+        return float(got[0]), np.array(got[1 : 1 + k], float), active
+
+    # the dual of |r - 1|^2 / 2 + |D (A r - b)|^2 / (2 soft) is convex in u, with the gradient below
+    soft_metric = SOFT * metric
+    u = np.zeros(k)
+    value, expected, active = sums(u)
+    value += u @ soft_metric @ u / 2 - target @ u
+    for _ in range(STEPS):
+        gradient = expected + soft_metric @ u - target
+        if np.abs(expected - target).max() <= TOLERANCE * target.max() or np.abs(gradient).max() <= 1e-2 * TOLERANCE * target.max():
             break
-        move = inverse @ (ahead - target)
-        shift = sum((F.col(f"a{i}") * float(move[i]) for i in range(1, k)), F.col("a0") * float(move[0]))
-        a = a.withColumn("next", F.greatest(F.lit(0.0), F.col("ahead") - shift))
-        momentum = (step - 1) / (step + 2)
-        a = a.withColumn("ahead", F.col("next") + momentum * (F.col("next") - F.col("rate"))).withColumn("rate", F.col("next")).drop("next")
-        if step % WRITE_EVERY == 0:
-            a = written(a, "mixing")
-    return a.select("doc_id", "row", "n", "p", "rate")
+        move = np.linalg.solve(active + soft_metric, gradient)
+        size = 1.0
+        while True:  # halve the step until the dual falls enough
+            v = u - size * move
+            new, expected_v, active_v = sums(v)
+            new += v @ soft_metric @ v / 2 - target @ v
+            if new <= value - 1e-4 * size * (gradient @ move) or size < 1e-9:
+                break
+            size /= 2
+        u, value, expected, active = v, new, expected_v, active_v
+    residual, slope = np.abs(expected - target).max() / target.max(), np.abs(expected + soft_metric @ u - target).max() / target.max()
+    if residual > TOLERANCE:
+        if slope > TOLERANCE:
+            raise RuntimeError(f"rates miss their targets by {residual:.3g} of the largest after {STEPS} steps")
+        warnings.warn(f"no rates meet the targets: the nearest miss them by {residual:.3g} of the largest", stacklevel=2)
+    return a.select("doc_id", "row", "n", "p", rate(u).alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="duoclust-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: lineage ends there."""
+#: Drops the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, *then_drop: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: lineage ends there. Shuffle files go with the
+    write, and so do the tables of then_drop, which this function has returned before and nothing else needs."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark's cleaner drops the shuffle files of plans that are gone
-    return spark.read.parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    dropped(*then_drop)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        if (at := _PLACES.pop(table, None)) is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def tasks_wanted(spark: SparkSession, per_core: int = 2) -> int:

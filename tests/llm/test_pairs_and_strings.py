@@ -243,3 +243,27 @@ def test_words_and_hashes_of_batches():
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == ["Ab", "cd", "ab", "CD", "e", "É", "x"]
     assert row.tolist() == [0, 0, 3, 3, 3, 4, 4]
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and len(set(hashes.tolist())) == 5
+
+
+@pytest.mark.parametrize("share", [4, 0])
+def test_hot_anchors_are_split(spark, monkeypatch, share):
+    """A short line in changing surroundings and a long one in equal ones; every anchor is split, or those that two pieces have."""
+    rng = random.Random(9)
+    line, block = "the same line of forty letters or so, ok", " ".join(words(rng, 60))
+    rows = [(i, f"{rng.random()} " * 3 + line + f" {rng.random()}" * 3 + rng.choice(["", block, line * 5])) for i in range(80)]
+    rows += [(i + 200, rows[i][1]) for i in range(0, 80, 3)] + [(2, rows[40][1]), (None, rows[41][1]), (None, block)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES" if share else "SHARE", 300 if share else 10**6)
+    got = suffix_dedup.repeats(frame(spark, rows), 100).collect()
+    sig = lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, sig(r[1])))
+    expected = repeats_reference([(k, t) for k, (_, t) in enumerate(order)], 100)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((order[k][0], *rest)) for k, *rest in expected)
+
+
+def test_rows_without_an_id_link_others(spark):
+    a = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(a)), (None, " ".join(["x", *a[1:]])), (2, " ".join(["x", *a[1:-3], "u", "y", "z"])), (None, "q r s t u"), (None, "q r s t u")]
+    one, mid, two = (set(zip(*(t.split()[k:] for k in range(4)), strict=False)) for _, t in rows[:3])
+    assert 100 * len(one & two) < 90 * len(one | two) and min(100 * len(one & mid) / len(one | mid), 100 * len(mid & two) / len(mid | two)) >= 90
+    got = ngram_join.jaccard_components(frame(spark, rows), 4, 90).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, 57, 1), (None, 57, 1), (2, 57, 1), (None, 2, None), (None, 2, None)]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_steps, mix, shingles_of, tasks_wanted, text_bytes, words_of, written
+from .common import dropped, in_steps, mix, shingles_of, tasks_wanted, text_bytes, words_of, written
 from .components import components
 
 #: Counters of the frequency sketch and of one of its blocks; members up to which a region tests all pairs;
@@ -98,12 +98,12 @@ def _profile(width: int):
                 np.add(counts, np.bincount((np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32), out=counts)
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int32()), pa.array([_parities(s) for s in sets], pa.binary())],
-                ["doc_id", "n", "sig", "block", "counts"],
+                [part.column("doc_id"), part.column("hash"), pa.array(n, pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(n), pa.int32()), pa.array([_parities(s) for s in sets], pa.binary())],
+                ["doc_id", "hash", "n", "sig", "block", "counts"],
             )
         blocks = [(k, zlib.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1)) for k, x in enumerate(np.split(counts, 1 << (SKETCH_BITS - BLOCK_BITS))) if x.any()]
         none = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["doc_id", "n", "sig", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], ["doc_id", "hash", "n", "sig", "block", "counts"])
 
     return run
 
@@ -222,9 +222,9 @@ def _tested(width: int, t: int):
             a, b = [], []
             rows = zip(part.column("grp").to_pylist(), part.column("member").to_pylist(), part.column("salt").to_pylist(), _sets(part.column("text"), width), strict=True)
             for grp, member, salt, s in rows:
-                if _signature(s) != member:  # another text under the same doc_id
-                    continue
                 if (grp, salt) != group:
+                    if member != grp:
+                        raise RuntimeError(f"the text of pivot {grp} is missing")
                     group, pivot = (grp, salt), s
                 elif member != grp:
                     at = np.searchsorted(pivot, s)
@@ -247,30 +247,46 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
     members = pairs.select(F.col("a").alias("grp"), F.col("b").alias("member")).join(salts, "grp")
     members = members.select("grp", "member", F.pmod(F.xxhash64("member"), "salts").cast("int").alias("salt"))
     pivots = salts.select("grp", F.col("grp").alias("member"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    need = written(members.unionByName(pivots), "need")
+    need = written(members.unionByName(pivots), "need", salts)
     each = need.join(texts, need["member"] == texts["sig"]).select("grp", "salt", "member", "text")
     dealt = each.repartition(tasks_wanted(spark), "grp", "salt").sortWithinPartitions("grp", "salt", F.col("member") != F.col("grp"))
-    return dealt.mapInArrow(_tested(width, t), "a long, b long")
+    return written(dealt.mapInArrow(_tested(width, t), "a long, b long"), "links", need)
+
+
+def _grown(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (a, b), which are taken between components."""
+    found = links
+    for c in ("a", "b"):
+        of = joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        found = found.join(of, c, "left").withColumn(c, F.coalesce(f"of_{c}", c)).drop(f"of_{c}")
+    more = components(found)
+    moved = joined.join(more.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = more.join(joined.select("node"), "node", "left_anti")
+    return written(moved.unionByName(fresh), "components", joined, more)
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row. Two documents are linked when 100 * |A and B| >= percent *
     |A or B| over their sets of `width`-word shingles; component_id is the smallest id reachable by links. A text
     of fewer words is one shingle; a null, empty or blank text has none and is linked with nothing. Repeated rows
-    and copies share a component. An empty table gives an empty result; other columns are not read."""
+    and copies share a component. Rows without an id are linked like others, but give a component no id: one of such
+    rows only has none. An empty table gives an empty result; other columns are not read."""
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profile = written(d.mapInArrow(_profile(width), "doc_id long, n long, sig long, block int, counts binary"), "profile")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    profile = written(d.mapInArrow(_profile(width), "doc_id long, hash long, n long, sig long, block int, counts binary"), "profile")
     sketch = profile.where("block is not null").select("block", "counts").repartition(1 << (SKETCH_BITS - BLOCK_BITS), "block").mapInArrow(_added, "block int, bits binary")
     bits = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
     for row in sketch.collect():  # of fixed size: 2**SKETCH_BITS bytes
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    profile = profile.where("block is null").select("doc_id", "n", "sig", F.col("counts").alias("bits"))
+    whole, profile = profile, profile.where("block is null").select("doc_id", "hash", "n", "sig", F.col("counts").alias("bits"))
     total = profile.agg(F.sum("n")).first()[0] or 0
     usual = int(2 * total >> SKETCH_BITS).bit_length()
     ranks = spark.sparkContext.broadcast(np.clip(bits.ravel().astype(np.int16) - usual, 0, 15).astype(np.uint8))
 
-    named = written(profile.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")), "named")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("one")
+    named = profile.where("n > 0").groupBy("sig").agg(one, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    named = written(named.select("sig", F.col("one.doc_id").alias("first"), F.col("one.hash").alias("hash"), "n", "bits"), "named")
+    profile = written(profile.drop("bits"), "sizes", whole)
     tuples = d.mapInArrow(_prefixes(width, percent, ranks), "key long, sig long, n int, pos int")
     dealt = tuples.repartition(2 * tasks_wanted(spark), "key").sortWithinPartitions("key", "sig")
     met = written(dealt.mapInArrow(_regions(percent), ", ".join(f"{c} long" for c in _PAIR)), "regions")
@@ -283,20 +299,25 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     likely = written(plausible(pairs), "likely")
     # the texts of all sets that any level can test, read once
     tested = likely.select(F.col("a").alias("sig")).union(likely.select("b")).union(met.where("b is null").select("a")).distinct()
-    tested = written(tested.join(named.select("sig", "first"), "sig").select("sig", F.col("first").alias("of_doc")), "tested")
-    texts = d.join(tested.hint("merge"), F.col("doc_id") == F.col("of_doc")).select("sig", "text")
-    texts = written(texts, "texts")
-    links = written(_links(likely, texts, width, percent), "links")
-    joined = written(components(links), "components")
+    tested = written(tested.join(named.select("sig", "first", "hash"), "sig").select("sig", F.col("first").alias("of_doc"), F.col("hash").alias("of_hash")), "tested")
+    texts = d.join(tested.hint("merge"), (F.col("hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("sig", "text")
+    texts = written(texts, "texts", tested)
+    links = _links(likely, texts, width, percent)
+    dropped(likely)
+    joined = components(links)
+    dropped(links)
 
     # the next levels: regions with members of more than one component
-    member = met.where("b is null").select("key", F.col("a").alias("sig"), F.col("na").alias("n"), F.col("pa").alias("pos"))
+    member, kept = met.where("b is null").select("key", F.col("a").alias("sig"), F.col("na").alias("n"), F.col("pa").alias("pos")), met
     for level in range(LEVELS + 1):
         placed = member.join(joined, member["sig"] == joined["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("c"))
-        placed = written(placed, "members")
+        placed = written(placed, "members", kept)
         open_ = written(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open")
-        placed = written(placed.join(open_, "key"), "left-open")
-        member = placed.select("key", "sig", "n", "pos")
+        if open_.isEmpty():
+            dropped(placed, open_)
+            break
+        placed = written(placed.join(open_, "key"), "left-open", placed, open_)
+        member, kept = placed.select("key", "sig", "n", "pos"), placed
         met_in = placed
         if level < LEVELS:  # some pivots against all members, in each member's largest region; the last level tests every pair that is left
             sizes = placed.groupBy("key").agg(F.count("*").alias("size"))
@@ -309,19 +330,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
         order = F.lit(True) if level < LEVELS else F.col("xsig") < F.col("ysig")
         more = xs.join(ys, "key").where(order & (F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs", *([met_in] if level < LEVELS else [placed]))
         if more.isEmpty():
-            if level == LEVELS or open_.isEmpty():
-                break
             continue
-        pairs = pairs.unionByName(more)
-        links = written(links.unionByName(_links(written(plausible(more), "likely"), texts, width, percent)), "links")
-        joined = written(components(links), "components")
+        likely = written(plausible(more), "likely")
+        links = _links(likely, texts, width, percent)
+        joined = _grown(joined, links)
+        dropped(likely, links)
+        pairs = written(pairs.unionByName(more), "pairs", pairs, more) if level < LEVELS else pairs
 
     at = named.select("sig", "first").join(joined, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("component", "sig").alias("c"))
-    at = written(at, "placed")
+    at = written(at, "placed", named, joined, texts, pairs)
     least = at.groupBy("c").agg(F.min("first").alias("component_id"))
-    place = written(at.join(least, "c").select(F.col("sig").alias("of"), "component_id"), "placed")
+    place = written(at.join(least, "c").select(F.col("sig").alias("of"), "component_id"), "placed", at)
     # rows without shingles get a key of their own, so that they do not meet in one task
     keyed = profile.withColumn("of", F.coalesce("sig", F.xxhash64("doc_id")))
     out = keyed.join(place, "of", "left")

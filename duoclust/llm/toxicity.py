@@ -75,22 +75,28 @@ class Trie:
 
 
 class Scorer:
-    """Counts of one text. A word within one edit of a term shares its first or its second half, at the start or
-    the end; only words that share the outer letters of a half walk the trie, once for all texts: distances found and
-    words without one are kept, up to a bound."""
+    """Counts of one text. A word within one edit of a term of n letters starts with the term's first n // 2 letters or
+    ends with the others, as one edit leaves one of the two whole, and is at most one letter longer or shorter; only
+    such words walk the trie, once for all texts: distances found and words without one are kept, up to a bound."""
 
     def __init__(self, words, stems):
         self.trie, self.known, self.dull = Trie(words), {}, set()
         self.whole, self.stems = frozenset(w for w in words if len(w) < SHORT), frozenset(stems)
         self.fronts = frozenset(w[: STEMS[0]] for w in stems)
-        long = [w for w in words if len(w) >= SHORT]
-        self.heads, self.tails = frozenset(w[:2] for w in long), frozenset(w[-3:] for w in long)
+        halves: dict[int, tuple[set, set]] = {}
+        for w in words:
+            if len(w) >= SHORT:
+                heads, tails = halves.setdefault(len(w), (set(), set()))
+                heads.add(w[: len(w) // 2])
+                tails.add(w[len(w) // 2 :])
+        #: for each length of a word the halves of terms that it can be near to: (letters, heads, letters, tails)
+        self.halves = {k: [(n // 2, halves[n][0], n // 2 - n, halves[n][1]) for n in (k - 1, k, k + 1) if n in halves] for n0 in halves for k in (n0 - 1, n0, n0 + 1)}
 
     def distance(self, word: str) -> int | None:
         if word[: STEMS[0]] in self.fronts and any(word[:n] in self.stems for n in STEMS):
             return 0
-        if word[:2] in self.heads or word[-3:] in self.tails or word in self.whole:
-            return self.trie.nearest(word) if len(word) <= 64 else None
+        if word in self.whole or any(word[:i] in heads or word[j:] in tails for i, heads, j, tails in self.halves.get(len(word), ())):
+            return self.trie.nearest(word)
         return None
 
     def hits(self, words: set[str]) -> dict[str, int]:

@@ -142,7 +142,7 @@ def partition(x: np.ndarray, model: str, n_init: int = 6, max_iter: int = 500, t
     return best
 
 
-def kmeans(x: np.ndarray, seed: int, n_init: int = 100, max_iter: int = 300, tolerance: float = 1e-3) -> np.ndarray:
+def kmeans(x: np.ndarray, seed: int, n_init: int = 100, max_iter: int = 100_000, tolerance: float = 1e-3) -> np.ndarray:
     rng, best = np.random.default_rng(seed), (np.inf, None)
     stop = tolerance * x.var(axis=0).mean()
     for _ in range(n_init):
@@ -198,7 +198,7 @@ def dbscan_binary(x: np.ndarray, least: int = 5) -> np.ndarray:
     return number[inverse.ravel()]
 
 
-def regularized_em(x: np.ndarray, seed: int, max_iter: int = 200, tolerance: float = 1e-4, shrink: float = 1e-2) -> np.ndarray:
+def regularized_em(x: np.ndarray, seed: int, max_iter: int = 10_000, tolerance: float = 1e-4, shrink: float = 1e-2) -> np.ndarray:
     """EM whose covariances lean towards the sample covariance by `shrink`, with 1e-3 on the diagonal."""
     rng, d = np.random.default_rng(seed), x.shape[1]
     goal = np.cov(x, rowvar=False)

@@ -49,6 +49,11 @@ def half_even_label(weight: str) -> Column:
     return F.bround(F.col(weight), 0).cast("int")
 
 
+def rounded_fraction(x: Column) -> Column:
+    """To one decimal, halves away from zero."""
+    return F.round(x, 1)
+
+
 def without_nan(x: str) -> Column:
     return F.when(~F.isnan(F.col(x)), F.col(x))
 
@@ -58,8 +63,8 @@ def truncated_share(total: Column, share: Column, least: int = 0) -> Column:
 
 
 def probability_label(p: str) -> Column:
-    """"1" for one, else two decimals without trailing zeros."""
-    return F.when(F.abs(F.col(p) - 1) <= 1e-5 + 1e-8, F.lit("1")).otherwise(F.rtrim(F.format_string("%.2f", F.col(p)), F.lit("0")))
+    """"1" for one, else two decimals, halves to even, without trailing zeros."""
+    return F.when(F.abs(F.col(p) - 1) <= 1e-5 + 1e-8, F.lit("1")).otherwise(F.rtrim(F.format_number(F.col(p), 2), F.lit("0")))
 
 
 def result_key(n: str, window: str, features: str) -> Column:

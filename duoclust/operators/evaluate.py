@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import without_nan
+from .order import numbered
 
 #: Closed intervals of a score; values between two of them are in none.
 INTERVALS = [(50, 74), (75, 84), (85, 89), (90, 95), (96, 100)]
@@ -136,8 +137,8 @@ def duplicate_clusters(df: DataFrame, vector: str, least: int = 5) -> DataFrame:
     rows are noise, -1. Cluster numbers follow the vectors' order."""
     sizes = df.groupBy(vector).agg(F.count("*").alias("size"))
     dense = sizes.where(F.col("size") >= least)
-    numbered = dense.withColumn("cluster", F.row_number().over(Window.orderBy(vector)) - 1)
-    return df.join(numbered.select(vector, "cluster"), vector, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    placed = numbered(dense, vector, name="cluster")
+    return df.join(placed.select(vector, F.col("cluster").cast("int").alias("cluster")), vector, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 def oriented(df: DataFrame, label: str, chosen: int) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Values of a permutation test, at most: they go to every task.
+PANEL = 100_000
+
+
 @F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """erfc(|z| / sqrt 2): the normal two-sided p of a Z score."""
@@ -67,10 +71,13 @@ def top_importances(importance: DataFrame, value: str = "mean", k: int = 12) ->
 def permutation_test(values: list[float], first: list[bool], spark, permutations: int, seed: int = 0, batch: int = 2000) -> DataFrame:
     """One row (observed, exceedances, permutations, p, is_lower_bound) for the difference of two means; p is
     (exceedances + 1) / (permutations + 1). The replicates are dealt to tasks in batches with seeds of their own; the
-    values go to each task, so they are the summaries of one panel and not a corpus."""
+    values go to each task, so they are the summaries of one panel: ValueError beyond PANEL of them (null_z takes any
+    number of rows)."""
     v, side = np.asarray(values, float), np.asarray(first, bool)
     n1, total = int(side.sum()), float(v.sum())
     n2 = len(v) - n1
+    if len(v) > PANEL:
+        raise ValueError(f"{len(v)} values are more than the {PANEL} of a panel")
     if not n1 or not n2:
         raise ValueError("both sides need values")
     shared = spark.sparkContext.broadcast(v)

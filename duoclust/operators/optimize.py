@@ -3,29 +3,16 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import materialised
 from . import score
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder all executors share and read back; a temporary one where the session names none."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="duoclust-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def large_partition(matrix: DataFrame, model: str, steps: int = 30, logit: float = 10.0, tolerance: float = 1e-6) -> DataFrame:
     """(row, m, label): memberships that descend the loss from the median split of row totals.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import score_model
+from .order import numbered
 
 #: Fixed value: added inside logarithms.
 EPS = 1e-10
@@ -24,6 +25,16 @@ def checked(matrix: DataFrame, model: str = "") -> DataFrame:
     return matrix.withColumn("value", F.when(wrong, F.raise_error(F.lit("a value of the matrix is out of range")).cast("double")).otherwise(v))
 
 
+def matrix_report(matrix: DataFrame, members: DataFrame) -> DataFrame:
+    """One row of what a fit asks of a matrix: rows (two at least), columns (one at least), values out of range, values
+    that are not 0 or 1, memberships outside (0, 1), and whether all is sound."""
+    v = F.col("value").cast("double")
+    off = v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))
+    x = matrix.agg(F.count_distinct("feature").alias("columns"), F.count_if(off).alias("bad_values"), F.count_if(~off & ~v.isin(0.0, 1.0)).alias("not_binary"))
+    m = members.agg(F.count("*").alias("rows"), F.count_if(F.col("m").isNull() | (F.col("m") <= 0) | (F.col("m") >= 1)).alias("bad_memberships"))
+    return x.crossJoin(F.broadcast(m)).withColumn("sound", (F.col("rows") >= 2) & (F.col("columns") >= 1) & (F.col("bad_values") == 0) & (F.col("bad_memberships") == 0))
+
+
 def _weights(c: int) -> Column:
     return F.col("m") if c else 1 - F.col("m")
 
@@ -138,13 +149,8 @@ def row_totals(matrix: DataFrame) -> DataFrame:
 
 
 def median_split(projection: DataFrame, value: str) -> DataFrame:
-    """(row, m): 0.9 for the upper half of the rows by value, ties by row, and 0.1 for the rest.
-
-    The place of a row is the number of rows with smaller values, from a count of each value, plus its place among
-    the rows of its own value."""
+    """(row, m): 0.9 for the upper half of the rows by value, ties by row, and 0.1 for the rest."""
     p = projection.select("row", F.col(value).alias("v"))
-    sizes = p.groupBy("v").agg(F.count("*").alias("n"))
-    before = sizes.select("v", F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = p.agg(F.count("*").alias("total"))
-    placed = p.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("row")) - 1).join(before, "v").crossJoin(F.broadcast(total))  # one row
-    return placed.select("row", F.when(F.col("before") + F.col("k") >= F.floor(F.col("total") / 2), 0.9).otherwise(0.1).alias("m"))
+    placed = numbered(p, "v", "row").crossJoin(F.broadcast(total))  # one row
+    return placed.select("row", F.when(F.col("place") >= F.floor(F.col("total") / 2), 0.9).otherwise(0.1).alias("m"))

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def sequences(df: DataFrame, key: str, order: list[str], **arrays) -> DataFrame:
     """(key, seq, n_docs, arrays...): rows numbered from 0 in the given order, null keys as a sequence of their own."""
@@ -48,11 +50,15 @@ def feature_counts(found: DataFrame, by_key: bool = False) -> DataFrame:
     return found.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("cnt"), F.min(first).alias("first"))
 
 
-def ranked(counts: DataFrame, top: int, by_key: bool = False) -> DataFrame:
-    """counts with `rank` from 1, the most frequent first, ties by first appearance; ranks up to `top`."""
+def ranked(counts: DataFrame, top: int | None, by_key: bool = False) -> DataFrame:
+    """counts with `rank` from 1, the most frequent first, ties by first appearance; ranks up to `top`,
+    or of all if it is None."""
     if by_key:
         order = Window.partitionBy("key").orderBy(F.desc("cnt"), "first")
-        return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        placed = counts.withColumn("rank", F.row_number().over(order))
+        return placed if top is None else placed.where(F.col("rank") <= top)
+    if top is None:
+        return numbered(counts, F.desc("cnt"), "first", name="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     best = counts.orderBy(F.desc("cnt"), "first").limit(top)  # top rows of each task, then of those
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "first")))
 

@@ -17,7 +17,7 @@ from ..operators import evaluate, text
 from ..sources import io
 
 #: Panels (dimensions, p, p_form), fractions of formulaic features, and panels (dimension, coefficient) with noise levels.
-CATEGORICAL = [(200, 0.10, 0.20), (200, 0.01, 0.11), (50, 0.01, 0.11), (20, 0.5, 0.6)]
+CATEGORICAL = [(200, 0.10, 0.20), (200, 0.05, 0.15), (200, 0.01, 0.11), (50, 0.10, 0.20), (50, 0.05, 0.15), (50, 0.01, 0.11), (20, 0.5, 0.6), (20, 0.5, 0.8), (20, 0.5, 1.0)]
 FRACTIONS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 GAUSSIAN, NOISE = [(50, 20), (50, 5), (50, 2), (10, 20), (10, 10), (10, 2)], [0.0, 0.1, 0.2, 0.5, 0.7, 0.9]
 NGRAMS, WINDOWS, FEATURES = [1, 2, 3, 4, 5], [2, 3, 4, 6, 8, 10, 12, 14, 18, 22, 24, 26, 28], [100, 300, 500, None]
@@ -79,14 +79,15 @@ def gaussian_tasks(spark: SparkSession, config: Config) -> DataFrame:
     return evaluate.grid(panels, noise, simulations).withColumn("samples_per_class", F.col("dimension") * F.col("coefficient")).withColumn("seed", seed)
 
 
-def attempted(run: Callable[[int], float], seed: int) -> float:
-    """The first score that an attempt gives; each attempt has a seed of its own, and none leaves NaN."""
+def attempted(run: Callable[[int], float], seed: int) -> tuple[float, str | None]:
+    """The first score that an attempt gives; each attempt has a seed of its own. NaN and the last reason if none does."""
+    reason = None
     for k in range(ATTEMPTS):
         try:
-            return run((seed + k * GOLDEN) % (1 << 64))
-        except (FloatingPointError, ValueError, np.linalg.LinAlgError):
-            continue
-    return float("nan")
+            return run((seed + k * GOLDEN) % (1 << 64)), None
+        except (FloatingPointError, ValueError, np.linalg.LinAlgError) as e:
+            reason = f"{type(e).__name__}: {e}"
+    return float("nan"), reason
 
 
 def categorical_trials(tasks: DataFrame, config: Config) -> DataFrame:
@@ -100,8 +101,8 @@ def categorical_trials(tasks: DataFrame, config: Config) -> DataFrame:
         found = kernels.partition(x, "bernoulli", config.restarts, config.iterations, seed=seed)
         scores = {
             "Cross-Entropy": kernels.normalized_mcc(truth, found["labels"]),
-            "K-means": attempted(lambda s: kernels.normalized_mcc(truth, kernels.kmeans(x, s, 20)), seed),
-            "GMM": attempted(lambda s: kernels.normalized_mcc(truth, kernels.gmm(x, s)), seed),
+            "K-means": attempted(lambda s: kernels.normalized_mcc(truth, kernels.kmeans(x, s)), seed)[0],
+            "GMM": attempted(lambda s: kernels.normalized_mcc(truth, kernels.gmm(x, s)), seed)[0],
             "DBSCAN": kernels.normalized_mcc(truth, kernels.dbscan_binary(x)),
         }
         for method, score in scores.items():
@@ -113,7 +114,7 @@ def categorical_trials(tasks: DataFrame, config: Config) -> DataFrame:
 
 
 def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iterations: int = 180) -> DataFrame:
-    """Five rows for each task; a method that fails on every attempt has NaN."""
+    """Six rows for each task; a method that fails on every attempt has NaN and the reason."""
     digest = config.digest()
 
     def trial(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,21 +124,24 @@ def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iteration
         methods = {
             "Self-Information": lambda s: kernels.weighted_partition(x, kernels.gaussian_objective, s, starts, iterations),
             "$L_2$ Norm": lambda s: kernels.weighted_partition(x, kernels.radius_objective, s, starts, iterations),
+            "Differential Entropy": lambda s: kernels.cross_entropy_clusters(x, s, log_space=False),
             "Gaussian Mixture": lambda s: kernels.gmm(x, s),
             "Reg. EM": lambda s: kernels.regularized_em(x, s),
             "CEC": lambda s: kernels.cross_entropy_clusters(x, s),
         }
-        rows = [(int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, name, attempted(lambda s, f=f: kernels.normalized_mcc(truth, f(s)), seed), digest) for name, f in methods.items()]
+        rows = [(int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, name, *attempted(lambda s, f=f: kernels.normalized_mcc(truth, f(s)), seed), digest) for name, f in methods.items()]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in io.GAUSSIAN_TRIALS.split(", ")])
 
     return tasks.groupBy("dimension", "coefficient", "noise", "simulation").applyInPandas(trial, io.GAUSSIAN_TRIALS)
 
 
-def resumed(tasks: DataFrame, trials: Callable[[DataFrame], DataFrame], keys: list[str], schema: str, path: str, config: Config) -> DataFrame:
-    """Runs the tasks that `path` does not hold for this configuration, appends their rows and returns all of them."""
+def resumed(tasks: DataFrame, trials: Callable[[DataFrame], DataFrame], keys: list[str], schema: str, path: str, config: Config, batches: int = 1) -> DataFrame:
+    """Runs the tasks that `path` does not hold for this configuration, appends their rows and returns all of them. Rows
+    are appended batch by batch (by a hash of the keys), so that a run that ends early keeps those that are done."""
     spark = tasks.sparkSession
     done = io.results(spark, path, schema).where(F.col("config") == config.digest())
-    io.append(trials(io.still_to_run(tasks, done, keys)), path, schema)
+    for k in range(batches):
+        io.append(trials(io.still_to_run(tasks.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k), done, keys)), path, schema)
     return io.results(spark, path, schema).where(F.col("config") == config.digest())
 
 
@@ -152,7 +156,7 @@ def text_sweep(docs: DataFrame, labels: DataFrame, ngrams: list[int], windows: l
             found = text.occurrences(docs, n, w).cache()
             counts = text.feature_counts(found)
             for f in features:
-                chosen = text.ranked(counts, f or 1 << 30)
+                chosen = text.ranked(counts, f)
                 parts.append(text.count_matrix(found, chosen).select("row", "feature_id", "value", F.lit(n).alias("ngram"), F.lit(w).alias("window"), F.lit("all" if f is None else str(f)).alias("features")))
     entries = parts[0]
     for p in parts[1:]:
@@ -171,7 +175,7 @@ def text_sweep(docs: DataFrame, labels: DataFrame, ngrams: list[int], windows: l
         base = [key, int(one.ngram), int(one.window), one.features, len(rows), len(cols), model, "count"]
         try:
             best = kernels.partition(x, model, restarts, iterations)
-            tail = [kernels.normalized_mcc(truth, best["labels"]), kernels.normalized_mcc(truth, kernels.kmeans(x, 0, 10)), best["loss"], bool(best["success"]), int(best["n_iter"]), config]
+            tail = [kernels.normalized_mcc(truth, best["labels"]), kernels.normalized_mcc(truth, kernels.kmeans(x, 0)), best["loss"], bool(best["success"]), int(best["n_iter"]), config]
         except ValueError:  # too few rows, or every start collapsed
             tail = [float("nan"), float("nan"), float("nan"), False, 0, config]
         return pd.DataFrame([base + tail], columns=[c.split()[0] for c in io.SWEEP.split(", ")])
@@ -195,3 +199,13 @@ def partitions(matrix: DataFrame, by: str, model: str, restarts: int = 6, iterat
 
     kind = dict(matrix.dtypes)
     return matrix.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, row {kind['row']}, membership double, label int, loss double")
+
+
+def objectives(df: DataFrame, by: str, vector: str, objective: Callable) -> DataFrame:
+    """(by, n, objective): the value of a weighted objective of each group's vectors, all weights one half."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(v, float) for v in group[vector]])
+        return pd.DataFrame({by: [group[by].iloc[0]], "n": [len(x)], "objective": [float(objective(x, np.full(len(x), 0.5))[0])]})
+
+    return df.groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, objective double")

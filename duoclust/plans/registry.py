@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import evaluate, inference, optimize, score, text
+from ..functions import kernels, scalar
+from ..operators import evaluate, inference, optimize, order, score, text
+from ..sources import io
 from . import benchmarks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Columns of the sparse matrix that the score queries use; replicates of the resampling queries.
-COLUMNS, REPLICATES = 60, 8
+COLUMNS, REPLICATES = 100, 500
 
 
 def query(sql: str | None = None):
@@ -127,9 +128,11 @@ def binary_matrix(spark, sf_dir):
     return text.binary(_window_matrix(spark, sf_dir)[1])
 
 
-@query(f"WITH {_MATRIX_12} SELECT d.key, d.seq AS row FROM docs d ANTI JOIN matrix m ON d.key = m.key AND d.seq = m.row")
+@query(f"WITH {_MATRIX_12} SELECT d.key, d.seq AS row FROM docs d ANTI JOIN (SELECT * FROM matrix WHERE feature_id BETWEEN 40 AND 50) m ON d.key = m.key AND d.seq = m.row")
 def dropped_rows(spark, sf_dir):
-    return text.dropped_rows(*_window_matrix(spark, sf_dir))
+    """Windows without any of the features of rank 40 to 50."""
+    docs, matrix = _window_matrix(spark, sf_dir)
+    return text.dropped_rows(docs, matrix.where("feature_id between 40 and 50"))
 
 
 _REAL = f"""{_occurrences_sql(2, 2)}, real AS (SELECT feature, other, CAST(sum(hi - lo + 1) AS BIGINT) AS cnt, min(struct_pack(k := key, l := lo, p := place)) AS first FROM found GROUP BY feature, other)"""
@@ -211,9 +214,9 @@ def keep_last_dedupe(spark, sf_dir):
     return evaluate.keep_last(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def resume_anti_join(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return evaluate.missing(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
@@ -494,6 +497,170 @@ def reused_results(spark, sf_dir):
     return evaluate.reused(tasks, known, ["event_id"], "value").select("event_id", "user_id", "to_compute")
 
 
+# ---------------------------------------------------------------- single operators
+
+
+@query("SELECT event_id, round(least(50.0, greatest(10.0, value)), 6) AS clipped FROM events WHERE value IS NOT NULL")
+def clipped_values(spark, sf_dir):
+    return _rounded(table(spark, sf_dir, "events").where("value is not null").select("event_id", scalar.clip(F.col("value"), 10.0, 50.0).alias("clipped")), "clipped")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_discount, 1) AS fraction FROM lineitem")
+def rounded_fractions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalar.rounded_fraction(F.col("l_discount")).alias("fraction"))
+
+
+@query("SELECT ps AS size, CAST(greatest(2, trunc(ps * 0.3)) AS INTEGER) AS chosen FROM (SELECT DISTINCT p_size AS ps FROM part)")
+def truncated_products(spark, sf_dir):
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("size")).distinct()
+    return sizes.select("size", scalar.truncated_share(F.col("size"), F.lit(0.3), 2).alias("chosen"))
+
+
+@query("SELECT DISTINCT p, CASE WHEN abs(p - 1) <= 1e-5 + 1e-8 THEN '1' ELSE rtrim(printf('%.2f', p), '0') END AS shown FROM (SELECT l_tax * 12.5 AS p FROM lineitem)")
+def probability_labels(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_tax") * 12.5).alias("p")).distinct()
+    return p.select("p", scalar.probability_label("p").alias("shown"))
+
+
+@query("""SELECT o_orderkey, CAST(attempt AS INTEGER) AS attempt, CAST((CAST(o_orderkey AS HUGEINT) * 1000000007 + CAST(attempt AS HUGEINT) * 11400714819323198485) % 18446744073709551616 AS VARCHAR) AS seed
+    FROM orders, range(0, 5) g(attempt)""")
+def wrapped_seeds(spark, sf_dir):
+    tries = spark.range(5).select(F.col("id").cast("int").alias("attempt"))
+    each = evaluate.grid(table(spark, sf_dir, "orders").select("o_orderkey"), tries)
+    return each.select("o_orderkey", "attempt", scalar.wrapped_seed(F.col("o_orderkey") * 1000000007, F.col("attempt")).cast("string").alias("seed"))
+
+
+@query("SELECT DISTINCT 'n-' || p_size || '_l-' || (p_size % 7) || '_f-' || coalesce(CAST(nullif(p_size % 5, 0) AS VARCHAR), 'all') AS key FROM part")
+def result_keys(spark, sf_dir):
+    size = F.col("p_size")
+    part = table(spark, sf_dir, "part").select(size.alias("n"), (size % 7).alias("w"), F.nullif(size % 5, F.lit(0)).alias("f"))
+    return part.select(scalar.result_key("n", "w", "f").alias("key")).distinct()
+
+
+@query("SELECT name, lower(model) AS model FROM (VALUES ('Binary', 'bernoulli'), (' BERNOULLI ', 'bernoulli'), ('binomial', 'binomial'), ('Multinomial', 'multinomial')) t(name, model)")
+def model_aliases(spark, sf_dir):
+    return spark.createDataFrame([(x, scalar.score_model(x)) for x in ("Binary", " BERNOULLI ", "binomial", "Multinomial")], "name string, model string")
+
+
+@query(f"""WITH {_MATRIX} SELECT (SELECT count(DISTINCT feature) FROM x) AS columns, (SELECT count(*) FROM x WHERE value IS NULL OR value < 0) AS bad_values, (SELECT count(*) FROM x WHERE value NOT IN (0, 1)) AS not_binary,
+    (SELECT count(*) FROM mem) AS rows, (SELECT count(*) FROM mem WHERE m <= 0 OR m >= 1) AS bad_memberships, TRUE AS sound""")
+def matrix_report(spark, sf_dir):
+    x, members, _ = _matrix(spark, sf_dir)
+    return score.matrix_report(x, members)
+
+
+@query("SELECT doc_id, quality, CAST(quality = (SELECT quality FROM documents JOIN labels USING (doc_id) GROUP BY quality ORDER BY avg(n_chars), quality LIMIT 1) AS INTEGER) AS oriented FROM labels")
+def oriented_labels(spark, sf_dir):
+    """1 for rows of the cluster with the lower mean length."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    chosen = evaluate.lower_mean_cluster(labels.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id"), "quality", "n_chars").first()["quality"]
+    return evaluate.oriented(labels, "quality", chosen)
+
+
+@query("SELECT l_returnflag AS cluster, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1 ORDER BY avg(l_quantity), 1 LIMIT 1")
+def lower_mean_cluster(spark, sf_dir):
+    return _rounded(evaluate.lower_mean_cluster(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cluster"), "l_quantity"), "cluster", "l_quantity"), "mean")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def stable_order(spark, sf_dir):
+    """Every order's place by priority, then price, ties by key."""
+    return order.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderpriority", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "place")
+
+
+@query(f"WITH {_occurrences_sql(1, 4)} SELECT feature, cnt, rank FROM ranks")
+def all_features_ranked(spark, sf_dir):
+    """The feature setting "all": every word with its rank."""
+    counts = text.feature_counts(text.occurrences(_conversations(spark, sf_dir), 1, 4))
+    return text.ranked(counts, None).select(scalar.display("feature").alias("feature"), "cnt", "rank")
+
+
+@query("SELECT o_orderkey, index FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders) WHERE index >= 100 AND index < 900 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def tasks_of_a_range(spark, sf_dir):
+    tasks = order.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", name="index")
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return io.still_to_run(tasks, done, ["o_orderkey"], 100, 900)
+
+
+@query("""SELECT c_custkey AS key, c_acctbal AS value, 'new' AS source FROM customer WHERE c_custkey % 3 = 0 UNION ALL
+    SELECT s_suppkey, s_acctbal, 'old' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)""")
+def merged_results(spark, sf_dir):
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"), F.lit("old").alias("source"))
+    new = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("new").alias("source"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    return io.merged(old, new, ["key"])
+
+
+@query("SELECT method, mcc FROM (VALUES ('b', CAST(0.5 AS DOUBLE)), ('b', NULL)) t(method, mcc)")
+def methods_with_values(spark, sf_dir):
+    rows = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", 0.5), ("b", None)], "method string, mcc double")
+    return evaluate.without_empty_methods(rows, "method", "mcc")
+
+
+@query("SELECT 'C' AS book, CAST(conv_id AS INTEGER) AS chapter, CAST(turn AS INTEGER) AS verse, CAST(role = 'user' AS INTEGER) AS label, row_number() OVER (ORDER BY conv_id, turn, role) - 1 AS seq, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS INTEGER) AS n FROM (SELECT * FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1)")
+def annotated_corpus(spark, sf_dir):
+    """An annotation CSV and a token corpus, written, read back and joined by book, chapter and verse."""
+    rows = table(spark, sf_dir, "conversations")
+    rows = rows.join(rows.groupBy("conv_id", "turn").count().where("count = 1"), ["conv_id", "turn"])
+    csv, parquet = io.fresh_path(spark, "annotations"), io.fresh_path(spark, "corpus")
+    marked = rows.select(F.lit("C").alias("Book"), F.col("conv_id").alias("Chapter"), F.col("turn").alias("Verse"), (F.col("role") == "user").cast("int").alias("P"), "role")
+    io.write_csv(marked.orderBy("Chapter", "Verse", "role").drop("role").coalesce(1), csv)  # an annotation file is one small file, and its order counts
+    toks = scalar.tokens("text")
+    rows.select(F.lit("C").alias("book"), F.col("conv_id").cast("int").alias("chapter"), F.col("turn").cast("int").alias("verse"), toks.alias("morph"), toks.alias("text")).write.parquet(parquet)
+    found = io.annotated_documents(io.annotations(spark, csv, "P"), io.corpus(spark, parquet))
+    return found.select("book", "chapter", "verse", "label", "seq", F.size("morph").alias("n"))
+
+
+@query("SELECT o_orderstatus AS method, count(*) AS trials, round(avg(o_totalprice), 4) AS mcc FROM orders GROUP BY 1")
+def appended_results(spark, sf_dir):
+    """A result table, appended in two steps and resumed: only what is missing is written the second time."""
+    path, schema = io.fresh_path(spark, "results"), "key long, method string, mcc double"
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("method"), F.col("o_totalprice").alias("mcc"))
+    io.append(rows.where("key % 2 = 0"), path, schema)
+    io.append(io.still_to_run(rows, io.results(spark, path, schema), ["key"]), path, schema)
+    return _rounded(io.results(spark, path, schema).groupBy("method").agg(F.count("*").alias("trials"), F.avg("mcc").alias("mcc")), "mcc", to=4)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_round_trip(spark, sf_dir):
+    path = io.fresh_path(spark, "nations")
+    io.write_json(table(spark, sf_dir, "nation"), path)
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+
+
+@query("SELECT lower(n_name) AS package, '1.' || n_nationkey AS version FROM nation")
+def lock_files(spark, sf_dir):
+    """A lock file with comments and blank lines, written and read back."""
+    path = io.fresh_path(spark, "lock")
+    lines = table(spark, sf_dir, "nation").select(F.explode(F.array(F.concat(F.lower("n_name"), F.lit("==1."), F.col("n_nationkey").cast("string")), F.lit("# a comment"), F.lit("  "))).alias("value"))
+    lines.write.text(path)
+    return io.lock_file(spark, path)
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(p AS DOUBLE) AS p FROM (VALUES (0, 1.0), (1, 0.317310507863), (2, 0.045500263896), (3, 0.002699796063), (4, 0.000063342484), (5, 0.000000573303)) t(k, p)")
+def normal_tails(spark, sf_dir):
+    """Two-sided tails of the normal law (reference values from tables), by way of their own Z scores."""
+    z = spark.range(6).select(F.col("id").cast("int").alias("k"), inference.two_sided_p(F.col("id").cast("double")).alias("p"))
+    again = z.select("k", inference.two_sided_p(inference.z_of_p("p")).alias("p"))
+    return _rounded(again, "p", to=12)
+
+
+@query("""WITH h AS (SELECT label, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS DOUBLE) AS s FROM embeddings WHERE len(embedding) > 0)
+    SELECT label, round(stddev_pop(0.5 * sqrt(s)) * avg(0.5 * sqrt(s)) / sqrt(count(*) * 0.25), 8) AS objective FROM h GROUP BY label HAVING count(*) > 1""")
+def radius_objectives(spark, sf_dir):
+    """The fitting kernel's L2 objective of each label's vectors at equal weights."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("label", "embedding")
+    return _rounded(benchmarks.objectives(e, "label", "embedding", kernels.radius_objective).where("n > 1").select("label", "objective"), "objective", to=8)
+
+
+@query("""WITH h AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings WHERE len(embedding) > 0), m AS (SELECT label, avg(x) AS mean, var_pop(x) + 0.01 AS v, count(*) AS n FROM h GROUP BY label),
+    s AS (SELECT h.label, n, 0.5 * (ln(2 * pi()) + ln(v) + (x - mean) * (x - mean) / v) AS h FROM h JOIN m USING (label))
+    SELECT label, round(stddev_pop(h) * avg(h) / sqrt(any_value(n) * 0.25), 8) AS objective FROM s GROUP BY label HAVING count(*) > 1""")
+def gaussian_objectives(spark, sf_dir):
+    """The fitting kernel's Gaussian objective of each label's first coordinate at equal weights."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("label", F.slice("embedding", 1, 1).alias("embedding"))
+    return _rounded(benchmarks.objectives(e, "label", "embedding", kernels.gaussian_objective).where("n > 1").select("label", "objective"), "objective", to=8)
+
+
 # ---------------------------------------------------------------- fits and benchmarks: no SQL
 
 
@@ -515,12 +682,12 @@ def optimized_partitions(spark, sf_dir):
     found = text.occurrences(docs, 1, 2)
     chosen = text.ranked(text.feature_counts(found), 100)
     matrix = text.count_matrix(found, chosen).select("key", "row", F.col("feature_id").alias("feature"), "value")
-    return benchmarks.partitions(matrix, "key", "multinomial", restarts=2, iterations=60)
+    return benchmarks.partitions(matrix, "key", "multinomial")
 
 
 @query()
 def categorical_benchmark(spark, sf_dir):
-    config = benchmarks.Config(simulations=1, rows_per_cluster=50, restarts=2, iterations=60)
+    config = benchmarks.Config(simulations=1)
     trials = benchmarks.categorical_trials(benchmarks.categorical_tasks(spark, config), config)
     return evaluate.summary(trials, ["panel", "dimensions", "p", "p_form", "fraction", "method"], "mcc")
 
@@ -528,8 +695,8 @@ def categorical_benchmark(spark, sf_dir):
 @query()
 def gaussian_benchmark(spark, sf_dir):
     config = benchmarks.Config(simulations=1)
-    tasks = benchmarks.gaussian_tasks(spark, config).where("samples_per_class <= 100")
-    return evaluate.summary(benchmarks.gaussian_trials(tasks, config, starts=1, iterations=60), ["dimension", "coefficient", "samples_per_class", "noise", "method"], "mcc")
+    tasks = benchmarks.gaussian_tasks(spark, config)
+    return evaluate.summary(benchmarks.gaussian_trials(tasks, config), ["dimension", "coefficient", "samples_per_class", "noise", "method"], "mcc")
 
 
 @query()
@@ -537,4 +704,17 @@ def permutation_significance(spark, sf_dir):
     """Do long conversations have longer turns? One value for each turn of the panel."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null").orderBy("conv_id").collect()  # one summary for each conversation
     middle = sorted(r["n"] for r in turns)[len(turns) // 2] if turns else 0
-    return inference.permutation_test([r["v"] for r in turns], [r["n"] > middle for r in turns], spark, 20_000)
+    return inference.permutation_test([r["v"] for r in turns], [r["n"] > middle for r in turns], spark, 100_000)
+
+
+@query()
+def large_gmm(spark, sf_dir):
+    return optimize.large_gmm(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.slice("embedding", 1, 8).alias("v")), "v").select("vec_id", "label")
+
+
+@query()
+def text_sweep(spark, sf_dir):
+    """Part of the sweep's grid over the turns of all conversations as one sequence: user turns against the others."""
+    turns = table(spark, sf_dir, "conversations").where("role is not null").withColumn("key", F.lit(0))
+    docs = text.sequences(turns, "key", ["conv_id", "turn", "role", "text"], toks=F.transform(scalar.tokens("text"), F.lower), label=(F.col("role") == "user").cast("int"))
+    return benchmarks.text_sweep(docs.drop("label"), docs.select(F.col("seq").alias("row"), "label"), [1, 2], [2, 4], [100, 300], model="multinomial")

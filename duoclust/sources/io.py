@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +13,32 @@ from pyspark.sql.types import StructType
 
 CORPUS = "book string, chapter int, verse int, morph array<string>, text array<string>"
 TRIALS = "panel int, dimensions int, p double, p_form double, fraction double, simulation int, seed decimal(20,0), method string, mcc double, information_loss double, optimizer_success boolean, config string"
-GAUSSIAN_TRIALS = "dimension int, coefficient int, samples_per_class int, noise double, seed decimal(20,0), method string, mcc double, config string"
+GAUSSIAN_TRIALS = "dimension int, coefficient int, samples_per_class int, noise double, seed decimal(20,0), method string, mcc double, failure string, config string"
 SWEEP = "combination string, ngram int, window int, features string, n_samples int, n_features int, score_model string, matrix_representation string, information_mcc double, kmeans_mcc double, information_loss double, optimizer_success boolean, optimizer_iterations int, config string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="duoclust-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder all executors share and read back."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def annotations(spark: SparkSession, path: str, label: str) -> DataFrame:
     """(book, chapter, verse, label, seq) of a CSV with Book, Chapter, Verse and label columns. seq is the row's place
     in the file, from 0: keys repeat, so only it tells rows apart. Blank lines do not count."""

@@ -1,12 +1,13 @@
 """Exact top-k inner-product search over a vector-approximation file.
 
-Each vector is kept twice: as one cell number per dimension (the approximation) and exactly. A scan of the
-cells bounds every score from both sides. The k-th largest lower bound of a query is a floor that only a few
-upper bounds reach; the exact vectors behind those are read in the order of their bounds, highest first, until
-the k-th exact score is at least the next bound.
-
-Vectors that are equal are searched once and stand for their smallest ids. Queries and vectors meet block by
-block; nothing is sent whole to a task or to the driver.
+Each vector is kept twice: as one cell number of a byte per dimension (the approximation) and exactly. A scan of the
+cells bounds every score from both sides. The k-th largest lower bound of a query is a floor; a second scan of the cells
+writes the vectors whose upper bounds reach it, as (query, vector, bound). Only then are exact vectors read, by a
+join of those rows, in the order of their bounds, highest first, in rounds, until the k-th exact score of a query is at
+least the next bound.
+
+Vectors that are equal are searched once and stand for their smallest ids. Queries and cells meet block by block;
+nothing is sent whole to a task or to the driver.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tasks_wanted, written
+from .common import dropped, tasks_wanted, written
 
-#: Integer values that share a cell.
-CELL = 8
-#: Distinct vectors and distinct queries in a block, about.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Cells of a component's range.
+CELLS = 64
+#: Distinct vectors and distinct queries in a block, about; queries whose bounds are held at once.
+VECTOR_BLOCK, QUERY_BLOCK, HELD = 16384, 4096, 256
+#: Exact vectors that the first round reads for a query, times k.
+FIRST = 2
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -35,97 +38,113 @@ def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256)
     return df.where(x.isNotNull() & (F.size(x) > 0) & fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, np.int64) for v in vectors])
+def _table(column: pa.ListArray, values: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of one block, a list of structs of vec_id and a list."""
+    rows = column.flatten()
+    flat = rows.field(values).flatten()
+    return np.asarray(rows.field("vec_id")), np.asarray(flat).reshape(len(rows), -1)
 
 
-def _bounds(q: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bounds(q: np.ndarray, cells: np.ndarray, least: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of q @ v for every v of the cells; exact for values below 2**53."""
-    base = (q.astype(np.float64) @ cells.T.astype(np.float64)) * CELL
-    high = np.maximum(q, 0).sum(axis=1, keepdims=True) * (CELL - 1)
-    low = np.minimum(q, 0).sum(axis=1, keepdims=True) * (CELL - 1)
+    base = q.astype(np.float64) @ (cells.T.astype(np.float64) * width + least)
+    high = np.maximum(q, 0).sum(axis=1, keepdims=True) * (width - 1)
+    low = np.minimum(q, 0).sum(axis=1, keepdims=True) * (width - 1)
     return base + low, base + high
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """(query ids, queries, their floors, vector ids, cells, least, width), some queries of a block at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            ids, cells = _table(one.column("cells"), "c")
+            queries, q = _table(one.column("queries"), "v")
+            floors = np.asarray(one.column("queries").flatten().field("floor"))
+            least, width = one.column("least")[0].as_py(), one.column("width")[0].as_py()
+            for at in range(0, len(q), HELD):
+                part = slice(at, at + HELD)
+                yield queries[part], q[part], floors[part], ids, cells, least, width
+
+
 def _floors(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, r in batch.iterrows():
-                q, cells = _matrix([x["v"] for x in r["queries"]]), _matrix([x["c"] for x in r["cells"]])
-                low, _ = _bounds(q, cells)
-                m = min(k, low.shape[1])
-                best = np.partition(low, low.shape[1] - m, axis=1)[:, low.shape[1] - m :]
-                yield pd.DataFrame({"query": np.repeat([x["vec_id"] for x in r["queries"]], m), "low": best.ravel()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for queries, q, _, _, cells, least, width in _blocks(batches):
+            low, _ = _bounds(q, cells, least, width)
+            m = min(k, low.shape[1])
+            best = np.partition(low, low.shape[1] - m, axis=1)[:, low.shape[1] - m :]
+            yield pa.RecordBatch.from_pydict({"query": np.repeat(queries, m), "low": best.ravel()})
 
     return run
 
 
-def _visit(k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, r in batch.iterrows():
-                q, exact = _matrix([x["v"] for x in r["queries"]]), _matrix([x["v"] for x in r["vectors"]])
-                ids = np.array([x["vec_id"] for x in r["vectors"]], np.int64)
-                floors = np.array([x["floor"] for x in r["queries"]], np.float64)
-                _, high = _bounds(q, exact // CELL)
-                out: list[tuple] = []
-                for i, x in enumerate(r["queries"]):
-                    likely = np.flatnonzero(high[i] >= floors[i])
-                    likely = likely[np.argsort(-high[i][likely], kind="stable")]
-                    got, scores, at, step = likely[:0], np.zeros(0, np.int64), 0, 4 * k
-                    while at < len(likely):
-                        if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > high[i][likely[at]]:
-                            break
-                        chunk = likely[at : at + step]
-                        got, scores = np.append(got, chunk), np.append(scores, exact[chunk] @ q[i])
-                        at, step = at + step, step * 2
-                    order = np.lexsort((ids[got], -scores))[:k]
-                    out += [(x["vec_id"], int(ids[got[j]]), int(scores[j])) for j in order]
-                yield pd.DataFrame(out, columns=["query", "vec", "score"])
-
-    return run
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for queries, q, floors, ids, cells, least, width in _blocks(batches):
+        _, high = _bounds(q, cells, least, width)
+        i, j = np.nonzero(high >= floors[:, None])
+        yield pa.RecordBatch.from_pydict({"query": queries[i], "vec": ids[j], "high": high[i, j]})
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, reads: list[int] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query row with all other rows,
     ties to the smaller vec_id; all of them if there are fewer. `vectors` is what integer_vectors() gives and
     `is_query` a condition on its vec_id. Vectors of different lengths are never compared. An empty table
-    gives an empty result; equal vectors and repeated rows count row by row."""
+    gives an empty result; equal vectors and repeated rows count row by row. `reads` is given the number of
+    exact vectors that each round reads."""
     spark, want = vectors.sparkSession, k + 1
     first = Window.partitionBy("v").orderBy("vec_id")
     kept = vectors.withColumn("n", F.row_number().over(first)).where(F.col("n") <= want)
     distinct = written(kept.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "topk-distinct")
     asked = written(vectors.where(is_query).select("v", F.col("vec_id").alias("query_id")).join(distinct.select("v", F.col("vec_id").alias("query")), "v"), "topk-asked")
-    sizes = distinct.groupBy(F.size("v").alias("dim")).count()
     searched = asked.select("query", "v").distinct().select(F.col("query").alias("vec_id"), "v")
-    parts = sizes.select("dim", F.ceil(F.col("count") / VECTOR_BLOCK).cast("int").alias("vector_blocks"))
-    query_parts = searched.groupBy(F.size("v").alias("dim")).count().select("dim", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-
-    def blocks(df: DataFrame, per_dim: DataFrame, n: str, name: str) -> DataFrame:
-        d = df.withColumn("dim", F.size("v")).join(F.broadcast(per_dim), "dim")  # one row for each length of vector
-        return d.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int"))
-
-    v = blocks(distinct.select("vec_id", "v"), parts, "vector_blocks", "vb")
-    cells = F.transform("v", lambda e: F.floor(e / CELL).cast("long"))
-    packed = v.groupBy("dim", "vb").agg(F.collect_list(F.struct("vec_id", cells.alias("c"))).alias("cells"))
-    exact = v.groupBy("dim", "vb").agg(F.collect_list(F.struct("vec_id", "v")).alias("vectors"))
-    q = blocks(searched, query_parts, "query_blocks", "qb")
-    n = tasks_wanted(spark)
-
-    def met(left: DataFrame, queries: DataFrame) -> DataFrame:
-        """Every vector block beside every query block of its length."""
-        spread = left.join(F.broadcast(query_parts), "dim").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        return spread.join(queries, ["dim", "qb"]).repartition(n, "dim", "vb", "qb")
-
-    groups = q.groupBy("dim", "qb").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    lows = met(packed, groups).select("queries", "cells").mapInPandas(_floors(want), "query long, low double")
+    width = F.greatest(F.lit(1), F.ceil((F.max(F.array_max("v")) - F.min(F.array_min("v")) + 1) / CELLS)).cast("long")
+    sizes = distinct.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("vector_blocks"), F.min(F.array_min("v")).alias("least"), width.alias("width"))
+    query_sizes = searched.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks"))
+    sizes = written(sizes.join(query_sizes, "dim"), "topk-sizes")  # a row for each length of vector that has queries
+
+    def blocks(df: DataFrame, n: str, name: str) -> DataFrame:
+        return df.withColumn("dim", F.size("v")).join(F.broadcast(sizes), "dim").withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int"))
+
+    v = blocks(distinct.select("vec_id", "v"), "vector_blocks", "vb")
+    cells = F.transform("v", lambda e: F.floor((e - F.col("least")) / F.col("width")).cast("tinyint"))
+    v = v.select("dim", "vb", "least", "width", "query_blocks", F.struct("vec_id", cells.alias("c")).alias("cell"))
+    packed = written(v.groupBy("dim", "vb", "least", "width", "query_blocks").agg(F.collect_list("cell").alias("cells")), "topk-cells")
+    q = blocks(searched, "query_blocks", "qb").select("dim", "qb", "vec_id", "v")
+
+    def met(queries: DataFrame) -> DataFrame:
+        """Every block of cells beside every block of queries of its length."""
+        groups = queries.groupBy("dim", "qb").agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
+        spread = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
+        return spread.join(groups, ["dim", "qb"]).repartition(tasks_wanted(spark), "dim", "vb", "qb").select("queries", "cells", "least", "width")
+
+    lows = met(q.withColumn("floor", F.lit(0.0))).mapInArrow(_floors(want), "query long, low double")
     by_low = Window.partitionBy("query").orderBy(F.desc("low"))
     floor = lows.withColumn("n", F.row_number().over(by_low)).where(F.col("n") <= want).groupBy("query").agg(F.when(F.count("*") >= want, F.min("low")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    with_floor = q.join(floor, q["vec_id"] == floor["query"]).groupBy("dim", "qb").agg(F.collect_list(F.struct("vec_id", "v", "floor")).alias("queries"))
-    found = met(exact, with_floor).select("queries", "vectors").mapInPandas(_visit(want), "query long, vec long, score long")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    named = found.join(distinct.select(F.col("vec_id").alias("vec"), "ids"), "vec").select("query", "score", F.explode("ids").alias("vec_id"))
-    named = named.withColumn("n", F.row_number().over(best)).where(F.col("n") <= want).drop("n")
+    floor = written(floor, "topk-floors")
+    likely = met(q.join(floor, q["vec_id"] == floor["query"]).drop("query")).mapInArrow(_candidates, "query long, vec long, high double")
+    by_high = Window.partitionBy("query").orderBy(F.desc("high"), "vec")
+    likely = written(likely.withColumn("turn", F.row_number().over(by_high)), "topk-candidates", floor, packed)
+
+    exact, of_query = distinct.select(F.col("vec_id").alias("vec"), "v"), searched.select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec")
+    scored, left, last, step = None, likely, 0, FIRST * want
+    while True:
+        near = left.where(F.col("turn") <= last + step).select("query", "vec")
+        got = written(near.join(exact, "vec").join(of_query, "query").select("query", "vec", product.alias("score")), "topk-read")
+        if reads is not None:
+            reads.append(got.count())
+        top = got if scored is None else scored.unionByName(got)
+        scored = written(top.withColumn("n", F.row_number().over(best)).where(F.col("n") <= want).drop("n"), "topk-scored", got, *([] if scored is None else [scored]))
+        kth = scored.groupBy("query").agg(F.when(F.count("*") >= want, F.min("score")).alias("kth"))
+        open_ = left.where(F.col("turn") > last + step).join(kth, "query").where(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).drop("kth")
+        left, last, step = written(open_, "topk-left", left), last + step, 4 * step
+        if left.isEmpty():
+            break
+    dropped(left)
+    named = scored.join(distinct.select(F.col("vec_id").alias("vec"), "ids"), "vec").select("query", "score", F.explode("ids").alias("vec_id"))
+    by_id = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    named = named.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= want).drop("n")
     ranks = Window.partitionBy("row", "query_id").orderBy(F.desc("score"), "vec_id")
     out = asked.select("query", "query_id", F.monotonically_increasing_id().alias("row")).join(named, "query").where(F.col("vec_id") != F.col("query_id"))
     out = out.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)

@@ -226,7 +226,9 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "VECTOR_BLOCK", 40)
     monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 2)
     df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = exact_topk.top_k(exact_topk.integer_vectors(df, "id", "v"), F.col("vec_id") % 10 == 0, 5).collect()
+    reads = []
+    got = exact_topk.top_k(exact_topk.integer_vectors(df, "id", "v"), F.col("vec_id") % 10 == 0, 5, reads).collect()
+    assert sum(reads) < 12 * 121 / 2  # far fewer exact vectors than pairs of queries and distinct vectors
     fine = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     expected = []
     for q in fine:

@@ -236,3 +236,39 @@ def test_pipeline_keeps_clean_documents(spark):
         assert 0.6 * n < docs.count() <= n
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == docs.count() and out.where("rate < 0 or rate is null").count() == 0
+
+
+def records_of(data: bytes):
+    """A plain reader of a file of records: (fields, block) of each."""
+    at = 0
+    while at < len(data):
+        head, _, rest = data[at:].partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+        n = int(fields["Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        yield fields, rest[:n]
+        at += len(head) + 4 + n + 4
+
+
+def test_records_keep_what_the_response_says(spark, tmp_path):
+    """Two responses of one url with ids of their own, one without, and line ends where none may stand."""
+    schema = "page_id long, record_id string, target_uri string, warc_date string, headers map<string,string>, payload string, url string, block string"
+    rows = [
+        (1, "<urn:uuid:a>", "http://h/x", "2020-01-01T00:00:00Z", {"Server": "one", "X Y": "b\r\nWARC-Type: fake"}, "<p>first", "u", "b"),
+        (1, "<urn:uuid:b>", "http://h/x", "2020-01-02T00:00:00Z", {"Server": "two"}, "<p>second", "u", "b"),
+        (1, None, "http://h/\nx", None, None, "<p>third", "u", "b"),
+        (1, "", "http://h/\nx", None, None, None, None, None),
+    ]
+    got = warc.derive(spark.createDataFrame(rows, schema))
+    assert len({r["record_id"] for r in got.collect()}) == 8 and len({r["refers_to"] for r in got.collect()}) == 4
+    warc.write(got.coalesce(1), str(tmp_path / "out"))
+    found = [x for f in (tmp_path / "out").glob("part-*") for x in records_of(f.read_bytes())]
+    assert len(found) == 8 and {f["WARC-Type"] for f, _ in found} == {"metadata", "conversion"}
+    by_source = {(f["WARC-Refers-To"], f["WARC-Type"]): (f, b) for f, b in found}
+    fields, block = by_source["<urn:uuid:a>", "conversion"]
+    assert block == b"first" and fields["WARC-Date"] == rows[0][3] and fields["X-Source-Server"] == "one" and fields["X-Source-X-Y"] == "b%0D%0AWARC-Type: fake"
+    assert fields["WARC-Payload-Digest"] == warc.digest(b"<p>first") and fields["WARC-Block-Digest"] == warc.digest(b"first")
+    assert by_source["<urn:uuid:b>", "conversion"][1] == b"second" and json.loads(by_source["<urn:uuid:b>", "metadata"][1])["headers"] == {"Server": "two"}
+    assert sum(f["WARC-Target-URI"] == "http://h/%0Ax" for f, _ in found) == 4

@@ -1,10 +1,12 @@
 """Licences of files: statements by sparse TF-IDF cosine to templates, then inheritance down the directories.
 
-Each sentence or line of a file is a sparse vector of its words, weighted by their document frequency in the whole
-corpus (counted for the words of the templates; any other word is as rare as a word can be, which only lowers a
-cosine). A file has the licence of its best statement. A file that is mostly licence statements is a licence file
-and speaks for its directory; files without a statement take the licence of the nearest ancestor directory that
-has one, by joins of paths.
+Each sentence or line of a file, between its first and last word of any template, is a sparse vector of its words, weighted
+by their document frequency in the whole corpus. One pass counts the documents of every word; a second one finds the
+nearest template of each statement and leaves the words that no template has, whose weights a join brings, so
+that the cosine is that of the corpus for every statement that can reach the threshold. A file has the licence of its best
+statement. A file that says that it is under some licence which no template resembles has the licence "unknown". A file
+that is mostly licence statements is a licence file and speaks for its directory; files without a statement take the
+licence of the nearest ancestor directory that has one, by joins of paths.
 """
 
 from __future__ import annotations
@@ -27,7 +29,15 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "This file is released under the terms of the MIT license."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Licensed under the EPL 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -45,92 +55,136 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 ]
-#: Least cosine of a statement, and share of a file's words that makes it a licence file.
-COSINE, MOSTLY = 0.75, 0.5
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"proprietary"})]
+#: A licence whose text holds that of another one.
+HOLDS = {"BSD-2-Clause": "BSD-3-Clause"}
+#: Least cosine of a statement, share of a file's words that makes it a licence file, words a task counts at once.
+COSINE, MOSTLY, COUNTED = 0.75, 0.5, 300_000
 _WORD = re.compile(r"\w+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\W\da-z_])")
+_STATED = re.compile(r"\b(?i:licen[cs]ed|released|distributed|available) (?i:under) (?i:the )?(?i:terms of (?:the )?)?[^.\n]{0,60}?(?:(?i:licen[cs]e)\b|\b[A-Z]{2,}[\w.-]*)|\bSPDX-License-Identifier:")
 _VOCABULARY = frozenset(w for _, t in TEMPLATES for w in _WORD.findall(t.lower()))
 
 
-def document_frequencies(texts: DataFrame) -> tuple[int, dict[str, int]]:
-    """Rows, and in how many of them each word of the templates occurs. Null texts count as empty."""
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(word, docs): in how many rows each word occurs; "" stands for all rows. Null texts count as empty."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "docs": pa.array(list(counts.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = Counter(), 0
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                counts.update(_VOCABULARY.intersection(_WORD.findall((text or "").lower())))
-        counts[""] = n
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "docs": pa.array(list(counts.values()), pa.int64())})
+                counts.update(set(_WORD.findall((text or "").lower())))
+                if len(counts) > COUNTED:
+                    yield rows(counts)
+                    counts = Counter()
+        counts[""] += n
+        yield rows(counts)
+
+    return texts.mapInArrow(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
 
-    got = {r["word"]: r["docs"] for r in texts.mapInArrow(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")).collect()}  # the templates' words
-    return got.pop("", 0), got
+
+def idf(n: int, docs: int) -> float:
+    return math.log((1 + n) / (1 + docs)) + 1
 
 
 class Matcher:
+    """Statements against templates, with the weights of the templates' words."""
+
     def __init__(self, n: int, docs: dict[str, int]):
-        self.rare = math.log(1 + n) + 1
-        self.idf = {w: math.log((1 + n) / (1 + docs.get(w, 0))) + 1 for w in _VOCABULARY}
-        self.templates = []
+        self.idf = {w: idf(n, docs.get(w, 0)) for w in _VOCABULARY}
+        self.names = [name for name, _ in TEMPLATES]
         self.posting: dict[str, list[tuple[int, float]]] = {}
-        for k, (name, text) in enumerate(TEMPLATES):
+        for k, (_, text) in enumerate(TEMPLATES):
             tf = Counter(_WORD.findall(text.lower()))
             norm = math.sqrt(sum((c * self.idf[w]) ** 2 for w, c in tf.items()))
-            self.templates.append(name)
             for w, c in tf.items():
                 self.posting.setdefault(w, []).append((k, c * self.idf[w] / norm))
 
-    def statement(self, words: list[str]) -> tuple[float, str] | None:
-        """The template nearest to the words, if it is near enough; ties to the smaller name."""
-        tf = Counter(words)
-        norm = shared = 0.0
-        for w, c in tf.items():
-            x = (c * self.idf.get(w, self.rare)) ** 2
-            norm += x
-            if w in _VOCABULARY:
-                shared += x
-        if shared < COSINE * COSINE * norm:  # the cosine is at most sqrt(shared / norm)
+    def statement(self, words: list[str]) -> tuple[str, float, float, list[tuple[str, int]]] | None:
+        """(licence, dot product with its template, squares of the templates' words, other words and their numbers) of
+        the words from the first to the last that a template has, if their cosine can reach COSINE: other words weigh 1
+        at least. Ties to the smaller name."""
+        at = [i for i, w in enumerate(words) if w in _VOCABULARY]
+        if not at:
+            return None
+        tf = Counter(words[at[0] : at[-1] + 1])
+        others = [(w, c) for w, c in tf.items() if w not in _VOCABULARY]
+        shared = sum((c * self.idf[w]) ** 2 for w, c in tf.items() if w in _VOCABULARY)
+        least = shared + sum(c * c for _, c in others)
+        if shared < COSINE * COSINE * least:  # the cosine is at most sqrt(shared / least)
             return None
         dot: dict[int, float] = {}
         for w in tf.keys() & _VOCABULARY:
             for k, x in self.posting[w]:
                 dot[k] = dot.get(k, 0.0) + x * tf[w] * self.idf[w]
-        best = min(((-v / math.sqrt(norm), self.templates[k]) for k, v in dot.items()), default=(0.0, ""))
-        return (-best[0], best[1]) if -best[0] >= COSINE else None
+        best, name = min((-round(v, 12), self.names[k]) for k, v in dot.items())
+        return (name, -best, shared, others) if -best >= COSINE * math.sqrt(least) else None
 
-    def file(self, text: str | None) -> tuple[str | None, float, bool]:
-        """(licence, cosine, is it a licence file) of a whole text."""
-        best, said, total = None, 0, 0
+    def file(self, text: str | None) -> tuple[int, list[tuple]]:
+        """(words, statements with their number of words and, as None in place of a licence, those that say a licence
+        which is not near enough) of a whole text."""
+        total, found = 0, []
         for piece in _CUT.split(text or ""):
             words = _WORD.findall(piece.lower())
             total += len(words)
-            if words and not _VOCABULARY.isdisjoint(words) and (found := self.statement(words)):
-                said += len(words)
-                best = found if best is None or (-found[0], found[1]) < (-best[0], best[1]) else best
-        return (None, 0.0, False) if best is None else (best[1], best[0], said >= MOSTLY * total)
+            if not words or _VOCABULARY.isdisjoint(words):
+                continue
+            got, stated = self.statement(words), bool(_STATED.search(piece))
+            if got or stated:
+                found.append((*(got or (None, 0.0, 1.0, [])), len(words), stated))
+        return total, found
+
+
+_PIECE = "struct<name: string, dot: double, shared: double, others: array<struct<word: string, n: int>>, words: int, stated: boolean>"
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(id, path, licence, cosine, licence_file) for every row of files (id, path, text)."""
-    n, docs = document_frequencies(files.select("text"))
+    """(id, path, licence, cosine, licence_file) for every row of files (id, path, text). The licence is null where there
+    is no statement and "unknown", with a cosine of 0, where there are only such of other licences."""
+    words = written(document_frequencies(files.select("text")), "licence-words")
+    docs = {r["word"]: r["docs"] for r in words.where(F.col("word").isin("", *sorted(_VOCABULARY))).collect()}  # the templates' words
+    n = docs.pop("", 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(n, docs)
+        kind = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("shared", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))), ("words", pa.int32()), ("stated", pa.bool_())]))
+        names = [f.name for f in kind.value_type]
         for batch in batches:
             got = [matcher.file(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([round(g[1], 6) for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], ["id", "path", "licence", "cosine", "licence_file"])
-
-    return files.select("id", "path", "text").mapInArrow(run, "id long, path string, licence string, cosine double, licence_file boolean")
+            pieces = [[dict(zip(names, (*p[:3], [{"word": w, "n": c} for w, c in p[3]], *p[4:]), strict=True)) for p in g[1]] for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("path"), pa.array([g[0] for g in got], pa.int64()), pa.array(pieces, kind)], ["row", "id", "path", "total", "pieces"])
+
+    found = files.select(F.monotonically_increasing_id().alias("row"), "id", "path", "text").mapInArrow(run, f"row long, id long, path string, total long, pieces array<{_PIECE}>")
+    found = written(found, "licence-pieces")
+    pieces = found.where(F.size("pieces") > 0).select("row", "total", F.posexplode("pieces").alias("k", "p")).select("row", "total", "k", "p.*")
+    weight = F.ln((1 + n) / (1 + F.coalesce("docs", F.lit(0)))) + 1
+    others = pieces.where("name is not null").select("row", "k", F.explode("others").alias("o")).select("row", "k", "o.word", F.col("o.n").alias("c"))
+    squares = others.join(words, "word", "left").groupBy("row", "k").agg(F.sum((F.col("c") * weight) * (F.col("c") * weight)).alias("more"))
+    cosine = F.col("dot") / F.sqrt(F.col("shared") + F.coalesce("more", F.lit(0.0)))
+    each = pieces.drop("others").join(squares, ["row", "k"], "left").withColumn("cosine", F.round(cosine, 6))
+    each = each.withColumn("name", F.when(F.col("cosine") >= COSINE, F.col("name"))).where("name is not null or stated")
+    named = F.col("name").isNotNull()
+    best = F.min(F.when(named, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("b")
+    of_file = each.groupBy("row").agg(best, F.collect_set("name").alias("names"), F.sum(F.when(named, F.col("words")).otherwise(0)).alias("said"), F.first("total").alias("total"))
+    licence = F.col("b.name")
+    for name, other in HOLDS.items():
+        licence = F.when((F.col("b.name") == name) & F.array_contains("names", other), F.lit(other)).otherwise(licence)
+    of_file = of_file.select("row", F.coalesce(licence, F.lit("unknown")).alias("licence"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("cosine"), (F.col("b").isNotNull() & (F.col("said") >= MOSTLY * F.col("total"))).alias("licence_file"))
+    out = found.select("row", "id", "path").join(of_file, "row", "left")
+    out = out.select("id", "path", "licence", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("licence_file", F.lit(False)).alias("licence_file"))
+    return written(out, "licence-scan", words, found)
 
 
 def licences(files: DataFrame) -> DataFrame:
     """(id, path, own, cosine, licence, via, from_dir) for every row of files (id, path, text). `via` is "header",
-    "licence file", "inherited" or "none". Of several licence files in a directory the highest cosine speaks, ties
-    to the smaller licence. A null path is the root directory; a null or empty text has no statement; repeated
-    rows give repeated results; an empty table gives none."""
+    "licence file", "inherited" or "none". A file whose own licence is "unknown" inherits none. Of several licence files in
+    a directory the highest cosine speaks, ties to the smaller licence. A null path is the root directory; a null or empty
+    text has no statement; repeated rows give repeated results; an empty table gives none."""
     scanned = scan(files).withColumn("dir", F.regexp_replace(F.coalesce("path", F.lit("")), "/?[^/]*$", ""))
-    scanned = written(scanned, "licence-scan")
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")
     speaking = scanned.where("licence_file").groupBy("dir").agg(best).select(F.col("dir").alias("ancestor"), F.col("b.licence").alias("inherited"))
     parts = F.split("dir", "/")

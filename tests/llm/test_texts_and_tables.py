@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
+import re
+from collections import Counter
 import random
 
 import numpy as np
@@ -272,3 +275,30 @@ def test_records_keep_what_the_response_says(spark, tmp_path):
     assert fields["WARC-Payload-Digest"] == warc.digest(b"<p>first") and fields["WARC-Block-Digest"] == warc.digest(b"first")
     assert by_source["<urn:uuid:b>", "conversion"][1] == b"second" and json.loads(by_source["<urn:uuid:b>", "metadata"][1])["headers"] == {"Server": "two"}
     assert sum(f["WARC-Target-URI"] == "http://h/%0Ax" for f, _ in found) == 4
+
+
+def plain_cosine(texts, piece, template):
+    """TF-IDF cosine with the weights of the corpus, by its definition."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    n, sets = len(texts), [set(split(t)) for t in texts]
+    weight = lambda w: math.log((1 + n) / (1 + sum(w in s for s in sets))) + 1
+    a, b = ({w: c * weight(w) for w, c in Counter(split(t)).items()} for t in (piece, template))
+    return sum(x * b.get(w, 0.0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+@pytest.mark.parametrize("size", [40, 400])
+def test_licences_by_the_weights_of_the_corpus(spark, size):
+    """Common words weigh little at every size of the corpus; licences without a template block inheritance."""
+    said = {
+        "a/1": "The project is licensed under the Apache License, Version 2.0.", "a/2": "This file is released under the terms of the MIT license by Jane Doe.", "a/3": "Licensed under the Frobnication Licence 7.",
+        "a/4": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "a/5": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "a/6": "// SPDX-License-Identifier: ISC\nint x;", "a/LICENSE": "Licensed under the EPL 2.0.", "a/7": "nothing to see", "a/8": "We released the ship under way.",
+    }
+    rows = [(k, p, t) for k, (p, t) in enumerate(said.items())] + [(100 + k, f"b/{k}", "the project is here" if k % 3 else f"w{k} and more") for k in range(size)]
+    got = {r["path"]: r for r in license_scan.licences(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {p: got[p]["licence"] for p in said} == {"a/1": "Apache-2.0", "a/2": "MIT", "a/3": "unknown", "a/4": "BSD-2-Clause", "a/5": "BSD-3-Clause", "a/6": "ISC", "a/LICENSE": "EPL-2.0", "a/7": got["a/7"]["licence"], "a/8": got["a/8"]["licence"]}
+    assert got["a/7"]["via"] == got["a/8"]["via"] == "inherited" and got["a/3"]["via"] == "header" and got["b/1"]["licence"] is None
+    texts = [t for _, _, t in rows]
+    assert got["a/1"]["cosine"] == pytest.approx(max(plain_cosine(texts, said["a/1"], t) for _, t in license_scan.TEMPLATES), abs=2e-6)
+    assert got["a/2"]["cosine"] == pytest.approx(max(plain_cosine(texts, said["a/2"][: -len(" Jane Doe.")], t) for _, t in license_scan.TEMPLATES), abs=2e-6)

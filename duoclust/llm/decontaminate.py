@@ -16,6 +16,7 @@ nothing, and text that shares no run with a benchmark item is never embedded.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from .common import hash_between, in_steps, mix, prefix_hash, shingles_of, text_
 
 #: Least similarity; recall that the repetitions are set for at that similarity; places in a bucket.
 SIMILARITY, RECALL, PLACES = 0.8, 0.95, 3
-#: Items that one pass over the documents compares with; longer tables take more passes.
-ITEMS = 20_000
+#: Items, and bytes of them, that one pass over the documents compares with, about; larger tables take more passes.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 #: Places of a walk that two texts SIMILARITY apart share, at least (measured on random edits; tests hold it).
 AGREE = 0.35
 
@@ -178,23 +179,35 @@ class Index:
         return [(r, number, *v) for (r, number), v in sorted(best.items())]
 
 
+#: The index that this worker has built, by the name of its pass: tasks of one pass build it once.
+_BUILT: dict[str, Index] = {}
+
+
+def _index(name: str, *what) -> Index:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(*what)
+    return _BUILT[name]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, edits, similarity, first_byte, end_byte): every item found in every row of docs, at its
     best place (bytes of the UTF-8 text). Items and texts that are null, empty or have no words match nothing;
     repeated rows give repeated results; copies of an item are items of their own; an empty table on either side
-    gives none. The items are read in passes of ITEMS, whatever their number."""
+    gives none. The items are read in passes of ITEMS and ITEM_BYTES, whatever their number."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    passes = max(1, -(-items.count() // ITEMS))
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes, name = max(1, -(-rows // ITEMS), -(-size // ITEM_BYTES)), uuid.uuid4().hex
     schema = "doc_id long, item_id long, edits int, similarity double, first_byte long, end_byte long"
     out = None
     for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()  # about ITEMS
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()  # about ITEMS and ITEM_BYTES at most, unless one item is longer
         index = spark.sparkContext.broadcast(([r["item_id"] for r in part], [r["text"] for r in part]))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            of = Index(*index.value, similarity, recall)
+        def run(batches: Iterator[pa.RecordBatch], index=index, k=k) -> Iterator[pa.RecordBatch]:
+            of = _index(f"{name}-{k}", *index.value, similarity, recall)
             for step in in_steps(batches):
                 _, offsets = text_bytes(step.column("text"))
                 row, hashes, starts, ends = _trimmed(step.column("text"))

@@ -113,8 +113,9 @@ def categorical_trials(tasks: DataFrame, config: Config) -> DataFrame:
     return tasks.groupBy("panel", "fraction", "simulation").applyInPandas(trial, io.TRIALS)
 
 
-def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iterations: int = 180) -> DataFrame:
-    """Six rows for each task; a method that fails on every attempt has NaN and the reason."""
+def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iterations: int = 180, differential_entropy: bool = False) -> DataFrame:
+    """Six rows for each task; a method that fails on every attempt has NaN and the reason, and differential entropy has
+    NaN unless it is asked for."""
     digest = config.digest()
 
     def trial(group: pd.DataFrame) -> pd.DataFrame:
@@ -124,12 +125,12 @@ def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iteration
         methods = {
             "Self-Information": lambda s: kernels.weighted_partition(x, kernels.gaussian_objective, s, starts, iterations),
             "$L_2$ Norm": lambda s: kernels.weighted_partition(x, kernels.radius_objective, s, starts, iterations),
-            "Differential Entropy": lambda s: kernels.cross_entropy_clusters(x, s, log_space=False),
+            "Differential Entropy": (lambda s: kernels.cross_entropy_clusters(x, s, log_space=False)) if differential_entropy else None,
             "Gaussian Mixture": lambda s: kernels.gmm(x, s),
             "Reg. EM": lambda s: kernels.regularized_em(x, s),
             "CEC": lambda s: kernels.cross_entropy_clusters(x, s),
         }
-        rows = [(int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, name, *attempted(lambda s, f=f: kernels.normalized_mcc(truth, f(s)), seed), digest) for name, f in methods.items()]
+        rows = [(int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, name, *(attempted(lambda s, f=f: kernels.normalized_mcc(truth, f(s)), seed) if f else (float("nan"), None)), digest) for name, f in methods.items()]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in io.GAUSSIAN_TRIALS.split(", ")])
 
     return tasks.groupBy("dimension", "coefficient", "noise", "simulation").applyInPandas(trial, io.GAUSSIAN_TRIALS)

@@ -11,12 +11,15 @@ the whole corpus), which keeps the regions of frequent passages for documents th
 Inside a region the sizes and positions prune, and after it the parities of hashed elements, which differ in no more
 places than the sets do. Small regions test every pair that is left. A larger one is joined
 recursively: on each level some pivot documents are tested against all members, members within the radius join the
-pivot's component, and only pairs of different components are left for the next level; the last tests them all.
+pivot's component, and only pairs of different components are left for the next level. The pivots of the first level
+are the members that hold least besides the region's passage, which reach most others. The last level tests all pairs
+that are left; a member meets there only windows of sizes that its own size and position admit.
 Every test counts whole sets. Sets with the same elements are one vertex, known by a 64-bit signature.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +34,9 @@ from .components import components
 #: Counters of the frequency sketch and of one of its blocks; members up to which a region tests all pairs;
 #: members of one pivot that are tested in a task.
 SKETCH_BITS, BLOCK_BITS, SMALL, TESTED = 22, 16, 24, 256
-#: Levels of recursion on pivots of larger regions, and pivots of a region on each.
-LEVELS, PIVOTS = 2, 64
+#: Levels of recursion on pivots of larger regions, and pivots of a region on each; windows of size of the last level
+#: between a set and its smallest partner.
+LEVELS, PIVOTS, WINDOWS = 2, 64, 8
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -253,6 +257,18 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, t: int) -> DataFrame:
     return written(dealt.mapInArrow(_tested(width, t), "a long, b long"), "links", need)
 
 
+def _window(n, t: int):
+    """The window of sizes that n falls into: a partner of a set is at most WINDOWS windows below it."""
+    return F.floor(F.ln(n) * (WINDOWS / math.log(100 / t)) + 1e-9) if t < 100 else n.cast("long")
+
+
+def _within(t: int):
+    """The windows of the sizes that a smaller partner can have: t percent of n at least, n at most, and no more than
+    the n - pos shingles from the region's pivot on can make a link with."""
+    low, most = F.expr(f"(xn * {t} + 99) div 100"), F.expr(f"least(xn, ((xn - xpos) * {100 + t}) div {t} - xn)")
+    return F.when(low <= most, F.sequence(_window(low, t), _window(most, t)))
+
+
 def _grown(joined: DataFrame, links: DataFrame) -> DataFrame:
     """The components (node, component) with further links (a, b), which are taken between components."""
     found = links
@@ -324,12 +340,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             largest = Window.partitionBy("sig").orderBy(F.desc("size"), "key")
             met_in = written(placed.join(sizes, "key").withColumn("turn", F.row_number().over(largest)).where("turn = 1").drop("turn", "size"), "largest")
         xs, ys = (met_in.select("key", *(F.col(c).alias(p + c) for c in ("sig", "n", "pos", "c"))) for p in ("x", "y"))
-        if level < LEVELS:
-            xs = xs.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("xsig", F.lit(level)), "xsig"))).where(F.col("turn") <= PIVOTS)
-        need = F.ceil((F.col("xn") + F.col("yn")) * percent / F.lit(100 + percent) - F.lit(1e-9))
+        need = F.expr(f"((xn + yn) * {percent} + {99 + percent}) div {100 + percent}")
         near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
-        order = F.lit(True) if level < LEVELS else F.col("xsig") < F.col("ysig")
-        more = xs.join(ys, "key").where(order & (F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
+        if level < LEVELS:
+            reach = [F.col("xpos") / F.col("xn")] if level == 0 else []
+            first = Window.partitionBy("key").orderBy(*reach, F.xxhash64("xsig", F.lit(level)), "xsig")
+            both = xs.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= PIVOTS).join(ys, "key")
+        else:
+            near &= (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xsig") < F.col("ysig")))
+            both = xs.withColumn("window", F.explode(_within(percent))).join(ys.withColumn("window", _window(F.col("yn"), percent)), ["key", "window"])
+        more = both.where((F.col("xc") != F.col("yc")) & near).select(F.least("xsig", "ysig").alias("a"), F.greatest("xsig", "ysig").alias("b")).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs", *([met_in] if level < LEVELS else [placed]))
         if more.isEmpty():
             continue

@@ -99,6 +99,17 @@ def test_large_regions_join_recursively(spark, monkeypatch):
     assert sorted(map(tuple, got)) == jaccard_reference(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [85, 80, 100])
+def test_a_passage_most_of_many_texts_links_some(spark, monkeypatch, percent):
+    """A region whose members share a passage and differ in how much else they hold; the last level meets by sizes."""
+    rng, passage = random.Random(7), words(random.Random(8), 100, 10**6)
+    rows = [(i, " ".join(words(rng, rng.randint(0, 25), 10**6) + passage)) for i in range(80)]
+    for name, value in (("SMALL", 2), ("PIVOTS", 1), ("LEVELS", 1)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.jaccard_components(frame(spark, rows), 4, percent).collect()
+    assert sorted(map(tuple, got)) == jaccard_reference(rows, 4, percent)
+
+
 def test_one_of_each_keeps_columns(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (None, "a b c d e f")]
     kept = ngram_join.one_of_each(frame(spark, rows).selectExpr("*", "1 as sig", "2 as component_id"))

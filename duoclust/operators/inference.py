@@ -45,10 +45,33 @@ def feature_contrast(matrix: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def random_subsets(rows: DataFrame, replicates: int, size: int) -> DataFrame:
-    """(rep, row): in each replicate the `size` rows with the least md5 of "rep-row"."""
+    """(rep, row): in each replicate the `size` rows with the least md5 of "rep-row". The hash's first digits are
+    counted, so that only the rows with the digits at which a subset ends are sorted."""
     reps = rows.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
     keyed = rows.select("row").crossJoin(F.broadcast(reps)).withColumn("h", F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("row").cast("string"))))
-    return keyed.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("h", "row"))).where(F.col("k") <= size).select("rep", "row")
+    keyed = keyed.withColumn("head", F.substring("h", 1, 3))
+    counts = keyed.groupBy("rep", "head").agg(F.count("*").alias("n"))  # 4096 heads
+    before = F.sum("n").over(Window.partitionBy("rep").orderBy("head")) - F.col("n")
+    ends = counts.withColumn("before", before).where(F.col("before") < size)
+    ends = ends.groupBy("rep").agg(F.max("head").alias("end"), F.max("before").alias("before"))
+    placed = keyed.join(F.broadcast(ends), "rep")  # a row for each replicate
+    edge = placed.where("head = end").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("h", "row")))
+    return placed.where("head < end").select("rep", "row").unionByName(edge.where(F.col("before") + F.col("k") <= size).select("rep", "row"))
+
+
+def permutation_by_hash(df: DataFrame, value: str, first: str, replicates: int) -> DataFrame:
+    """One row (observed, exceedances, permutations, p) like permutation_test, for any number of rows: replicates draw
+    the first side by random_subsets. df has (row, value, first), first a boolean. ValueError without values on a side."""
+    x = df.select("row", F.col(value).cast("double").alias("v"), F.col(first).alias("one"))
+    n1, n, s1, total = x.agg(F.count_if("one"), F.count("*"), F.sum(F.when(F.col("one"), F.col("v"))), F.sum("v")).first()
+    if not n1 or n1 == n:
+        raise ValueError("both sides need values")
+    n2 = n - n1
+    observed = abs(s1 / n1 - (total - s1) / n2)
+    sums = random_subsets(x, replicates, n1).join(x, "row").groupBy("rep").agg(F.sum("v").alias("s"))
+    hit = F.abs(F.col("s") * (1 / n1 + 1 / n2) - total / n2) >= observed - 1e-9
+    hits = sums.agg(F.count_if(hit).alias("exceedances"))
+    return hits.select(F.lit(observed).alias("observed"), "exceedances", F.lit(replicates).alias("permutations"), ((F.col("exceedances") + 1) / (replicates + 1)).alias("p"))
 
 
 def half_sample_importance(matrix: DataFrame, labels: DataFrame, replicates: int) -> DataFrame:

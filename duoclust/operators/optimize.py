@@ -13,37 +13,64 @@ from ..sources.io import materialised
 from . import score
 
 
-def large_partition(matrix: DataFrame, model: str, steps: int = 30, logit: float = 10.0, tolerance: float = 1e-6) -> DataFrame:
-    """(row, m, label): memberships that descend the loss from the median split of row totals.
+def _signed(matrix: DataFrame, seed: int, start: int) -> DataFrame:
+    """(row, total): each row's sum with a sign for every feature, drawn by hash."""
+    sign = F.when(F.pmod(F.xxhash64("feature", F.lit(seed), F.lit(start)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    return matrix.groupBy("row").agg(F.sum(F.col("value") * sign).alias("total"))
 
-    Projected gradient steps of Barzilai-Borwein length, halved until the loss falls. Each evaluation is two
-    aggregations and a join over the whole matrix; the driver sees a few sums."""
-    low = 1 / (1 + math.exp(logit))
+
+def large_partition(matrix: DataFrame, model: str, steps: int = 30, logit: float = 10.0, tolerance: float = 1e-6, starts: int = 6, least: float = 0.02, weight: float = 0.0, target: float = 0.0, smoothing: float = 0.5, seed: int = 0) -> DataFrame:
+    """(row, m, label): memberships that descend the loss, with the penalty of `weight` for a gap of soft means under
+    `target`, from the median split of row totals and, from the second start on, of randomly signed ones. The start
+    with the least loss counts, if both its clusters have `least` of the rows; ValueError if none has.
+
+    Projected gradient steps of Barzilai-Borwein length, halved until the loss falls. Each evaluation is a few
+    aggregations and joins over the whole matrix; the driver sees a few sums."""
     matrix = materialised(score.checked(matrix, model), "matrix")
-    members = materialised(score.median_split(score.row_totals(matrix), "total"), "members")
-    value = score.loss(matrix, members, model).first()["loss"]
-    at = materialised(members.join(score.gradient(matrix, members, model), "row"), "step")
+    best = None
+    for k in range(starts):
+        totals = _signed(matrix, seed, k) if k else score.row_totals(matrix)
+        at, value = _descended(matrix, materialised(score.median_split(totals, "total"), "members"), model, steps, logit, tolerance, (weight, target, smoothing))
+        ones, rows = at.agg(F.count_if(F.col("m") >= 0.5), F.count("*")).first()
+        if min(ones, rows - ones) >= least * rows and math.isfinite(value) and (best is None or value < best[1]):
+            best = at, value
+    if best is None:
+        raise ValueError("every start collapsed into one cluster")
+    return best[0].select("row", "m", (F.col("m") >= 0.5).cast("int").alias("label"))
+
+
+def _descended(matrix: DataFrame, members: DataFrame, model: str, steps: int, logit: float, tolerance: float, gap: tuple[float, float, float]) -> tuple[DataFrame, float]:
+    """(row, m, g) where the descent of one start ends, and the loss there."""
+    low = 1 / (1 + math.exp(logit))
+
+    def loss(at: DataFrame) -> float:
+        found = score.penalised_loss(matrix, at, model, *gap) if gap[0] and gap[1] else score.loss(matrix, at, model)
+        return found.first()["loss"]
+
+    def graded(at: DataFrame) -> DataFrame:
+        return materialised(at.join(score.penalised_gradient(matrix, at, model, *gap), "row"), "step")
+
+    value, at = loss(members), graded(members)
     length = 0.1 / max(at.agg(F.max(F.abs("g"))).first()[0], 1e-300)
     for _ in range(steps):
         for _ in range(20):
             moved = at.select("row", F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col("m") - length * F.col("g"))).alias("m"))
             moved = materialised(moved, "members")
-            new = score.loss(matrix, moved, model).first()["loss"]
+            new = loss(moved)
             if new < value:
                 break
             length /= 4
         else:
             break
         done = value - new <= tolerance * max(1.0, abs(value))
-        after = materialised(moved.join(score.gradient(matrix, moved, model), "row"), "step")
+        after = graded(moved)
         if done:
-            at = after
-            break
+            return after, new
         both = after.select("row", F.col("m").alias("m2"), F.col("g").alias("g2")).join(at, "row")
         ss, sy = both.agg(F.sum((F.col("m2") - F.col("m")) ** 2), F.sum((F.col("m2") - F.col("m")) * (F.col("g2") - F.col("g")))).first()
         length = ss / sy if sy and sy > 0 else 4 * length
         at, value = after, new
-    return at.select("row", "m", (F.col("m") >= 0.5).cast("int").alias("label"))
+    return at, value
 
 
 def large_kmeans(df: DataFrame, vector: str, seeds: list[int], k: int = 2, max_iter: int = 100) -> DataFrame:

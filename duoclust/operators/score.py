@@ -120,6 +120,43 @@ def penalised_loss(matrix: DataFrame, members: DataFrame, model: str, weight: fl
     return both.select((F.col("model_loss") * (1 + weight * short * short)).alias("loss"), "model_loss", (weight * short * short).alias("penalty"), gap.alias("gap"))
 
 
+def soft_loo_gradient(matrix: DataFrame, members: DataFrame, smoothing: float = 0.5) -> DataFrame:
+    """(row, mean0, mean1, g0, g1): the soft means and their derivatives by each row's membership. Rows without entries
+    take no part in the means: their derivatives are 0."""
+    x = matrix.join(members, "row")
+    f = x.groupBy("feature").agg(*(F.sum(_weights(c) * F.col("value")).alias(f"f{c}") for c in (0, 1)))
+    t = f.agg(F.sum("f0").alias("t0"), F.sum("f1").alias("t1"), F.count("*").alias("columns"))
+    r = matrix.groupBy("row").agg(F.sum("value").alias("r"))
+    each = x.join(f, "feature").join(r, "row").crossJoin(F.broadcast(t))  # one row
+    for c in (0, 1):
+        top = F.col(f"f{c}") - _weights(c) * F.col("value") + smoothing
+        below = F.col(f"t{c}") - _weights(c) * F.col("r") + smoothing * F.col("columns")
+        each = each.withColumns({f"l{c}": F.col("value") * F.log2(top / below), f"a{c}": _weights(c) * F.col("value") / F.col("r") / top, f"q{c}": _weights(c) / below})
+    share = each.groupBy("feature").agg(F.sum("a0").alias("s0"), F.sum("a1").alias("s1"))
+    own = [(-F.sum(f"l{c}") / F.first("r")).alias(f"b{c}") for c in (0, 1)] + [F.sum(F.col("value") * (F.col(f"s{c}") - F.col(f"a{c}"))).alias(f"h{c}") for c in (0, 1)]
+    rows = each.join(share, "feature").groupBy("row", "m").agg(F.first("r").alias("r"), F.first("q0").alias("q0"), F.first("q1").alias("q1"), *own)
+    one = rows.agg(*(F.sum(_weights(c)).alias(f"w{c}") for c in (0, 1)), *(F.sum(f"q{c}").alias(f"all_q{c}") for c in (0, 1)), *((F.sum(_weights(c) * F.col(f"b{c}")) / F.sum(_weights(c))).alias(f"mean{c}") for c in (0, 1)))
+    out = members.select("row").join(rows, "row", "left").crossJoin(F.broadcast(one))  # one row
+    g = {}
+    for c in (0, 1):
+        through = (F.col(f"h{c}") - F.col("r") * (F.col(f"all_q{c}") - F.col(f"q{c}"))) / LN2
+        by_weight = (F.col(f"b{c}") - F.col(f"mean{c}") - through) / F.col(f"w{c}")
+        g[c] = F.coalesce(by_weight if c else -by_weight, F.lit(0.0)).alias(f"g{c}")
+    return out.select("row", "mean0", "mean1", g[0], g[1])
+
+
+def penalised_gradient(matrix: DataFrame, members: DataFrame, model: str, weight: float, target: float, smoothing: float = 0.5) -> DataFrame:
+    """(row, g): the derivative of the penalised loss by each row's membership."""
+    model_g = gradient(matrix, members, model)
+    if not weight or not target:
+        return model_g
+    both = model_g.join(soft_loo_gradient(matrix, members, smoothing), "row").crossJoin(F.broadcast(loss(matrix, members, model)))  # one row
+    apart = F.col("mean1") - F.col("mean0")
+    short = F.greatest(F.lit(0.0), F.lit(float(target)) - F.abs(apart))
+    wider = F.signum(apart) * (F.col("g1") - F.col("g0"))
+    return both.select("row", (F.col("g") * (1 + weight * short * short) - F.col("loss") * 2 * weight * short * wider).alias("g"))
+
+
 def cluster_stats(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each cluster: rows, tokens, vocabulary, entropy in bits, its share of the possible, repetition and
     the shares of the 10 and 100 most frequent features."""

@@ -378,6 +378,29 @@ def gap_penalised_loss(spark, sf_dir):
     return _rounded(_rounded(score.penalised_loss(x, members, "multinomial", 2.0, 0.5), "penalty", "gap"), "loss", "model_loss", to=3)
 
 
+_SOFT_G = f"""{_SOFT}, sa AS (SELECT x.row, x.feature, value, (1 - m) * value / r / (f0 - (1 - m) * value + 0.5) AS a0, m * value / r / (f1 - m * value + 0.5) AS a1 FROM x JOIN mem USING (row) JOIN sf USING (feature) JOIN r ON r.row = x.row),
+share AS (SELECT feature, sum(a0) AS s0, sum(a1) AS s1 FROM sa GROUP BY feature),
+sq AS (SELECT row, m, r, (1 - m) / (t0 - (1 - m) * r + 0.5 * v) AS q0, m / (t1 - m * r + 0.5 * v) AS q1 FROM mem JOIN r USING (row), st),
+sw AS (SELECT sum(1 - m) AS w0, sum(m) AS w1, sum(q0) AS all_q0, sum(q1) AS all_q1 FROM sq),
+sh AS (SELECT row, sum(value * (s0 - a0)) AS h0, sum(value * (s1 - a1)) AS h1 FROM sa JOIN share USING (feature) GROUP BY row),
+sg AS (SELECT row, -(b0 - mean0 - (h0 - r * (all_q0 - q0)) / ln(2)) / w0 AS g0, (b1 - mean1 - (h1 - r * (all_q1 - q1)) / ln(2)) / w1 AS g1, mean0, mean1
+  FROM sb JOIN sq USING (row) JOIN sh USING (row), sw, soft)"""
+
+
+@query(f"WITH {_SOFT_G} SELECT row, round(g0, 7) + 0.0 AS g0, round(g1, 7) + 0.0 AS g1 FROM sg")
+def soft_loo_gradient(spark, sf_dir):
+    x, members, _ = _matrix(spark, sf_dir)
+    return _rounded(score.soft_loo_gradient(x, members), "g0", "g1", to=7).select("row", "g0", "g1")
+
+
+@query(f"""WITH model AS ({_loss_sql("multinomial", "loss").replace("round(-(t0.score + t1.score) / 1.0, 4)", "-(t0.score + t1.score)")}), of_model AS ({_loss_sql("multinomial", "gradient").replace(", 5) AS g", ", 12) AS g")}), sg AS (WITH {_SOFT_G} SELECT * FROM sg),
+    p AS (SELECT row, g, loss, greatest(0.0, 0.5 - abs(mean1 - mean0)) AS short, sign(mean1 - mean0) * (g1 - g0) AS wider FROM of_model JOIN sg USING (row), model)
+    SELECT row, round(g * (1 + 2.0 * short * short) - loss * 4.0 * short * wider, 4) + 0.0 AS g FROM p""")
+def gap_penalised_gradient(spark, sf_dir):
+    x, members, _ = _matrix(spark, sf_dir)
+    return _rounded(score.penalised_gradient(x, members, "multinomial", 2.0, 0.5), "g", to=4)
+
+
 _STATS = f"""{_MATRIX}, cf AS (SELECT label, feature, sum(value) AS f FROM x JOIN lab USING (row) GROUP BY ALL), ck AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f DESC, feature) AS k, sum(f) OVER (PARTITION BY label) AS t FROM cf),
 stats AS (SELECT label, max(t) AS tokens, count(*) AS vocabulary, -sum(f / t * log2(f / t)) AS entropy, coalesce(sum(f / t) FILTER (k <= 10), 0) AS top10_share, coalesce(sum(f / t) FILTER (k <= 100), 0) AS top100_share FROM ck GROUP BY label)"""
 
@@ -667,7 +690,7 @@ def gaussian_objectives(spark, sf_dir):
 @query()
 def large_partition(spark, sf_dir):
     """The distributed fit, on the matrix of the score queries."""
-    return optimize.large_partition(_matrix(spark, sf_dir)[0], "multinomial", steps=4)
+    return optimize.large_partition(_matrix(spark, sf_dir)[0], "multinomial", steps=4, starts=1)
 
 
 @query()
@@ -707,6 +730,20 @@ def permutation_significance(spark, sf_dir):
     return inference.permutation_test([r["v"] for r in turns], [r["n"] > middle for r in turns], spark, 100_000)
 
 
+@query(f"""WITH c AS (SELECT conv_id AS row, avg(length(text)) AS v, count(*) AS n FROM conversations GROUP BY conv_id HAVING avg(length(text)) IS NOT NULL),
+    x AS (SELECT row, v, n > (SELECT avg(n) FROM c) AS one FROM c), z AS (SELECT count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, avg(v) FILTER (one) AS m1, avg(v) FILTER (NOT one) AS m2, sum(v) AS total FROM x),
+    h AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || row), row) AS k FROM x, range(0, {REPLICATES}) g(rep)),
+    s AS (SELECT rep, sum(v) AS s FROM h, z WHERE k <= n1 GROUP BY rep),
+    e AS (SELECT count(*) FILTER (abs(s * (1 / n1 + 1 / n2) - total / n2) >= abs(m1 - m2) - 1e-9) AS exceedances FROM s, z)
+    SELECT round(abs(m1 - m2), 6) AS observed, exceedances, {REPLICATES} AS permutations, round((exceedances + 1) / ({REPLICATES} + 1), 6) AS p FROM e, z""")
+def permutation_by_hash(spark, sf_dir):
+    """The same question for any number of conversations: "long" is over the mean."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("row")).agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null")
+    middle = turns.agg(F.avg("n").alias("middle"))
+    sides = turns.crossJoin(F.broadcast(middle)).select("row", "v", (F.col("n") > F.col("middle")).alias("one"))  # one row
+    return _rounded(inference.permutation_by_hash(sides, "v", "one", REPLICATES), "observed", "p")
+
+
 @query()
 def large_gmm(spark, sf_dir):
     return optimize.large_gmm(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.slice("embedding", 1, 8).alias("v")), "v").select("vec_id", "label")

@@ -110,3 +110,48 @@ def test_text_sweep_has_a_row_for_each_combination(spark):
     got = QUERIES["text_sweep"](spark, SF).collect()
     assert {(r["ngram"], r["window"], r["features"]) for r in got} == {(n, w, f) for n in (1, 2) for w in (2, 4) for f in ("100", "300")}
     assert all(r["optimizer_success"] in (True, False) and (math.isnan(r["information_mcc"]) or 0 <= r["information_mcc"] <= 100) for r in got)
+
+
+def _small(spark, seed=3, n=8, d=5):
+    rng = np.random.default_rng(seed)
+    x, m = rng.integers(0, 4, (n, d)).astype(float), rng.uniform(0.1, 0.9, n)
+    x[:, 0] += 1
+    matrix = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(d) if x[i, j]], "row long, feature long, value double")
+    return x, m, matrix, spark.createDataFrame([(i, float(v)) for i, v in enumerate(m)], "row long, m double")
+
+
+@pytest.mark.parametrize("model", ["binomial", "multinomial"])
+def test_penalised_gradients_are_the_slopes(spark, model):
+    x, m, matrix, members = _small(spark)
+    loss = lambda w: kernels.penalised(x, w, model, 2.0, 3.0, 0.5)[0]
+    got = [r["g"] for r in score.penalised_gradient(matrix, members, model, 2.0, 3.0).orderBy("row").collect()]
+    for i, g in enumerate(got):
+        step = np.zeros(len(m))
+        step[i] = 1e-6
+        assert g == pytest.approx((loss(m + step) - loss(m - step)) / 2e-6, rel=1e-4, abs=1e-4)
+
+
+def test_rows_without_entries_have_no_slope(spark):
+    _, _, matrix, members = _small(spark)
+    more = members.unionByName(spark.createDataFrame([(99, 0.3)], "row long, m double"))
+    got = {r["row"]: (r["g0"], r["g1"]) for r in score.soft_loo_gradient(matrix, more).collect()}
+    assert got[99] == (0.0, 0.0) and len(got) == 9
+
+
+def test_large_partition_of_several_starts(spark):
+    _, _, matrix, _ = _small(spark, n=12)
+    found = {r["row"]: r["label"] for r in optimize.large_partition(matrix, "multinomial", steps=2, starts=2, weight=1.0, target=1.0).collect()}
+    assert len(found) == 12 and 0 < sum(found.values()) < 12
+    with pytest.raises(ValueError):
+        optimize.large_partition(matrix, "multinomial", steps=0, starts=1, least=0.9)
+
+
+@pytest.mark.parametrize("size", [0, 1, 60, 120, 500])
+def test_random_subsets_are_the_least_hashes(spark, size):
+    import hashlib
+
+    from duoclust.operators import inference
+
+    got = sorted(map(tuple, inference.random_subsets(spark.range(120).withColumnRenamed("id", "row"), 3, size).collect()))
+    least = lambda k: sorted(range(120), key=lambda i: hashlib.md5(f"{k}-{i}".encode()).hexdigest())[:size]
+    assert got == sorted((k, i) for k in range(3) for i in least(k))

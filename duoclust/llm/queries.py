@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, html_extract, license_scan, mixing, ngram_join, suffix_dedup, token_counts, toxicity, warc
+from . import decontaminate, exact_topk, html_extract, license_scan, mixing, ngram_join, secret_scan, spelling, suffix_dedup, token_counts, toxicity, warc, whitening
 from .common import table
 
 
@@ -57,6 +57,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.frequent_words(table(spark, sf_dir, "documents")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_html_extract": op9_html_extract,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {

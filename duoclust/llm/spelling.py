@@ -28,6 +28,8 @@ from .common import dropped, in_steps, mix, tasks_wanted, written
 Q = 4
 #: Words in a list that one task merges; grams that a list is split by at most (words of 5 code points share 4).
 LIST, DEPTH = 64, 4
+#: Words in a list that are compared without an index.
+SMALL = 8
 #: Bits of the buckets in which the frequency of grams is counted.
 BUCKETS = 17
 _ODD = 0x9E3779B97F4A7C15
@@ -132,16 +134,19 @@ def _postings(words: DataFrame) -> DataFrame:
 
 
 def _listed(posted: DataFrame, longer: DataFrame | None, depth: int) -> DataFrame:
-    """A row (key, top, word, n, early, last) for each list of `depth` grams that a word is in. A list has one first gram,
-    one larger place of it and one larger length `top`: a word is in it with that place or, early, the one before."""
+    """A row (key, top, word, n, short, last) for each list of `depth` grams that a word is in. A list has one first gram,
+    one place of it and one length `top`. Words of that length are in it with their places; words one shorter, `short`,
+    with the same place or the next, where an insertion moves the gram: they lose a gram less, so one less is posted."""
     if longer is None:
         rows = posted.select("word", "n", F.posexplode(F.slice("grams", 1, Q + 1)).alias("last", "g"))
-        rows = rows.withColumn("top", F.explode(F.array(F.length("word"), F.length("word") + 1))).withColumn("early", F.explode(F.array(F.lit(False), F.lit(True))))
-        key = F.xxhash64("g.gram", F.col("g.place") + F.col("early").cast("int"), "top")
-        return rows.select(key.alias("key"), "top", "word", "n", "early", "last")
-    later = F.slice("grams", F.col("last") + 2, F.greatest(F.lit(0), F.lit(Q + depth) - F.col("last") - 1))
-    rows = longer.join(posted.select("word", "grams"), "word").select("key", "top", "word", "n", "early", "last", F.posexplode(later).alias("step", "g"))
-    return rows.select(F.xxhash64("key", "g.gram").alias("key"), "top", "word", "n", "early", (F.col("last") + 1 + F.col("step")).alias("last"))
+        copies = F.array(*[F.struct(F.lit(short).alias("short"), F.lit(step).alias("step")) for short, step in ((False, 0), (True, 0), (True, 1))])
+        rows = rows.withColumn("c", F.explode(F.when(F.col("last") < Q, copies).otherwise(F.slice(copies, 1, 1))))
+        top = F.length("word") + F.col("c.short").cast("int")
+        return rows.select(F.xxhash64("g.gram", F.col("g.place") + F.col("c.step"), top).alias("key"), top.alias("top"), "word", "n", F.col("c.short").alias("short"), "last")
+    most = F.lit(Q + depth) - F.col("short").cast("int")
+    later = F.slice("grams", F.col("last") + 2, F.greatest(F.lit(0), most - F.col("last") - 1))
+    rows = longer.join(posted.select("word", "grams"), "word").select("key", "top", "word", "n", "short", "last", F.posexplode(later).alias("step", "g"))
+    return rows.select(F.xxhash64("key", "g.gram").alias("key"), "top", "word", "n", "short", (F.col("last") + 1 + F.col("step")).alias("last"))
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -156,12 +161,18 @@ def one_edit(a: str, b: str) -> bool:
 
 def near_in_list(words: list[tuple], top: int) -> Iterator[tuple]:
     """(a, n of a, b, n of b), a before b, of all pairs one edit apart whose longer word has `top` code points. `words`
-    are (word, n, early, side); two early ones, or two of one side that is not None, are left to other lists."""
+    are (word, n, side), of `top` code points or one less; two of one side that is not None are left to another list."""
     words = sorted(set(words), key=lambda w: (len(w[0]) != top, w[0]))
-    index = defaultdict(list)  # gram -> (rank, place, early) of words of `top` code points, in the order of ranks
-    for rank, (word, n, early, side) in enumerate(words):
+    if len(words) <= SMALL:  # verified as they are: an index would cost more
+        for k, (word, n, side) in enumerate(words):
+            for other, m, far in words[:k]:
+                if len(other) == top and (side is None or side != far) and one_edit(word, other):
+                    yield (other, m, word, n) if other < word else (word, n, other, m)
+        return
+    index = defaultdict(list)  # gram -> (rank, place) of words of `top` code points, in the order of ranks
+    for rank, (word, n, side) in enumerate(words):
         own = _grams(word)
-        lists = [[r for r, place, e in index[gram] if -2 < place - at < 2 and not (early and e)] if gram in index else () for at, gram in enumerate(own)]
+        lists = [[r for r, place in index[gram] if -2 < place - at < 2] if gram in index else () for at, gram in enumerate(own)]
         # at most Q grams of a word are not shared: of the Q + 2 shortest lists a near word is in two, equal ranks of
         # their merge come together, and long lists need no merge
         lists.sort(key=len)
@@ -169,62 +180,93 @@ def near_in_list(words: list[tuple], top: int) -> Iterator[tuple]:
         for r in heapq.merge(*lists[: Q + 2]) if lists[Q] else ():
             if r == before and r != done:
                 done = r
-                other, m, _, far = words[r]
+                other, m, far = words[r]
                 if (side is None or side != far) and one_edit(word, other):
                     yield (other, m, word, n) if other < word else (word, n, other, m)
             before = r
         if len(word) == top:
             for at, gram in enumerate(own):
-                index[gram].append((rank, at, early))
+                index[gram].append((rank, at))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists come sorted, each whole in a task and bounded."""
-    at, held, out = None, [], []
+_MERGED = pa.schema([("a", pa.string()), ("na", pa.int64()), ("b", pa.string()), ("nb", pa.int64()), ("key", pa.int64()), ("top", pa.int32()), ("short", pa.bool_()), ("last", pa.int32())])
+_LISTS = ["key", "top", "word", "n", "short", "last", "side"]
 
-    def flush():
-        return near_in_list(held, at[1]) if len(held) > 1 else ()
 
-    for batch in batches:
-        for key, top, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "top", "word", "n", "early", "side")]):
-            if (key, top) != at:
-                out.extend(flush())
-                at, held = (key, top), []
-            held.append(tuple(row))
-        if len(out) > 20_000:
-            yield pa.RecordBatch.from_pydict(dict(zip(("a", "na", "b", "nb"), zip(*out))))
-            out = []
-    out.extend(flush())
-    if out:
-        yield pa.RecordBatch.from_pydict(dict(zip(("a", "na", "b", "nb"), zip(*out))))
+def _merge(most: int | None):
+    """Lists come sorted. Near pairs of those of at most `most` words; rows of longer lists as they are, with b null."""
+
+    def pairs(rows: pa.Table) -> list[tuple]:
+        out = []
+        key, top = np.asarray(rows["key"]), np.asarray(rows["top"])
+        ends = [*np.flatnonzero((key[1:] != key[:-1]) | (top[1:] != top[:-1])) + 1, len(key)]
+        values = list(zip(*[rows[c].to_pylist() for c in ("word", "n", "side")]))
+        at = 0
+        for end in ends:
+            out.extend(near_in_list(values[at:end], int(top[at])))
+            at = end
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long_key = None, None
+        for batch in _with_end(batches):
+            rows = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if rows is None or not len(rows):
+                continue
+            key, top = np.asarray(rows["key"]), np.asarray(rows["top"])
+            start = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (top[1:] != top[:-1])) + 1]
+            size = np.diff(np.r_[start, len(key)])
+            of = np.repeat(np.arange(len(start)), size)
+            long = size > most if most is not None else np.zeros(len(size), bool)
+            if long_key is not None and (int(key[0]), int(top[0])) == long_key:
+                long[0] = True
+            # the last list may go on in the next batch: it waits, unless it is long already
+            waits = np.zeros(len(size), bool)
+            waits[-1] = batch is not None and not long[-1]
+            long_key = (int(key[-1]), int(top[-1])) if long[-1] else None
+            if (kept := long[of]).any():
+                some = rows.filter(pa.array(kept)).combine_chunks()
+                none = pa.nulls(len(some))
+                yield from pa.Table.from_arrays([some["word"], some["n"], none.cast(pa.string()), none.cast(pa.int64()), some["key"], some["top"], some["short"], some["last"]], schema=_MERGED).to_batches()
+            if (short := (~long & ~waits & (size > 1))[of]).any() and (found := pairs(rows.filter(pa.array(short)))):
+                none = [None] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*zip(*found), none, none, none, none), _MERGED, strict=True)], schema=_MERGED)
+            held = rows.filter(pa.array(waits[of])) if waits[-1] else None
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, na, b, nb), a before b, once for each two of `words` (word, n; words of 5 code points or more, distinct) that
     are one edit apart; written."""
-    posted = written(_postings(words), "spelling-posted")
-    ready, tables, longer = [], [posted], None
+    posted, merged, longer = _postings(words), [], None
+
+    def met(lists: DataFrame, most: int | None, name: str, *then_drop: DataFrame) -> DataFrame:
+        ordered = lists.select(*_LISTS).repartition(tasks_wanted(words.sparkSession), "key").sortWithinPartitions("key", "top")
+        schema = "a string, na long, b string, nb long, key long, top int, short boolean, last int"
+        merged.append(written(ordered.mapInArrow(_merge(most), schema), name, *then_drop))
+        return merged[-1].where("b IS NULL").drop("b", "nb").withColumnsRenamed({"a": "word", "na": "n"})
+
     for depth in range(1, DEPTH + 1):
-        listed = written(_listed(posted, longer, depth), f"spelling-lists-{depth}")
-        sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        rows = listed.join(sizes, "key")  # a list of one word has no pairs
-        longer = written(rows.where(F.col("size") > LIST), "spelling-longer")
-        ready.append(rows.where(F.col("size") <= LIST).select("key", "top", "word", "n", "early", F.lit(None).cast("int").alias("side")))
-        tables += [longer, listed]
+        longer = met(_listed(posted, longer, depth).withColumn("side", F.lit(None).cast("int")), LIST, f"spelling-lists-{depth}")
         if longer.isEmpty():
             break
     else:
         # every two blocks of a list that shares DEPTH grams meet in a task of their own
-        block = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
-        rows = longer.withColumn("blocks", F.ceil(2 * F.col("size") / LIST).cast("int")).withColumn("block", block)
+        sizes = longer.groupBy("key").agg(F.ceil(2 * F.count("*") / LIST).cast("int").alias("blocks"))
+        rows = longer.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
-        ready.append(rows.select(pair.alias("key"), "top", "word", "n", "early", F.when(F.col("other") != F.col("block"), F.col("block")).alias("side")))
-    lists = ready[0]
-    for more in ready[1:]:
-        lists = lists.unionByName(more)
-    met = lists.repartition(tasks_wanted(words.sparkSession), "key").sortWithinPartitions("key", "top").mapInArrow(_merge, "a string, na long, b string, nb long")
-    return written(met.distinct(), "spelling-pairs", *tables)
+        met(rows.withColumn("side", F.when(F.col("other") != F.col("block"), F.col("block"))).withColumn("key", pair), None, "spelling-blocks")
+    found = merged[0]
+    for more in merged[1:]:
+        found = found.unionByName(more)
+    return written(found.where("b IS NOT NULL").select("a", "na", "b", "nb").distinct(), "spelling-pairs", *merged)
 
 
 def variants(words: DataFrame, times: int = 2) -> DataFrame:

@@ -85,7 +85,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_secret_scan": op13_secret_scan,
 }
 
+
+def _secrets_sql() -> str:
+    """Parts by the pieces and matches of each pattern, then the rules of secret_scan.reported() as joins."""
+    last, texts = len(secret_scan.KINDS), []
+    for k, (name, (pattern, span, counted, least, role)) in enumerate([*secret_scan.KINDS.items(), ("break", (secret_scan.BREAK, 0, 0, 0, ""))]):
+        p = pattern.replace("(?:^|[^", "(?:[^").replace("'", "''")  # every text begins with a space here
+        fine = " AND ".join(f"regexp_matches(v, '{c}')" for c in secret_scan.MIXED) if name == "blob" else f"length(v) >= {least}"
+        texts.append(f"""SELECT rid, {k} AS kind, '{role}' AS role, fine, CAST(stop - n - 1 AS BIGINT) AS a, CAST(stop - 1 AS BIGINT) AS b FROM (
+            SELECT rid, length(s) AS n, {fine} AS fine, sum(length(g) + length(w)) OVER (PARTITION BY rid ORDER BY i) AS stop FROM (
+            SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w, unnest(s) AS s, unnest(v) AS v, unnest(g[1:len(w)]) AS g FROM (
+            SELECT rid, regexp_extract_all(x, '{p}') AS w, regexp_extract_all(x, '{p}', {span}) AS s, regexp_extract_all(x, '{p}', {span if name == "blob" else counted}) AS v, string_split_regex(x, '{p}') AS g FROM t WHERE regexp_matches(x, '{p}'))))""")
+    strong, reach = len(secret_scan.STRONG), secret_scan.REACH
+    names = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    joined = f"string_agg({names}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind)"
+    return f"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, ' ' || coalesce(text, '') AS x FROM documents),
+        parts AS ({" UNION ALL ".join(texts)}),
+        scoped AS MATERIALIZED (SELECT * FROM (SELECT *, sum(CAST(kind = {last} AS INTEGER)) OVER (PARTITION BY rid ORDER BY a, kind) AS scope FROM parts WHERE fine) WHERE kind < {last}),
+        free AS MATERIALIZED (SELECT * FROM scoped w WHERE kind < {strong} OR NOT EXISTS (SELECT 1 FROM scoped s WHERE s.rid = w.rid AND s.kind < {strong} AND s.a < w.b AND w.a < s.b)),
+        kept AS (SELECT * FROM free w WHERE kind < {strong} OR EXISTS (SELECT 1 FROM free o WHERE o.rid = w.rid AND o.scope = w.scope AND (o.role = 'what') <> (w.role = 'what') AND greatest(o.a, w.a) - least(o.b, w.b) <= {reach})),
+        found AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(secret_scan.STRONG))}, {joined} FILTER (kind < {strong}) AS base, {joined} AS spans FROM kept GROUP BY rid)
+        SELECT doc_id, {", ".join(f"CAST(coalesce(n_{name}, 0) AS BIGINT) AS n_{name}" for name in secret_scan.STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN found USING (rid)
+    """
+
+
+#: CRC-32 by its rule; words one edit apart share themselves without one code point.
+_WORDS_SQL = f"""
+        WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents),
+        low AS (SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM run GROUP BY ALL),
+        bytes AS (SELECT run, n, list_transform(range(1, length(h), 2), lambda i: CAST(('0x' || h[i : i + 1]) AS BIGINT)) AS b, steps FROM (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM low), crc),
+        hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(steps[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) AS h FROM bytes),
+        words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {spelling.DROPPED} = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(0, length(word))) AS BIGINT) AS i FROM words)),
+        pairs AS (SELECT a.word AS word, a.n AS n, b.word AS near, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT c.word, c.n, w.word, w.n FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, w.n, c.word, c.n FROM cut c JOIN words w ON w.word = c.rest),
+        best AS (SELECT word, n, count(*) AS n_near, max(m) AS m, min(near) FILTER (m = top) AS near FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word, n),
+        form AS MATERIALIZED (SELECT word, near AS form, m AS form_n FROM best WHERE m >= 2 * n),
+        path AS (SELECT word, form AS reached, 1 AS step FROM form UNION ALL SELECT p.word, f.form, step + 1 FROM path p JOIN form f ON f.word = p.reached),
+        root AS (SELECT word, arg_max(reached, step) AS root FROM path GROUP BY word)
+        SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, CAST(coalesce(b.n_near, 0) AS BIGINT) AS n_near, f.form_n
+        FROM words w LEFT JOIN best b USING (word) LEFT JOIN form f USING (word) LEFT JOIN root r USING (word)
+"""
+
 ORACLE: dict[str, str] = {
+    "op12_spelling_variants": _WORDS_SQL,
+    "op13_secret_scan": _secrets_sql(),
     "op3_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e

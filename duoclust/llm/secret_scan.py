@@ -142,7 +142,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = reported(found)
     spans = rows.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     spans = written(spans, "secrets-spans", found)
-    out = _meet(texts, spans, "true", "left").select(F.col("l.id").alias("doc_id"), F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("all"))
-    base = F.filter("all", lambda s: s["kind"] < len(STRONG))
-    counts = [F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(STRONG)]
-    return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    out = _meet(texts, spans, "true", "left").select(F.col("l.id").alias("doc_id"), F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("every"))
+    base = F.filter("every", lambda s: s["kind"] < len(STRONG))
+    counts = [F.size(F.expr(f"filter(every, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(STRONG)]
+    return out.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"))

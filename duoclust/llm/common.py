@@ -58,6 +58,14 @@ def dropped(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(name: str, *taken: list[str]) -> str:
+    """The name, with underscores behind it until no column of `taken` has it (names do not tell case apart)."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def tasks_wanted(spark: SparkSession, per_core: int = 2) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_between, in_steps, mix, prefix_hash, shingles_of, text_bytes, words_of, written
+from .common import fresh, hash_between, in_steps, mix, prefix_hash, shingles_of, text_bytes, words_of, written
 
 #: Least similarity; recall that the repetitions are set for at that similarity; places in a bucket.
 SIMILARITY, RECALL, PLACES = 0.8, 0.95, 3
@@ -228,5 +228,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that hold a benchmark passage, all columns and other rows as they are. Rows
     without a doc_id stay."""
-    found = written(matches(docs, benchmark, **how).select(F.col("doc_id").alias("__leaks")).distinct(), "leaks")
-    return docs.join(found, docs["doc_id"] == found["__leaks"], "left_anti")
+    leaks = fresh("__leaks", docs.columns)
+    found = written(matches(docs, benchmark, **how).select(F.col("doc_id").alias(leaks)).distinct(), "leaks")
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(leaks), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, in_steps, mix, shingles_of, tasks_wanted, text_bytes, words_of, written
+from .common import dropped, fresh, in_steps, mix, shingles_of, tasks_wanted, text_bytes, words_of, written
 from .components import components
 
 #: Counters of the frequency sketch and of one of its blocks; members up to which a region tests all pairs;
@@ -373,6 +373,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """docs with one document of each group of near duplicates, the one with the smallest doc_id; of rows with one
     doc_id and text, one. Documents without words and rows without a doc_id stay. All columns stay."""
     found = jaccard_components(docs, width, percent)
-    copies = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__copy_id")).distinct(), "copies")
-    kept = docs.join(copies, F.col("doc_id").cast("long") == F.col("__copy_id"), "left_anti")
-    return kept.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash")
+    copy, text_hash = fresh("__copy_id", docs.columns), fresh("__text_hash", docs.columns)
+    copies = written(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(copy)).distinct(), "copies")
+    kept = docs.join(copies, F.col("doc_id").cast("long") == F.col(copy), "left_anti")
+    return kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_between, in_steps, mix, prefix_hash, tasks_wanted, text_bytes, written
+from .common import fresh, hash_between, in_steps, mix, prefix_hash, tasks_wanted, text_bytes, written
 from .induced_sort import same_prefix, suffix_array
 
 #: Bytes of an anchor's substring, bytes of pieces that one sort takes, about, and bytes of text in a step.
@@ -377,11 +377,12 @@ def clean(docs: DataFrame, length: int = 100) -> DataFrame:
     d = _texts_of(docs)
     first = written(d.groupBy("sig").agg(F.min("doc_id").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).select(F.col("sig").alias("of"), F.when(F.col("nulls") == 0, F.col("first_doc")).alias("first_doc")), "first")
     cut = _cut_texts(d, first, length, True)
-    place = first.join(cut.select("of", F.col("left").alias("__left")), "of", "left").select(F.col("of").alias("__of"), F.col("first_doc").alias("__first_doc"), "__left")
+    sig, of, of_first, left = (fresh(c, docs.columns) for c in ("__sig", "__of", "__first_doc", "__left"))
+    place = first.join(cut.select("of", "left"), "of", "left").select(F.col("of").alias(of), F.col("first_doc").alias(of_first), F.col("left").alias(left))
     place = written(place, "place", cut, first)
-    both = docs.withColumn("__sig", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(place, F.col("__sig") == F.col("__of"))
-    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("__first_doc")) & (F.octet_length("text") >= length)
-    both = both.where(~F.coalesce(copy, F.lit(False)) & (F.col("__left").isNull() | (F.trim("__left") != ""))).withColumn("text", F.coalesce("__left", "text"))
+    both = docs.withColumn(sig, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(place, F.col(sig) == F.col(of))
+    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col(of_first)) & (F.octet_length("text") >= length)
+    both = both.where(~F.coalesce(copy, F.lit(False)) & (F.col(left).isNull() | (F.trim(left) != ""))).withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("__left").cast("long")))
+        both = both.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left).cast("long")))
     return both.select(*docs.columns)

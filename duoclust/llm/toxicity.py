@@ -139,8 +139,9 @@ class Scorer:
 
 
 def fitting_rows(docs: DataFrame, labels: DataFrame, usable: Column, label: str, most: int = FIT_ROWS) -> DataFrame:
-    """(text, label) of up to `most` labelled rows that `usable` admits, in an order by hash of doc_id."""
-    ids = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).dropDuplicates(["id"])
+    """(text, label) of up to `most` labelled rows that `usable` admits, in an order by hash of doc_id. Of several labels
+    of one id the largest counts."""
+    ids = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     ids = ids.where(usable).orderBy(F.xxhash64("id"), "id").limit(most)
     return docs.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull()).join(ids, "id").select("text", "label")
 
@@ -191,19 +192,19 @@ def fit(rows: DataFrame) -> dict:
     return {"words": words, "stems": stems, "weights": weights.tolist(), "bias": bias}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with `score` in 0 to 1 (0 to 1 also for null and empty texts). Every whole text is read; no other
-    column of docs is, and all of them stay."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """docs with `name`, a score in 0 to 1 (0 to 1 also for null and empty texts), in place of a column of that name.
+    Every whole text is read; no other column of docs is, and all others stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, w = Scorer(model["words"], model["stems"]), np.array(model["weights"])
         for batch in in_steps(batches):
             x = np.array([scorer.features(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(_FEATURES))
             s = 1 / (1 + np.exp(-np.clip(x @ w + model["bias"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, name])
 
-    kept = docs.drop("score")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    kept = docs.drop(name)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -212,4 +213,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def fitted(spark, docs: DataFrame, sf_dir: str) -> dict:
     """The model of the labels table's `toxic`, from rows that are not held out, over the given documents."""
-    return fit(fitting_rows(docs, table(spark, sf_dir, "labels"), ~held_out("id"), "toxic").persist())
+    rows = fitting_rows(docs, table(spark, sf_dir, "labels"), ~held_out("id"), "toxic").persist()
+    try:
+        return fit(rows)
+    finally:
+        rows.unpersist()

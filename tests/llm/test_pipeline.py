@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from duoclust.llm import decontaminate, toxicity
@@ -86,6 +87,7 @@ def test_rates_meet_the_targets(stages):
     before, after = stages[4]
     got = after.collect()
     assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows_of(before)] and all(r["rate"] >= 0 for r in got)
+    assert rows_of(after) == rows_of(before) and set(before.columns) < set(after.columns)  # the corpus, with its rates
     total = sum(r["n_tokens"] for r in got)
     for name, share in corpus_pipeline.TARGETS.items():
         assert sum(r["rate"] * r["n_tokens"] * r[f"p_{name}"] for r in got) == pytest.approx(share * total, rel=2e-3)
@@ -95,3 +97,31 @@ def test_edit_distances_agree():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, 20).astype(np.uint64), rng.integers(0, 9, 60).astype(np.uint64)
     assert decontaminate.edits_within(a, b)[0] == edit_distance(a.tolist(), b.tolist())
+
+
+CLASH = ["score", "__sig", "__of", "__left", "__first_doc", "__copy_id", "__text_hash", "__leaks", "rate", "n_tokens", "key", "row", "k", "of"]
+
+
+def piped(spark, tmp_path, rows):
+    """The pipeline over these documents, with labels and benchmark of the driver and columns whose names clash."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASH}).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_pipeline_on_hard_rows(spark, tmp_path):
+    given = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in table(spark, SF, "documents").limit(60).collect()]
+    rows = [*given, (1000, None, None, None, None), (1001, "", None, None, 0), (None, "no id and a few words", "en", "x", 21), given[0], (1002, "word " * 30_000, "en", "x", 150_000)]
+    got = piped(spark, tmp_path, rows).collect()
+    assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASH)
+    assert all(r["rate_"] >= 0 and r["n_tokens_"] == len((r["text"] or "").split()) for r in got)
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == len(set(ids)) and {None, 1002} <= set(ids) <= {r[0] for r in rows}
+    long = next(r for r in got if r["doc_id"] == 1002)
+    assert set(long["text"].split()) == {"word"} and long["n_chars"] == len(long["text"])
+
+
+def test_pipeline_on_no_rows(spark, tmp_path):
+    assert piped(spark, tmp_path, []).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duoclust.llm import decontaminate, mixing, ngram_join, suffix_dedup, toxicity
-from duoclust.llm.common import table, written
+from duoclust.llm.common import fresh, table, written
 
 #: Least score of a document that is rejected; weights of the domains of what is kept.
 TOXIC, TARGETS = 0.7, {"high": 0.9, "low": 0.1}
@@ -14,8 +14,9 @@ TOXIC, TARGETS = 0.7, {"high": 0.9, "low": 0.1}
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is TOXIC or more go."""
-    scored = toxicity.score(docs, toxicity.fitted(spark, docs, sf_dir))
-    return scored.where(F.col("score") < TOXIC).select(*docs.columns)
+    name = fresh("score", docs.columns)
+    scored = toxicity.score(docs, toxicity.fitted(spark, docs, sf_dir), name)
+    return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rate of each document, for the weights of TARGETS."""
-    return mixing.mix(docs, mixing.quality_domains(spark, sf_dir), TARGETS)
+    """The documents, texts and all columns, with tokens, posteriors and the rate of each for the weights of TARGETS."""
+    return mixing.weighted(docs, mixing.quality_domains(spark, sf_dir), TARGETS)
 
 
 STAGES = [

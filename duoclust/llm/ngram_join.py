@@ -37,6 +37,8 @@ SKETCH_BITS, BLOCK_BITS, SMALL, TESTED = 22, 16, 24, 256
 #: Levels of recursion on pivots of larger regions, and pivots of a region on each; windows of size of the last level
 #: between a set and its smallest partner.
 LEVELS, PIVOTS, WINDOWS = 2, 64, 8
+#: Shares of a region in which its pivots are ranked first.
+SALTS = 32
 
 
 def _sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -344,8 +346,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         near = (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & (F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= need)
         if level < LEVELS:
             reach = [F.col("xpos") / F.col("xn")] if level == 0 else []
-            first = Window.partitionBy("key").orderBy(*reach, F.xxhash64("xsig", F.lit(level)), "xsig")
-            both = xs.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= PIVOTS).join(ys, "key")
+            order = [*reach, F.xxhash64("xsig", F.lit(level)), "xsig"]
+            few = xs.withColumn("salt", F.pmod(F.xxhash64("xsig"), F.lit(SALTS)))  # the first of each share, then of all shares
+            for by in (["key", "salt"], ["key"]):
+                few = few.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= PIVOTS).drop("turn")
+            both = few.drop("salt").join(ys, "key")
         else:
             near &= (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xsig") < F.col("ysig")))
             both = xs.withColumn("window", F.explode(_within(percent))).join(ys.withColumn("window", _window(F.col("yn"), percent)), ["key", "window"])

@@ -5,8 +5,9 @@ by their document frequency in the whole corpus. One pass counts the documents o
 nearest template of each statement and leaves the words that no template has, whose weights a join brings, so
 that the cosine is that of the corpus for every statement that can reach the threshold. A file has the licence of its best
 statement. A file that says that it is under some licence which no template resembles has the licence "unknown". A file
-that is mostly licence statements is a licence file and speaks for its directory; files without a statement take the
-licence of the nearest ancestor directory that has one, by joins of paths.
+with the name of a licence file and a statement, or one whose words as a whole are those of a licence's whole text, is a
+licence file and speaks for its directory; files without a statement take the licence of the nearest ancestor directory
+that has one, by joins of paths.
 """
 
 from __future__ import annotations
@@ -55,15 +56,66 @@ TEMPLATES = [
     ("proprietary", "All rights reserved."),
     ("proprietary", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 ]
-TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"proprietary"})]
+#: Licences by their titles and short names, and the notice of the GNU licences.
+TITLES = {
+    "Apache-2.0": (["Apache License, Version 2.0", "Apache License 2.0", "Apache License"], ["Apache 2.0", "Apache-2.0"]), "MIT": (["MIT License"], ["MIT"]),
+    "BSD-2-Clause": (["BSD 2-Clause License", "Simplified BSD License"], ["BSD 2-Clause", "BSD-2-Clause"]), "BSD-3-Clause": (["BSD 3-Clause License", "New BSD License"], ["BSD 3-Clause", "BSD-3-Clause"]),
+    "ISC": (["ISC License"], ["ISC"]), "EPL-2.0": (["Eclipse Public License 2.0", "Eclipse Public License, version 2.0"], ["EPL 2.0", "EPL-2.0"]),
+    "MPL-2.0": (["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"], ["MPL 2.0", "MPL, version 2.0", "MPL-2.0"]),
+    "GPL-2.0": (["GNU General Public License, version 2", "GNU GPL, version 2"], ["GPL v2", "GPLv2", "GPL 2.0", "GPL-2.0"]), "GPL-3.0": (["GNU General Public License, version 3", "GNU GPL, version 3"], ["GPL v3", "GPLv3", "GPL 3.0", "GPL-3.0"]),
+    "LGPL-2.1": (["GNU Lesser General Public License, version 2.1", "GNU Lesser GPL, version 2.1"], ["LGPL v2.1", "LGPLv2.1", "LGPL-2.1"]), "LGPL-3.0": (["GNU Lesser General Public License, version 3", "GNU Lesser GPL, version 3"], ["LGPL v3", "LGPLv3", "LGPL-3.0"]),
+    "AGPL-3.0": (["GNU Affero General Public License, version 3"], ["AGPL v3", "AGPLv3", "AGPL-3.0"]),
+}
+NOTICE = "This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+TEMPLATES += [(name, form.format(t)) for name, (titles, _) in TITLES.items() for t in titles for form in ("The {}", "Licensed under the {}.", "Released under the {}.", "This file is licensed under the terms of the {}.", "License: {}")]
+TEMPLATES += [(name, f"{form} {t}") for name, (_, shorts) in TITLES.items() for t in shorts for form in ("License:", "Licensed under", "Licensed under the", "Released under the")]
+TEMPLATES += [("MIT", "The MIT License (MIT)"), *((name, t) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for t in TITLES[name][1][:2])]
+TEMPLATES += [(name, NOTICE.format(thing=t, kind=kind, version=v)) for name, kind, v in [
+    ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"),
+] for t in ("program", "library", "file")]
+for _kind, _title in {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}.items():
+    for _v, _port in (("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES += [(f"CC-{_kind}-{_v}", t) for t in (f"Licensed under CC {_kind} {_v}.", f"License: CC {_kind} {_v}", f"This work is licensed under a Creative Commons {_title} {_v} {_port} License.")]
+TEMPLATES += [(name, f"{key}: {name}") for name in sorted({name for name, _ in TEMPLATES} - {"proprietary"}) for key in ("SPDX-License-Identifier", "SPDX")]
+TEMPLATES += [(name, f"{key}: {name}-{how}") for name in TITLES if "GPL" in name for how in ("only", "or-later") for key in ("SPDX-License-Identifier", "SPDX")]
+TEMPLATES = sorted(set(TEMPLATES))
+_WARRANTY = " THE SOFTWARE IS PROVIDED {what} AND {who} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {who} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Whole texts of short licences; longer ones are known by the name of their file.
+WHOLE = [
+    ("MIT", 'MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." + _WARRANTY.format(what='"AS IS"', who="THE AUTHOR")),
+]
 #: A licence whose text holds that of another one.
 HOLDS = {"BSD-2-Clause": "BSD-3-Clause"}
-#: Least cosine of a statement, share of a file's words that makes it a licence file, words a task counts at once.
-COSINE, MOSTLY, COUNTED = 0.75, 0.5, 300_000
+#: Least cosine of a statement and of a whole text, words a task counts at once.
+COSINE, WHOLE_COSINE, COUNTED = 0.75, 0.85, 300_000
+#: Names of files that speak for their directory.
+LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying)([^a-z].*)?$"
 _WORD = re.compile(r"\w+")
 _CUT = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\W\da-z_])")
 _STATED = re.compile(r"\b(?i:licen[cs]ed|released|distributed|available) (?i:under) (?i:the )?(?i:terms of (?:the )?)?[^.\n]{0,60}?(?:(?i:licen[cs]e)\b|\b[A-Z]{2,}[\w.-]*)|\bSPDX-License-Identifier:")
-_VOCABULARY = frozenset(w for _, t in TEMPLATES for w in _WORD.findall(t.lower()))
+_HINT = re.compile(r"(?i)licen[cs]e|permission|redistribut|reserved")
+_MARGIN = re.compile(r"\n[ \t]*(?:[*#;%/]+|//+|--+)?[ \t]*")
+_VOCABULARY = frozenset(w for _, t in TEMPLATES + WHOLE for w in _WORD.findall(t.lower()))
+#: Words that name a family of licences or a variant in it: a statement and its template name the same ones.
+_FAMILIES = {name: re.compile(p) for name, p in {
+    "apache": r"(?i)\bapache\b", "mit": r"\bMIT\b|(?i:\bmit licen[cs]e)", "bsd": r"(?i)\bbsd\b", "isc": r"\bISC\b|(?i:\bisc licen[cs]e)", "epl": r"\bEPL\b|(?i:\beclipse public)", "mpl": r"\bMPL\b|(?i:\bmozilla public)",
+    "gpl": r"(?i)\bgeneral public licen[cs]e|\b[al]?gpl", "lgpl": r"(?i)\blesser (?:general|gpl)|\blibrary general|\blgpl", "agpl": r"(?i)\baffero|\bagpl", "cc": r"\bCC\b|(?i:\bcreative commons)", "cc0": r"(?i)\bcc0", "sa": r"(?i)\bby(?:-nc)?-sa\b|share-?alike",
+    "nc": r"(?i)\bby-nc\b|non-?commercial", "nd": r"(?i)\bby(?:-nc)?-nd\b|no-?deriv", "two": r"(?i)\b(?:2|two)-clause|simplified bsd", "three": r"(?i)\b(?:3|three)-clause|new bsd",
+}.items()}
+_NUMBER = re.compile(r"(?i)(?:\bversion|\bv\.?|licen[cs]e,?|gpl-?v?|\bby(?:-[a-z]{2})*-?|attribution[a-z-]*|\b[me]pl-?|apache-?|cc0-?)[ ,]*v?\.?[ ]*(\d+(?:\.\d+)?)")
+
+
+def _families(text: str) -> frozenset[str]:
+    return frozenset(name for name, p in _FAMILIES.items() if p.search(text))
+
+
+def _versions(text: str) -> frozenset[str]:
+    return frozenset(v.removesuffix(".0") for v in _NUMBER.findall(text))
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -92,54 +144,75 @@ def idf(n: int, docs: int) -> float:
 
 
 class Matcher:
-    """Statements against templates, with the weights of the templates' words."""
+    """Statements against templates, and whole files against whole texts, with the weights of the templates' words."""
 
     def __init__(self, n: int, docs: dict[str, int]):
         self.idf = {w: idf(n, docs.get(w, 0)) for w in _VOCABULARY}
-        self.names = [name for name, _ in TEMPLATES]
-        self.posting: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, text) in enumerate(TEMPLATES):
+        self.sets = [self._set(t) for t in (TEMPLATES, WHOLE)]
+
+    def _set(self, templates: list[tuple[str, str]]) -> tuple[list, dict[str, list[tuple[int, float]]]]:
+        posting: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, text) in enumerate(templates):
             tf = Counter(_WORD.findall(text.lower()))
             norm = math.sqrt(sum((c * self.idf[w]) ** 2 for w, c in tf.items()))
             for w, c in tf.items():
-                self.posting.setdefault(w, []).append((k, c * self.idf[w] / norm))
+                posting.setdefault(w, []).append((k, c * self.idf[w] / norm))
+        # what a template names, what its licence may be called beside, and its version
+        named = [(name, _families(text), _families(text + " " + name), (re.search(r"-(\d+(?:\.\d+)?)$", name) or [None, ""])[1].removesuffix(".0")) for name, text in templates]
+        return named, posting
 
-    def statement(self, words: list[str]) -> tuple[str, float, float, list[tuple[str, int]]] | None:
+    def statement(self, words: list[str], piece: str, whole: bool = False) -> tuple[str, float, float, list[tuple[str, int]]] | None:
         """(licence, dot product with its template, squares of the templates' words, other words and their numbers) of
-        the words from the first to the last that a template has, if their cosine can reach COSINE: other words weigh 1
-        at least. Ties to the smaller name."""
+        the words from the first to the last that a template has, if their cosine can reach the least one: other words
+        weigh 1 at least. A template whose family, variant or version the piece contradicts is none. Ties to the
+        smaller name."""
         at = [i for i, w in enumerate(words) if w in _VOCABULARY]
         if not at:
             return None
+        wanted = WHOLE_COSINE if whole else COSINE
         tf = Counter(words[at[0] : at[-1] + 1])
         others = [(w, c) for w, c in tf.items() if w not in _VOCABULARY]
         shared = sum((c * self.idf[w]) ** 2 for w, c in tf.items() if w in _VOCABULARY)
         least = shared + sum(c * c for _, c in others)
-        if shared < COSINE * COSINE * least:  # the cosine is at most sqrt(shared / least)
+        if shared < wanted * wanted * least:  # the cosine is at most sqrt(shared / least)
             return None
-        dot: dict[int, float] = {}
-        for w in tf.keys() & _VOCABULARY:
-            for k, x in self.posting[w]:
+        (named, posting), dot = self.sets[whole], {}
+        for w in tf.keys() & posting.keys():
+            for k, x in posting[w]:
                 dot[k] = dot.get(k, 0.0) + x * tf[w] * self.idf[w]
-        best, name = min((-round(v, 12), self.names[k]) for k, v in dot.items())
-        return (name, -best, shared, others) if -best >= COSINE * math.sqrt(least) else None
+        near = sorted((-round(v, 12), named[k][0], k) for k, v in dot.items() if v >= wanted * math.sqrt(least))
+        said, numbers = (_families(piece), _versions(piece)) if near else (frozenset(), frozenset())
+        for v, name, k in near:
+            _, has, may, version = named[k]
+            if whole or (has <= said <= may and not (version and numbers and version not in numbers)):
+                return name, -v, shared, others
+        return None
 
     def file(self, text: str | None) -> tuple[int, list[tuple]]:
-        """(words, statements with their number of words and, as None in place of a licence, those that say a licence
-        which is not near enough) of a whole text."""
-        total, found = 0, []
-        for piece in _CUT.split(text or ""):
+        """(words, statements) of a whole text. A statement has its number of words, whether it says that there is a
+        licence - then the licence is None if no template is near enough - and whether it is the whole file."""
+        total, found, every = 0, [], []
+        pieces = _CUT.split(text or "")
+        lines = len(pieces)
+        for paragraph in re.split(r"\n[ \t]*\n", text or "") if "\n" in (text or "") else ():  # a sentence may go over lines
+            if "\n" in paragraph and _HINT.search(paragraph):
+                pieces += _CUT.split(_MARGIN.sub(" ", paragraph))
+        for k, piece in enumerate(pieces):
             words = _WORD.findall(piece.lower())
-            total += len(words)
+            if k < lines:
+                total += len(words)
+                every += words
             if not words or _VOCABULARY.isdisjoint(words):
                 continue
-            got, stated = self.statement(words), bool(_STATED.search(piece))
+            got, stated = self.statement(words, piece), bool(_STATED.search(piece))
             if got or stated:
-                found.append((*(got or (None, 0.0, 1.0, [])), len(words), stated))
+                found.append((*(got or (None, 0.0, 1.0, [])), len(words), stated, False))
+        if _HINT.search(text or "") and (got := self.statement(every, "", whole=True)):
+            found.append((*got, len(every), False, True))
         return total, found
 
 
-_PIECE = "struct<name: string, dot: double, shared: double, others: array<struct<word: string, n: int>>, words: int, stated: boolean>"
+_PIECE = "struct<name: string, dot: double, shared: double, others: array<struct<word: string, n: int>>, words: int, stated: boolean, whole: boolean>"
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -151,7 +224,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(n, docs)
-        kind = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("shared", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))), ("words", pa.int32()), ("stated", pa.bool_())]))
+        kind = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("shared", pa.float64()), ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))), ("words", pa.int32()), ("stated", pa.bool_()), ("whole", pa.bool_())]))
         names = [f.name for f in kind.value_type]
         for batch in batches:
             got = [matcher.file(t) for t in batch.column("text").to_pylist()]
@@ -166,16 +239,17 @@ def scan(files: DataFrame) -> DataFrame:
     squares = others.join(words, "word", "left").groupBy("row", "k").agg(F.sum((F.col("c") * weight) * (F.col("c") * weight)).alias("more"))
     cosine = F.col("dot") / F.sqrt(F.col("shared") + F.coalesce("more", F.lit(0.0)))
     each = pieces.drop("others").join(squares, ["row", "k"], "left").withColumn("cosine", F.round(cosine, 6))
-    each = each.withColumn("name", F.when(F.col("cosine") >= COSINE, F.col("name"))).where("name is not null or stated")
+    each = each.withColumn("name", F.when(F.col("cosine") >= F.when(F.col("whole"), WHOLE_COSINE).otherwise(COSINE), F.col("name"))).where("name is not null or stated")
     named = F.col("name").isNotNull()
-    best = F.min(F.when(named, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("b")
-    of_file = each.groupBy("row").agg(best, F.collect_set("name").alias("names"), F.sum(F.when(named, F.col("words")).otherwise(0)).alias("said"), F.first("total").alias("total"))
+    best = F.min(F.when(named, F.struct(~F.col("whole"), (-F.col("cosine")).alias("c"), "name"))).alias("b")  # a whole text before a sentence of it
+    of_file = each.groupBy("row").agg(best, F.collect_set("name").alias("names"), F.max(named & F.col("whole")).alias("whole"))
     licence = F.col("b.name")
     for name, other in HOLDS.items():
         licence = F.when((F.col("b.name") == name) & F.array_contains("names", other), F.lit(other)).otherwise(licence)
-    of_file = of_file.select("row", F.coalesce(licence, F.lit("unknown")).alias("licence"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("cosine"), (F.col("b").isNotNull() & (F.col("said") >= MOSTLY * F.col("total"))).alias("licence_file"))
+    of_file = of_file.select("row", F.coalesce(licence, F.lit("unknown")).alias("licence"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("cosine"), F.col("b").isNotNull().alias("known"), "whole")
     out = found.select("row", "id", "path").join(of_file, "row", "left")
-    out = out.select("id", "path", "licence", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce("licence_file", F.lit(False)).alias("licence_file"))
+    by_name = F.regexp_extract(F.coalesce("path", F.lit("")), "[^/]*$", 0).rlike(LICENCE_FILE) & F.col("known")
+    out = out.select("id", "path", "licence", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.coalesce(by_name | F.col("whole"), F.lit(False)).alias("licence_file"))
     return written(out, "licence-scan", words, found)
 
 

@@ -35,6 +35,33 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert license_scan.licences(df.where("id < 0")).count() == 0
 
 
+MIT_TEXT = "MIT License\n\nCopyright (c) 2021 A. Person\n\n" + license_scan.WHOLE[0][1].removeprefix("MIT License Copyright (c) ").replace(". ", ".\n\n")
+GPL_3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+HEADERS = {
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "GPL-2.0",
+    "Licensed under the GNU Lesser GPL, version 2.1.": "LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Licensed under CC BY 3.0.": "CC-BY-3.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under the Apache License.": "Apache-2.0",
+    "Licensed under the MPL, version 2.0.": "MPL-2.0", "SPDX: LGPL-2.1-or-later": "LGPL-2.1", "License: MIT": "MIT", "The MIT License (MIT)": "MIT", "GPL v2": "GPL-2.0", "Released under the BSD 2-Clause License.": "BSD-2-Clause", "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
+    GPL_3: "GPL-3.0", GPL_3.replace("\n", "\n * "): "GPL-3.0", GPL_3.replace("General", "Affero General"): "AGPL-3.0", "Licensed under the Foobar License, version 9.": "unknown", "Licensed under the Mozilla Public License, version 1.1.": "unknown", "mit der und die mit": None,
+}
+
+
+def test_headers_name_their_licence_and_version(spark):
+    prose = "some prose of a file that has nothing to do with it and goes on for a while"
+    filler = [(1000 + i, f"z/{i}", prose + f" number{i} the license of under software general public this is") for i in range(60)]
+    df = spark.createDataFrame([(i, f"a{i}/f.c", f"{prose}\n\n{h}\n\n{prose}") for i, h in enumerate(HEADERS)] + filler, "id long, path string, text string")
+    got = {r["id"]: r["licence"] for r in license_scan.licences(df).collect()}
+    assert {h: got[i] for i, h in enumerate(HEADERS)} == HEADERS
+
+
+def test_only_licence_files_speak_for_their_directory(spark):
+    rows = [(i, f"d{i}/{name}", text) for i, (name, text) in enumerate([
+        ("x.txt", MIT_TEXT), ("README", "Licensed under CC BY 4.0."), ("LICENSE.md", "Licensed under CC BY 4.0."), ("x.txt", license_scan.WHOLE[1][1]), ("x.txt", license_scan.WHOLE[2][1]), ("x.txt", license_scan.WHOLE[3][1]), ("COPYING", GPL_3), ("licensed.py", "License: MIT"),
+    ])]
+    files = rows + [(100 + i, f"d{i}/sub/y.py", "words of a file") for i in range(len(rows))]
+    got = {r["id"]: r["licence"] for r in license_scan.licences(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert [got[100 + i] for i in range(len(rows))] == ["MIT", None, "CC-BY-4.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-3.0", None]
+
+
 def test_length_histogram_answers_every_limit(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "tokens", "x1y2"]) for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, "", "", "long " * 30_000]

@@ -8,6 +8,34 @@ import numpy as np
 EPS = 1e-10
 
 
+class Sparse:
+    """A matrix of the entries that are not zero, with the products that the fits take; repeated cells are added up."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        cell, at = np.unique(row.astype(np.int64) * shape[1] + col, return_inverse=True)
+        self.shape, self.row, self.col = shape, cell // shape[1], cell % shape[1]
+        self.value = np.bincount(at, value, len(cell))
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.col], self.shape[0])
+
+    def __rmatmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * w[self.row], self.shape[1])
+
+    def sum(self, axis: int = 1) -> np.ndarray:
+        return np.bincount(self.row, self.value, self.shape[0]) if axis == 1 else np.bincount(self.col, self.value, self.shape[1])
+
+    def dense_row(self, k: int) -> np.ndarray:
+        out, at = np.zeros(self.shape[1]), slice(*np.searchsorted(self.row, [k, k + 1]))
+        out[self.col[at]] = self.value[at]
+        return out
+
+
 def normalized_mcc(truth: np.ndarray, labels: np.ndarray) -> float:
     _, t = np.unique(truth, return_inverse=True)
     _, p = np.unique(labels, return_inverse=True)
@@ -125,21 +153,54 @@ def penalised(x: np.ndarray, w: np.ndarray, model: str, weight: float, target: f
     return loss * factor, g * factor - loss * 2 * weight * short * d_gap
 
 
-def partition(x: np.ndarray, model: str, n_init: int = 6, max_iter: int = 500, tolerance: float = 1e-8, least: float = 0.02, seed: int = 0, logit: float = 10.0, weight: float = 0.0, target: float = 0.0, smoothing: float = 0.5) -> dict:
+def partition_start(x: np.ndarray | Sparse, model: str, k: int, max_iter: int = 500, tolerance: float = 1e-8, least: float = 0.02, seed: int = 0, logit: float = 10.0, weight: float = 0.0, target: float = 0.0, smoothing: float = 0.5) -> dict | None:
+    """Where start k of partition() ends: the median split of row totals, or of the k-th randomly signed ones. None if a
+    cluster has under `least` of the rows."""
+    rng, low, signs = np.random.default_rng(seed), 1 / (1 + np.exp(logit)), None
+    for _ in range(k):
+        signs = rng.choice([-1.0, 1.0], x.shape[1])
+    projection = x.sum(axis=1) if signs is None else x @ signs
+    m, value, steps, fine = bounded_descent(lambda w: penalised(x, w, model, weight, target, smoothing), median_membership(projection), low, 1 - low, max_iter, tolerance)
+    labels = (m >= 0.5).astype(int)
+    if min(labels.sum(), len(x) - labels.sum()) / len(x) < least or not np.isfinite(value):
+        return None
+    return {"labels": labels, "membership": m, "loss": value, "n_iter": steps, "success": fine, "restart": k}
+
+
+def partition(x: np.ndarray | Sparse, model: str, n_init: int = 6, max_iter: int = 500, **options) -> dict:
     """The best of several starts; starts that end with a cluster under `least` of the rows do not count."""
-    rng, best = np.random.default_rng(seed), None
-    low = 1 / (1 + np.exp(logit))
-    for k in range(n_init):
-        projection = x.sum(axis=1) if k == 0 else x @ rng.choice([-1.0, 1.0], x.shape[1])
-        m, value, steps, fine = bounded_descent(lambda w: penalised(x, w, model, weight, target, smoothing), median_membership(projection), low, 1 - low, max_iter, tolerance)
-        labels = (m >= 0.5).astype(int)
-        if min(labels.sum(), len(x) - labels.sum()) / len(x) < least or not np.isfinite(value):
-            continue
-        if best is None or value < best["loss"]:
-            best = {"labels": labels, "membership": m, "loss": value, "n_iter": steps, "success": fine, "restart": k}
-    if best is None:
+    ends = [e for k in range(n_init) if (e := partition_start(x, model, k, max_iter, **options)) is not None]
+    if not ends:
         raise ValueError("every start collapsed into one cluster")
-    return best
+    return min(ends, key=lambda e: e["loss"])
+
+
+def sparse_kmeans(x: Sparse, seed: int, n_init: int = 100, max_iter: int = 100_000, tolerance: float = 1e-3) -> np.ndarray:
+    """kmeans() of a sparse matrix: distances by products."""
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    n, squares = len(x), np.bincount(x.row, x.value**2, len(x))
+    mean = x.sum(axis=0) / n
+    stop = tolerance * (squares.sum() / n - mean @ mean) / x.shape[1]
+
+    def distances(c: np.ndarray) -> np.ndarray:
+        return np.maximum(squares - 2 * (x @ c) + c @ c, 0)
+
+    for _ in range(n_init):
+        first = x.dense_row(rng.integers(n))
+        d = distances(first)
+        c = [first, x.dense_row(rng.choice(n, p=d / d.sum())) if d.sum() > 0 else first]
+        for _ in range(max_iter):
+            labels = (distances(c[1]) < distances(c[0])).astype(int)
+            sizes = [n - labels.sum(), labels.sum()]
+            new = [(((labels == k).astype(float)) @ x) / sizes[k] if sizes[k] else c[k] for k in (0, 1)]
+            moved = sum(((a - b) ** 2).sum() for a, b in zip(new, c, strict=True))
+            c = new
+            if moved <= stop:
+                break
+        d0, d1 = distances(c[0]), distances(c[1])
+        if (cost := np.minimum(d0, d1).sum()) < best[0]:
+            best = (cost, (d1 < d0).astype(int))
+    return best[1]
 
 
 def kmeans(x: np.ndarray, seed: int, n_init: int = 100, max_iter: int = 100_000, tolerance: float = 1e-3) -> np.ndarray:
@@ -198,11 +259,11 @@ def dbscan_binary(x: np.ndarray, least: int = 5) -> np.ndarray:
     return number[inverse.ravel()]
 
 
-def regularized_em(x: np.ndarray, seed: int, max_iter: int = 10_000, tolerance: float = 1e-4, shrink: float = 1e-2) -> np.ndarray:
+def regularized_em(x: np.ndarray, seed: int, max_iter: int = 10_000, tolerance: float = 1e-4, shrink: float = 1e-2, first: np.ndarray | None = None) -> np.ndarray:
     """EM whose covariances lean towards the sample covariance by `shrink`, with 1e-3 on the diagonal."""
     rng, d = np.random.default_rng(seed), x.shape[1]
     goal = np.cov(x, rowvar=False)
-    means, covs, share = x[rng.choice(len(x), 2, replace=False)], [goal, goal], np.full(2, 0.5)
+    means, covs, share = x[rng.choice(len(x), 2, replace=False)] if first is None else first, [goal, goal], np.full(2, 0.5)
     for _ in range(max_iter):
         logs = np.stack([np.log(share[k]) + _log_normal(x, means[k], covs[k] + 1e-3 * np.eye(d)) for k in (0, 1)], axis=1)
         r = np.exp(logs - np.logaddexp(logs[:, 0], logs[:, 1])[:, None])
@@ -216,10 +277,10 @@ def regularized_em(x: np.ndarray, seed: int, max_iter: int = 10_000, tolerance:
     return r.argmax(axis=1)
 
 
-def cross_entropy_clusters(x: np.ndarray, seed: int, max_iter: int = 100, tolerance: float = 1e-6, log_space: bool = True) -> np.ndarray:
+def cross_entropy_clusters(x: np.ndarray, seed: int, max_iter: int = 100, tolerance: float = 1e-6, log_space: bool = True, first: np.ndarray | None = None) -> np.ndarray:
     """Equal-weight Gaussian responsibilities; without log_space densities are compared as they are (differential entropy)."""
     rng, d = np.random.default_rng(seed), x.shape[1]
-    means, covs = x[rng.choice(len(x), 2, replace=False)], [np.cov(x, rowvar=False)] * 2
+    means, covs = x[rng.choice(len(x), 2, replace=False)] if first is None else first, [np.cov(x, rowvar=False)] * 2
     for _ in range(max_iter):
         logs = np.stack([_log_normal(x, means[k], covs[k] + 1e-3 * np.eye(d)) for k in (0, 1)], axis=1)
         if log_space:
@@ -268,14 +329,25 @@ def radius_objective(x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
     return f, a - f * w / (w @ w)
 
 
+def weighted_start(x: np.ndarray, objective, k: int, seed: int, max_iter: int = 180) -> tuple[np.ndarray, float]:
+    """(labels, value) of start k of weighted_partition()."""
+    rng = np.random.default_rng(seed)
+    for j in range(k + 1):
+        first = rng.uniform(0, 1, len(x)) if j == 0 else rng.uniform(0.05, 0.95, len(x))
+    w, value, _, _ = bounded_descent(lambda v: objective(x, v), first, 1e-6, 1.0, max_iter, 1e-6)
+    if not np.isfinite(value):
+        raise FloatingPointError("no finite value")
+    return np.round(w).astype(int), value
+
+
 def weighted_partition(x: np.ndarray, objective, seed: int, starts: int = 2, max_iter: int = 180) -> np.ndarray:
     """Labels from the best of several bounded descents; weights of one half and less round to 0."""
-    rng, best = np.random.default_rng(seed), None
+    ends = []
     for k in range(starts):
-        first = rng.uniform(0, 1, len(x)) if k == 0 else rng.uniform(0.05, 0.95, len(x))
-        w, value, _, _ = bounded_descent(lambda v: objective(x, v), first, 1e-6, 1.0, max_iter, 1e-6)
-        if np.isfinite(value) and (best is None or value < best[0]):
-            best = (value, w)
-    if best is None:
+        try:
+            ends.append(weighted_start(x, objective, k, seed, max_iter))
+        except FloatingPointError:
+            continue
+    if not ends:
         raise FloatingPointError("no start gave a finite value")
-    return np.round(best[1]).astype(int)
+    return min(ends, key=lambda e: e[1])[0]

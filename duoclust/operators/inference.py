@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
+
+from ..sources.io import materialised
 
 
 #: Values of a permutation test, at most: they go to every task.
@@ -44,45 +49,203 @@ def feature_contrast(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     return means.withColumn("diff", F.col("mean1") - F.col("mean0"))
 
 
+#: Bits of a hash that one pass settles; rows of a block, about; shares that a group of one feature is dealt to.
+BITS, BLOCK_CELLS, SALTS = 4, 1 << 22, 16
+_M32 = np.uint64(0xFFFFFFFF)
+
+
+def _fmix(x: np.ndarray) -> np.ndarray:
+    """Murmur3's last step on 32 bits, a bijection."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & _M32
+    return x ^ (x >> np.uint64(16))
+
+
+def _drawn(rows: pa.Array, reps: np.ndarray, draw: str) -> np.ndarray:
+    """A number for each row and replicate. "md5": the first 64 bits of md5 of "rep-row". "counter": two rounds of mixing
+    of a whole number row, distinct in each replicate for rows below 2 ** 32."""
+    if draw == "md5":
+        names = [str(r).encode() for r in rows.to_pylist()]
+        heads = [f"{r}-".encode() for r in reps.tolist()]
+        return np.frombuffer(b"".join([hashlib.md5(h + n).digest()[:8] for n in names for h in heads]), ">u8").astype(np.uint64).reshape(len(names), len(heads))
+    whole = np.asarray(rows.cast(pa.int64())).view(np.uint64)
+    low, high = whole & _M32, whole >> np.uint64(32)
+    top = _fmix(_fmix(low)[:, None] ^ _fmix(reps.astype(np.uint64) + np.uint64(1))[None])
+    return (top << np.uint64(32)) | _fmix(high[:, None] ^ top)
+
+
+def _blocks(rows: pa.Array, replicates: np.ndarray, draw: str) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, replicates, numbers) of bounded blocks."""
+    reps = max(1, min(len(replicates), 4096))
+    step = max(1, BLOCK_CELLS // reps)
+    for i in range(0, len(rows), step):
+        for j in range(0, len(replicates), reps):
+            yield slice(i, i + step), slice(j, j + reps), _drawn(rows[i : i + step], replicates[j : j + reps], draw)
+
+
+def thresholds(rows: DataFrame, replicates: int, size: int, draw: str = "md5") -> np.ndarray:
+    """For each replicate the number of which `size` rows (at least one and no more than there are) have no larger one:
+    BITS of it from each pass, which counts the rows below every value they can take; a task hands on one row for each
+    replicate, however many rows it has."""
+    width, every = 1 << BITS, np.arange(replicates)
+    prefix, below, settled = np.zeros(replicates, np.uint64), np.zeros(replicates, np.int64), np.zeros(replicates, bool)
+    spark, last = rows.sparkSession, np.zeros(replicates, np.uint64)
+    for bits in range(0, 64, BITS):
+        shared, shift = spark.sparkContext.broadcast((every[~settled], prefix[~settled])), np.uint64(64 - bits - BITS)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared, shift=shift, bits=bits) -> Iterator[pa.RecordBatch]:
+            reps, known = shared.value
+            total = np.zeros((len(reps), width), np.int64)
+            for batch in batches:
+                for _, at, h in _blocks(batch.column("row"), reps, draw):
+                    head = h >> shift
+                    inside = (head >> np.uint64(BITS)) == known[at] if bits else np.ones(h.shape, bool)
+                    cell = (head & np.uint64(width - 1)).astype(np.int64) + width * np.arange(h.shape[1])
+                    total[at] += np.bincount(cell[inside], minlength=h.shape[1] * width).reshape(-1, width)
+            yield pa.RecordBatch.from_pydict({"rep": reps, **{f"c{k}": total[:, k] for k in range(width)}})
+
+        counted = rows.select("row").mapInArrow(count, ", ".join(["rep long", *(f"c{k} long" for k in range(width))]))
+        for r in counted.groupBy("rep").agg(*(F.sum(f"c{k}") for k in range(width))).toLocalIterator():
+            upto = below[r[0]] + np.cumsum(np.array(r[1:], np.int64))
+            k = int(np.searchsorted(upto, size))
+            prefix[r[0]] = (prefix[r[0]] << np.uint64(BITS)) | np.uint64(k)
+            below[r[0]] = upto[k - 1] if k else below[r[0]]
+            settled[r[0]] = upto[k] == size
+            last[r[0]] = (prefix[r[0]] << shift) | np.uint64((1 << int(shift)) - 1)
+        if settled.all():
+            break
+    return last
+
+
+def subset_masks(rows: DataFrame, replicates: int, size: int, draw: str = "md5") -> DataFrame:
+    """rows with `mask`, a bit for each replicate, the first in the highest bit: whether the row is among the `size` of
+    least number there. Rows that agree in all 64 bits of it share a side. `row` tells rows apart; no row is repeated."""
+    if size <= 0:
+        return rows.withColumn("mask", F.lit(bytes(-(-replicates // 8))))
+    shared, every = rows.sparkSession.sparkContext.broadcast(thresholds(rows, replicates, size, draw)), np.arange(replicates)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = np.zeros((batch.num_rows, replicates), bool)
+            for i, j, h in _blocks(batch.column("row"), every, draw):
+                chosen[i, j] = h <= shared.value[j]
+            packed = np.packbits(chosen, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m.tobytes() for m in packed], pa.binary())], [*batch.schema.names, "mask"])
+
+    return rows.mapInArrow(mark, StructType([*rows.schema.fields, StructField("mask", BinaryType())]))
+
+
+def _bits(masks: pa.Array, replicates: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(masks.to_pylist()), np.uint8).reshape(len(masks), -1)
+    return np.unpackbits(packed, axis=1, count=replicates)
+
+
 def random_subsets(rows: DataFrame, replicates: int, size: int) -> DataFrame:
-    """(rep, row): in each replicate the `size` rows with the least md5 of "rep-row". The hash's first digits are
-    counted, so that only the rows with the digits at which a subset ends are sorted."""
-    reps = rows.sparkSession.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    keyed = rows.select("row").crossJoin(F.broadcast(reps)).withColumn("h", F.md5(F.concat_ws("-", F.col("rep").cast("string"), F.col("row").cast("string"))))
-    keyed = keyed.withColumn("head", F.substring("h", 1, 3))
-    counts = keyed.groupBy("rep", "head").agg(F.count("*").alias("n"))  # 4096 heads
-    before = F.sum("n").over(Window.partitionBy("rep").orderBy("head")) - F.col("n")
-    ends = counts.withColumn("before", before).where(F.col("before") < size)
-    ends = ends.groupBy("rep").agg(F.max("head").alias("end"), F.max("before").alias("before"))
-    placed = keyed.join(F.broadcast(ends), "rep")  # a row for each replicate
-    edge = placed.where("head = end").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("h", "row")))
-    return placed.where("head < end").select("rep", "row").unionByName(edge.where(F.col("before") + F.col("k") <= size).select("rep", "row"))
-
-
-def permutation_by_hash(df: DataFrame, value: str, first: str, replicates: int) -> DataFrame:
-    """One row (observed, exceedances, permutations, p) like permutation_test, for any number of rows: replicates draw
-    the first side by random_subsets. df has (row, value, first), first a boolean. ValueError without values on a side."""
+    """(rep, row): in each replicate the `size` rows with the least md5 of "rep-row"."""
+    size = min(size, rows.count())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rep = np.nonzero(_bits(batch.column("mask"), replicates))
+            yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), batch.column("row").take(pa.array(at))], ["rep", "row"])
+
+    marked = subset_masks(rows.select("row"), replicates, size)
+    return marked.mapInArrow(spread, StructType([StructField("rep", IntegerType()), marked.schema["row"]]))
+
+
+def permutation_by_hash(df: DataFrame, value: str, first: str, replicates: int, draw: str = "md5") -> DataFrame:
+    """One row (observed, exceedances, permutations, p, is_lower_bound) for the difference of two means, for any number of
+    rows and replicates: replicates draw the first side as subset_masks() does, and a task hands on one sum for each. p is
+    (exceedances + 1) / (permutations + 1). df has (row, value, first), first a boolean. ValueError without values on a
+    side."""
     x = df.select("row", F.col(value).cast("double").alias("v"), F.col(first).alias("one"))
     n1, n, s1, total = x.agg(F.count_if("one"), F.count("*"), F.sum(F.when(F.col("one"), F.col("v"))), F.sum("v")).first()
     if not n1 or n1 == n:
         raise ValueError("both sides need values")
-    n2 = n - n1
+    n2, every = n - n1, np.arange(replicates)
     observed = abs(s1 / n1 - (total - s1) / n2)
-    sums = random_subsets(x, replicates, n1).join(x, "row").groupBy("rep").agg(F.sum("v").alias("s"))
+    shared = df.sparkSession.sparkContext.broadcast(thresholds(x, replicates, n1, draw))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(replicates)
+        for batch in batches:
+            v = np.asarray(batch.column("v"))
+            for i, j, h in _blocks(batch.column("row"), every, draw):
+                out[j] += v[i] @ (h <= shared.value[j])
+        yield pa.RecordBatch.from_pydict({"rep": every, "s": out})
+
+    summed = x.select("row", "v").mapInArrow(sums, "rep long, s double").groupBy("rep").agg(F.sum("s").alias("s"))
     hit = F.abs(F.col("s") * (1 / n1 + 1 / n2) - total / n2) >= observed - 1e-9
-    hits = sums.agg(F.count_if(hit).alias("exceedances"))
-    return hits.select(F.lit(observed).alias("observed"), "exceedances", F.lit(replicates).alias("permutations"), ((F.col("exceedances") + 1) / (replicates + 1)).alias("p"))
+    hits = summed.agg(F.count_if(hit).alias("exceedances"))
+    return hits.select(F.lit(observed).alias("observed"), "exceedances", F.lit(replicates).alias("permutations"), ((F.col("exceedances") + 1) / (replicates + 1)).alias("p"), (F.col("exceedances") == 0).alias("is_lower_bound"))
 
 
 def half_sample_importance(matrix: DataFrame, labels: DataFrame, replicates: int) -> DataFrame:
-    """(feature, mean, std): the difference of column means over random halves of the rows, sample deviation."""
-    n = labels.count()
-    half = random_subsets(labels, replicates, n // 2).join(labels, "row")
-    sizes = half.groupBy("rep").agg(*(F.count(F.when(F.col("label") == c, 1)).alias(f"n{c}") for c in (0, 1)))
-    sums = matrix.join(half, "row").groupBy("rep", "feature").agg(*(F.sum(F.when(F.col("label") == c, F.col("value")).otherwise(0)).alias(f"s{c}") for c in (0, 1)))
-    every = matrix.select("feature").distinct().crossJoin(F.broadcast(sizes))  # a row for each replicate
-    diff = every.join(sums, ["rep", "feature"], "left").select("feature", (F.coalesce("s1", F.lit(0)) / F.col("n1") - F.coalesce("s0", F.lit(0)) / F.col("n0")).alias("d"))
-    return diff.groupBy("feature").agg(F.avg("d").alias("mean"), F.stddev_samp("d").alias("std"))
+    """(feature, mean, std): the difference of column means over random halves of the rows, sample deviation. A row carries
+    its halves as a mask of bits; sums of all replicates are products of values and bits, in shares of a feature first, so
+    what is shuffled are entries and, for each feature, SALTS vectors. Halves without a row of some side do not count."""
+    kind = matrix.schema["feature"]
+    masked = materialised(subset_masks(labels.select("row", "label"), replicates, labels.count() // 2), "masks")
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, replicates), np.int64)
+        for batch in batches:
+            bits, label = _bits(batch.column("mask"), replicates), np.asarray(batch.column("label"))
+            for c in (0, 1):
+                out[c] += bits[label == c].sum(axis=0, dtype=np.int64)
+        yield pa.RecordBatch.from_pydict({"rep": np.arange(replicates), "n0": out[0], "n1": out[1]})
+
+    counted = masked.mapInArrow(sizes, "rep long, n0 long, n1 long").groupBy("rep").agg(F.sum("n0"), F.sum("n1")).collect()  # a row for each replicate
+    n = np.zeros((2, replicates))
+    for rep, n0, n1 in counted:
+        n[:, rep] = n0, n1
+
+    def by_feature(batches: Iterator[pa.RecordBatch], vectors) -> Iterator[tuple]:
+        """(feature, sums of both sides) of rows that come sorted by feature."""
+        name, held = None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                v = vectors(part)
+                names = part.column("feature").to_pylist()
+                ends = [k for k in range(1, len(names)) if names[k] != names[k - 1]] + [len(names)]
+                at = 0
+                for end in ends:
+                    if held is not None and names[at] == name:
+                        held = held + v(at, end)
+                    else:
+                        if held is not None:
+                            yield name, held
+                        name, held = names[at], v(at, end)
+                    at = end
+        if held is not None:
+            yield name, held
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors(part: pa.RecordBatch):
+            bits, label = _bits(part.column("mask"), replicates).astype(np.float64), np.asarray(part.column("label"))
+            value = np.asarray(part.column("value"))
+            sides = [np.where(label == c, value, 0.0) for c in (0, 1)]
+            return lambda a, b: np.stack([s[a:b] @ bits[a:b] for s in sides])
+
+        for name, s in by_feature(batches, vectors):
+            yield pa.RecordBatch.from_arrays([pa.array([name], to_arrow_type(kind.dataType)), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], ["feature", "s"])
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors(part: pa.RecordBatch):
+            s = np.asarray(part.column("s").flatten()).reshape(part.num_rows, 2, replicates)
+            return lambda a, b: s[a:b].sum(axis=0)
+
+        fine = (n > 0).all(axis=0)
+        for name, s in by_feature(batches, vectors):
+            d = s[1, fine] / n[1, fine] - s[0, fine] / n[0, fine]
+            yield pa.RecordBatch.from_arrays([pa.array([name], to_arrow_type(kind.dataType)), pa.array([d.mean() if len(d) else None], pa.float64()), pa.array([d.std(ddof=1) if len(d) > 1 else None], pa.float64())], ["feature", "mean", "std"])
+
+    tasks = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = matrix.select("row", "feature", F.col("value").cast("double").alias("value")).join(masked, "row")
+    salted = entries.repartition(tasks, "feature", F.pmod(F.xxhash64("row"), F.lit(SALTS))).sortWithinPartitions("feature").select("feature", "value", "label", "mask")
+    shares = salted.mapInArrow(partial, StructType([kind, StructField("s", ArrayType(DoubleType()))]))
+    return shares.repartition(tasks, "feature").sortWithinPartitions("feature").mapInArrow(final, StructType([kind, StructField("mean", DoubleType()), StructField("std", DoubleType())]))
 
 
 def top_importances(importance: DataFrame, value: str = "mean", k: int = 12) -> DataFrame:

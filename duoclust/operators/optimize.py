@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import materialised
-from . import score
+from ..sources.io import dropped, materialised, scratch
+from . import gram, score
 
 
 def _signed(matrix: DataFrame, seed: int, start: int) -> DataFrame:
@@ -24,19 +23,236 @@ def large_partition(matrix: DataFrame, model: str, steps: int = 30, logit: float
     `target`, from the median split of row totals and, from the second start on, of randomly signed ones. The start
     with the least loss counts, if both its clusters have `least` of the rows; ValueError if none has.
 
-    Projected gradient steps of Barzilai-Borwein length, halved until the loss falls. Each evaluation is a few
-    aggregations and joins over the whole matrix; the driver sees a few sums."""
-    matrix = materialised(score.checked(matrix, model), "matrix")
-    best = None
-    for k in range(starts):
-        totals = _signed(matrix, seed, k) if k else score.row_totals(matrix)
-        at, value = _descended(matrix, materialised(score.median_split(totals, "total"), "members"), model, steps, logit, tolerance, (weight, target, smoothing))
-        ones, rows = at.agg(F.count_if(F.col("m") >= 0.5), F.count("*")).first()
-        if min(ones, rows - ones) >= least * rows and math.isfinite(value) and (best is None or value < best[1]):
-            best = at, value
-    if best is None:
-        raise ValueError("every start collapsed into one cluster")
-    return best[0].select("row", "m", (F.col("m") >= 0.5).cast("int").alias("label"))
+    All starts descend together, each as columns of one table (quasi_newton). With a penalty, whose value needs a pass
+    of its own for every start, they follow each other by projected gradient steps of Barzilai-Borwein length."""
+    with scratch() as keep:
+        matrix = materialised(score.checked(matrix, model), "matrix")
+        first = [score.median_split(_signed(matrix, seed, k) if k else score.row_totals(matrix), "total") for k in range(starts)]
+        if weight and target:
+            ends = [_descended(matrix, materialised(f, "members"), model, steps, logit, tolerance, (weight, target, smoothing)) for f in first]
+        else:
+            members, values = quasi_newton(matrix, first, model, steps, logit, tolerance)
+            ends = [(members.select("row", F.col(f"m{k}").alias("m")), v) for k, v in enumerate(values)]
+        best = None
+        for at, value in ends:
+            ones, rows = at.agg(F.count_if(F.col("m") >= 0.5), F.count("*")).first()
+            if min(ones, rows - ones) >= least * rows and math.isfinite(value) and (best is None or value < best[1]):
+                best = at, value
+        if best is None:
+            raise ValueError("every start collapsed into one cluster")
+        keep.append(materialised(best[0].select("row", "m", (F.col("m") >= 0.5).cast("int").alias("label")), "partition"))
+    return keep[0]
+
+
+#: Step lengths that one pass tries, each half of the one before; halvings at most.
+TRIED, HALVINGS = 3, 48
+_EPS, _LN2 = score.EPS, score.LN2
+
+
+def _two_loops(gram: np.ndarray, k: int, most: float) -> np.ndarray:
+    """Coefficients of the descent direction over the basis (k steps s, k changes y, the free gradient), from the inner
+    products of the basis alone."""
+    delta = np.zeros(2 * k + 1)
+    delta[-1] = 1.0
+    rho, alpha = [1 / gram[i, k + i] for i in range(k)], np.zeros(k)
+    for i in reversed(range(k)):
+        alpha[i] = rho[i] * (gram[i] @ delta)
+        delta[k + i] -= alpha[i]
+    delta *= gram[k - 1, 2 * k - 1] / gram[2 * k - 1, 2 * k - 1] if k else 1 / max(1.0, most)
+    for i in range(k):
+        delta[i] += alpha[i] - rho[i] * (gram[k + i] @ delta)
+    if delta @ gram[-1] <= 0:  # no descent: the gradient itself
+        delta = np.zeros(2 * k + 1)
+        delta[-1] = 1.0
+    return -delta
+
+
+class _Start:
+    """What the driver keeps of one start: its loss, the inner products of its basis, where it stands."""
+
+    def __init__(self, k: int):
+        self.k, self.value, self.gram, self.pairs, self.most, self.done, self.halved = k, math.inf, np.zeros((1, 1)), 0, 0.0, False, 0
+
+    def basis(self) -> list[str]:
+        return [f"s{self.k}_{i}" for i in range(self.pairs)] + [f"y{self.k}_{i}" for i in range(self.pairs)] + [f"g{self.k}"]
+
+
+def _free(k: int, low: float) -> Column:
+    m, g = F.col(f"m{k}"), F.col(f"g{k}")
+    return ~(((m <= low) & (g > 0)) | ((m >= 1 - low) & (g < 0)))
+
+
+def _vector(values) -> Column:
+    """Folded to one constant, so that code is compiled once for all its values."""
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _sums(sizes: dict[str, tuple[float, float]], model: str) -> list[Column]:
+    """For each column of weighted feature totals: loss, sum of lq and sum of p * d of both clusters, as aggregates over
+    features. `sizes` are those of clusters 0 and 1; `f` is a feature's total."""
+    both, out = _vector([v for pair in sizes.values() for v in pair]), []
+    for at, name in enumerate(sizes):
+        for c in (0, 1):
+            size, f = both[2 * at + c], F.col(name) if c else F.col("f") - F.col(name)
+            p = f / size
+            lq = F.ln(1 - p + _EPS) if model != "multinomial" else F.lit(0.0)
+            d = f / (p + _EPS) - ((size - f) / (1 - p + _EPS) if model != "multinomial" else F.lit(0.0))
+            part = f * F.ln(p + _EPS) + ((size - f) * lq if model != "multinomial" else F.lit(0.0))
+            out += [F.sum(part).alias(f"{name}_{c}_score"), F.sum(lq).alias(f"{name}_{c}_lq"), F.sum(p * d).alias(f"{name}_{c}_pd")]
+    return out
+
+
+def _slope(name: str, sizes: tuple[float, float], model: str) -> Column:
+    """What an occurrence of a feature adds to the derivative by its row's membership."""
+    both, a = _vector(sizes), []
+    for c in (0, 1):
+        size, f = both[c], F.col(name) if c else F.col("f") - F.col(name)
+        p = f / size
+        lq = F.ln(1 - p + _EPS) if model != "multinomial" else F.lit(0.0)
+        d = f / (p + _EPS) - ((size - f) / (1 - p + _EPS) if model != "multinomial" else F.lit(0.0))
+        a.append(F.ln(p + _EPS) - lq + d / size)
+    return a[0] - a[1]
+
+
+def quasi_newton(matrix: DataFrame, first: list[DataFrame], model: str, steps: int, logit: float = 10.0, tolerance: float = 1e-6, memory: int = 5) -> tuple[DataFrame, list[float]]:
+    """(members, losses): where limited-memory quasi-Newton descents of the loss in the box of memberships end, from all
+    of `first` (row, m) together; members (row, m0, m1, ...), written.
+
+    A table holds, for each row and start, membership, gradient and the last steps and changes of gradient. The
+    recursion needs only their inner products, sums that the driver sees. A step takes two passes over the matrix for
+    all starts and several step lengths at once: weighted totals of the features, which give the losses; then the
+    derivatives, by a join of the features' slopes. Starts that have converged leave the columns."""
+    model, low = score.score_model(model), 1 / (1 + math.exp(logit))
+    entries = matrix.select("row", "feature", F.col("value").cast("double").alias("value"))
+    rows = materialised(entries.groupBy("row").agg(F.collect_list(F.struct("feature", "value")).alias("x"), F.sum("value").alias("r")), "rows")
+    state = rows.select("row", "r")
+    for k, members in enumerate(first):
+        state = state.join(members.select("row", F.greatest(F.lit(low), F.least(F.lit(1 - low), "m")).alias(f"m{k}")), "row")
+    every = [_Start(k) for k in range(len(first))]
+    state = materialised(state, "members")
+    n, total = state.agg(F.count("*"), F.sum("r")).first()
+
+    def measured(points: dict[str, Column], also: dict[str, Column], at: DataFrame) -> tuple[DataFrame, dict]:
+        """(features with a weighted total for each of `points`, sums): points are memberships over the rows of `at`."""
+        asked = [a for p, c in points.items() for a in (F.sum(c).alias(f"{p}_w"), F.sum(c * F.col("r")).alias(f"{p}_t"))]
+        sums = at.agg(*asked, *(c.alias(k) for k, c in also.items())).first().asDict()
+        met = rows.select("row", "x").join(at.select("row", *(c.alias(p) for p, c in points.items())), "row").select(F.explode("x").alias("x"), *points)
+        features = met.groupBy("x.feature").agg(F.sum("x.value").alias("f"), *(F.sum(F.col("x.value") * F.col(p)).alias(p) for p in points))
+        features = materialised(features, "features")
+        sizes = {p: (n - sums[f"{p}_w"], sums[f"{p}_w"]) if model == "bernoulli" else (total - sums[f"{p}_t"], sums[f"{p}_t"]) for p in points}
+        sums |= features.agg(*_sums(sizes, model)).first().asDict() | {f"{p}_sizes": v for p, v in sizes.items()}
+        return features, sums
+
+    def loss(sums: dict, p: str) -> float:
+        parts = [sums[f"{p}_{c}_score"] for c in (0, 1)]
+        return math.nan if None in parts else -sum(parts) / (_LN2 if model == "bernoulli" else 1.0)
+
+    def graded(features: DataFrame, sums: dict, chosen: dict[int, str], at: DataFrame) -> DataFrame:
+        """`at` with the new gradient h of the chosen point of each start."""
+        slopes = features.select("feature", *(_slope(p, sums[f"{p}_sizes"], model).alias(f"a{k}") for k, p in chosen.items()))
+        by_row = entries.join(slopes, "feature").groupBy("row").agg(*(F.sum(F.col("value") * F.col(f"a{k}")).alias(f"a{k}") for k in chosen))
+        out = at.join(by_row, "row")
+        for k, p in chosen.items():
+            lean, (s0, s1) = [sums[f"{p}_{c}_lq"] for c in (0, 1)], sums[f"{p}_sizes"]
+            const = -sums[f"{p}_0_pd"] / s0 + sums[f"{p}_1_pd"] / s1 + (lean[0] - lean[1] if model != "multinomial" else 0.0)
+            own = F.lit(1.0) if model == "bernoulli" else F.col("r")
+            out = out.withColumn(f"h{k}", (F.col(f"a{k}") + own * _vector([const])[0]) / (_LN2 if model == "bernoulli" else 1.0))
+        return out.drop(*(f"a{k}" for k in chosen))
+
+    def products(at: DataFrame, active: list[_Start]) -> None:
+        """Fills in the inner products that the last step has changed."""
+        asked = {}
+        for s in active:
+            names, g = s.basis(), F.when(_free(s.k, low), F.col(f"g{s.k}")).otherwise(0.0)
+            columns = [F.col(c) for c in names[:-1]] + [g]
+            for i in {s.pairs - 1, 2 * s.pairs - 1, 2 * s.pairs} if s.pairs else {0}:
+                asked |= {f"{s.k}/{i}/{j}": F.sum(columns[i] * columns[j]) for j in range(len(names))}
+            asked[f"{s.k}/most"] = F.max(F.abs(g))
+        got = at.agg(*(c.alias(k) for k, c in asked.items())).first().asDict()
+        for s in active:
+            s.most = got.pop(f"{s.k}/most") or 0.0
+        for key, v in got.items():
+            k, i, j = map(int, key.split("/"))
+            every[k].gram[i, j] = every[k].gram[j, i] = v or 0.0
+
+    points = {f"p{s.k}": F.col(f"m{s.k}") for s in every}
+    features, sums = measured(points, {}, state)
+    for s in every:
+        s.value = loss(sums, f"p{s.k}")
+    state = materialised(graded(features, sums, {s.k: f"p{s.k}" for s in every}, state).withColumnsRenamed({f"h{s.k}": f"g{s.k}" for s in every}), "members", state, features)
+    products(state, every)
+    for _ in range(steps):
+        active = [s for s in every if not s.done and s.most > tolerance and math.isfinite(s.value)]
+        if not active:
+            break
+        moving, taken, direction = list(active), {}, {}
+        for s in active:
+            delta, s.halved = _vector(_two_loops(s.gram, s.pairs, s.most)), 0
+            whole = sum((F.col(c) * delta[i] for i, c in enumerate(s.basis())), F.lit(0.0))
+            direction[s.k] = F.when(_free(s.k, low), whole).otherwise(0.0)
+        state = materialised(state.withColumns({f"d{k}": c for k, c in direction.items()}), "members", state)
+        kept_features = []
+        while moving:
+            points, also = {}, {}
+            for s in moving:
+                lengths = _vector([0.5 ** (s.halved + j) for j in range(TRIED)])
+                for j in range(TRIED):
+                    points[f"p{s.k}_{j}"] = at = F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col(f"m{s.k}") + lengths[j] * F.col(f"d{s.k}")))
+                    also[f"p{s.k}_{j}_down"] = F.sum(F.col(f"g{s.k}") * (at - F.col(f"m{s.k}")))
+            features, sums = measured(points, also, state)
+            kept_features.append(features)
+            for s in list(moving):
+                for j in range(TRIED):
+                    p = f"p{s.k}_{j}"
+                    new = loss(sums, p)
+                    if math.isfinite(new) and new <= s.value + 1e-4 * sums[f"{p}_down"]:
+                        taken[s.k] = (p, new, points[p], features, sums)
+                        break
+                s.halved += TRIED
+                if s.k in taken or s.halved >= HALVINGS:
+                    moving.remove(s)
+        for s in active:
+            s.done = s.k not in taken
+        if not taken:
+            dropped(*kept_features)
+            break
+        moved = state.withColumns({f"n{k}": t[2] for k, t in taken.items()})
+        for features in kept_features:
+            chosen = {k: t[0] for k, t in taken.items() if t[3] is features}
+            if chosen:
+                moved = graded(features, next(t[4] for t in taken.values() if t[3] is features), chosen, moved)
+        moved = materialised(moved, "moved", state, *kept_features)
+        curved = moved.agg(*(F.sum((F.col(f"n{k}") - F.col(f"m{k}")) * (F.col(f"h{k}") - F.col(f"g{k}"))).alias(str(k)) for k in taken)).first().asDict()
+        columns = {c: F.col(c) for c in ["row", "r", *(f"m{s.k}" for s in every)]}
+        for s in active:
+            if s.k not in taken:
+                continue
+            _, new, *_ = taken[s.k]
+            s.done = s.value - new <= tolerance * max(abs(s.value), abs(new), 1.0)
+            s.value = new
+            columns[f"m{s.k}"] = F.col(f"n{s.k}")
+            if s.done:
+                continue
+            old = s.pairs
+            if curved[str(s.k)] > 1e-12:
+                first_kept = 1 if old == memory else 0
+                s.pairs = old - first_kept + 1
+                for i in range(old - first_kept):
+                    columns[f"s{s.k}_{i}"], columns[f"y{s.k}_{i}"] = F.col(f"s{s.k}_{i + first_kept}"), F.col(f"y{s.k}_{i + first_kept}")
+                columns[f"s{s.k}_{s.pairs - 1}"], columns[f"y{s.k}_{s.pairs - 1}"] = F.col(f"n{s.k}") - F.col(f"m{s.k}"), F.col(f"h{s.k}") - F.col(f"g{s.k}")
+                held = [*range(first_kept, old), *range(old + first_kept, 2 * old)]
+                gram, k = np.zeros((2 * s.pairs + 1,) * 2), s.pairs
+                to = [*range(old - first_kept), *range(k, k + old - first_kept)]
+                gram[np.ix_(to, to)] = s.gram[np.ix_(held, held)]
+                s.gram = gram
+            else:
+                columns |= {c: F.col(c) for c in s.basis()[:-1]}
+            columns[f"g{s.k}"] = F.col(f"h{s.k}")
+        state = materialised(moved.select(*(c.alias(k) for k, c in columns.items())), "members", moved)
+        left = [s for s in active if not s.done]
+        if left:
+            products(state, left)
+    return state.select("row", *(f"m{s.k}" for s in every)), [s.value for s in every]
 
 
 def _descended(matrix: DataFrame, members: DataFrame, model: str, steps: int, logit: float, tolerance: float, gap: tuple[float, float, float]) -> tuple[DataFrame, float]:
@@ -73,27 +289,12 @@ def _descended(matrix: DataFrame, members: DataFrame, model: str, steps: int, lo
     return at, value
 
 
-def large_kmeans(df: DataFrame, vector: str, seeds: list[int], k: int = 2, max_iter: int = 100) -> DataFrame:
-    """df with `label`: the cheapest of one fit for each seed."""
-    x = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
-    models = [KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-6, featuresCol="__v", predictionCol="label").fit(x) for s in seeds]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(x).drop("__v")
-
-
-def large_gmm(df: DataFrame, vector: str, seed: int = 0, k: int = 2) -> DataFrame:
-    x = df.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
-    return GaussianMixture(k=k, seed=seed, featuresCol="__v", predictionCol="label", probabilityCol="__p").fit(x).transform(x).drop("__v", "__p")
-
-
 def weighted_moments(df: DataFrame, vector: str, weight: str, ridge: float = 1e-2) -> DataFrame:
-    """(i, j, covariance) for i <= j, of largest likelihood under the weights, with the ridge on the diagonal."""
-    x = F.col(vector).cast("array<double>")
-    each = df.select(F.col(weight).cast("double").alias("w"), x.alias("x"), F.posexplode(x).alias("i", "a"))
-    pairs = each.select("w", "i", "a", F.posexplode("x").alias("j", "b")).where("i <= j")
-    total = F.sum("w")
-    mean_a, mean_b = F.sum(F.col("w") * F.col("a")) / total, F.sum(F.col("w") * F.col("b")) / total
-    out = pairs.groupBy("i", "j").agg((F.sum(F.col("w") * F.col("a") * F.col("b")) / total - mean_a * mean_b).alias("c"))
-    return out.select("i", "j", (F.col("c") + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("covariance"))
+    """(i, j, covariance) for i <= j, of largest likelihood under the weights, with the ridge on the diagonal; from Gram
+    blocks, one row of sums for each task."""
+    _, _, cov = gram.moments(df, vector, [weight])[0]
+    cells = [(i, j, float(cov[i, j]) + (ridge if i == j else 0.0)) for i in range(len(cov)) for j in range(i, len(cov))]
+    return df.sparkSession.createDataFrame(cells, "i int, j int, covariance double")
 
 
 def sample_covariance(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..operators import evaluate, text
+from ..operators.order import dealt
 from ..sources import io
 
 #: Panels (dimensions, p, p_form), fractions of formulaic features, and panels (dimension, coefficient) with noise levels.
@@ -90,98 +91,194 @@ def attempted(run: Callable[[int], float], seed: int) -> tuple[float, str | None
     return float("nan"), reason
 
 
+def _best(ends: DataFrame, schema: str) -> DataFrame:
+    """Of each task and method the end of least loss, the first start in a tie, with the columns of `schema`."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = [c for c in names if c not in OUTCOME]
+    kept = [c for c in names if c in OUTCOME]
+    order = F.struct(F.coalesce("loss", F.lit(float("inf"))), "start")
+    best = ends.groupBy(*own).agg(F.min_by(F.struct(*kept), order).alias("best"))
+    return best.select(*(F.col(f"best.{c}") if c in kept else F.col(c) for c in names))
+
+
+#: Columns of a trial that its start decides.
+OUTCOME = {"mcc", "information_loss", "optimizer_success", "failure"}
+
+
+def _started(tasks: DataFrame, keys: list[str], starts: dict[str, tuple[int, float]], size: Column, run: Callable, schema: str) -> DataFrame:
+    """`run` for a row of every task, method and start. `starts` names the starts of a method and what one costs beside the
+    others; rows go to tasks of equal cost, so no method and no large dataset decides how long all of it takes."""
+    methods = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(k).alias("start"), F.lit(float(cost)).alias("weight")) for m, (n, cost) in starts.items() for k in range(n)))
+    rows = tasks.withColumn("m", F.explode(methods)).select(*tasks.columns, "m.*").withColumn("cost", F.col("weight") * size)
+    names = [c.split()[0] for c in schema.split(", ")] + ["start", "loss"]
+
+    def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([run(t) for t in batch.itertuples(index=False)], columns=names)
+
+    return _best(dealt(rows, F.col("cost"), *keys, "method", "start").mapInPandas(of_rows, f"{schema}, start int, loss double"), schema)
+
+
 def categorical_trials(tasks: DataFrame, config: Config) -> DataFrame:
     """Four rows for each task: the information partition and three comparators on one matrix."""
     digest = config.digest()
 
-    def trial(group: pd.DataFrame) -> pd.DataFrame:
-        t = group.iloc[0]
-        seed, rows = int(t.seed), []
+    def trial(t) -> tuple:
+        seed, loss, fine = int(t.seed), None, None
         x, truth = sparse_bernoulli(int(t.dimensions), t.p, t.p_form, t.fraction, config.rows_per_cluster, np.random.default_rng(seed))
-        found = kernels.partition(x, "bernoulli", config.restarts, config.iterations, seed=seed)
-        scores = {
-            "Cross-Entropy": kernels.normalized_mcc(truth, found["labels"]),
-            "K-means": attempted(lambda s: kernels.normalized_mcc(truth, kernels.kmeans(x, s)), seed)[0],
-            "GMM": attempted(lambda s: kernels.normalized_mcc(truth, kernels.gmm(x, s)), seed)[0],
-            "DBSCAN": kernels.normalized_mcc(truth, kernels.dbscan_binary(x)),
-        }
-        for method, score in scores.items():
-            own = method == "Cross-Entropy"
-            rows.append((int(t.panel), int(t.dimensions), t.p, t.p_form, round(t.fraction, 1), int(t.simulation), t.seed, method, score, found["loss"] if own else None, bool(found["success"]) if own else None, digest))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in io.TRIALS.split(", ")])
+        if t.method == "Cross-Entropy":
+            found = kernels.partition_start(x, "bernoulli", int(t.start), config.iterations, seed=seed)
+            score, loss, fine = (float("nan"), None, False) if found is None else (kernels.normalized_mcc(truth, found["labels"]), found["loss"], bool(found["success"]))
+        elif t.method == "DBSCAN":
+            score = kernels.normalized_mcc(truth, kernels.dbscan_binary(x))
+        else:
+            fit = kernels.kmeans if t.method == "K-means" else kernels.gmm
+            score = attempted(lambda s: kernels.normalized_mcc(truth, fit(x, s)), seed)[0]
+        return (int(t.panel), int(t.dimensions), t.p, t.p_form, round(t.fraction, 1), int(t.simulation), t.seed, t.method, score, loss, fine, digest, int(t.start), loss)
 
-    return tasks.groupBy("panel", "fraction", "simulation").applyInPandas(trial, io.TRIALS)
+    starts = {"Cross-Entropy": (config.restarts, 1), "K-means": (1, 30), "GMM": (1, 3), "DBSCAN": (1, 1)}
+    return _started(tasks, ["panel", "fraction", "simulation"], starts, F.col("dimensions").cast("double"), trial, io.TRIALS)
 
 
 def gaussian_trials(tasks: DataFrame, config: Config, starts: int = 2, iterations: int = 180, differential_entropy: bool = False) -> DataFrame:
     """Six rows for each task; a method that fails on every attempt has NaN and the reason, and differential entropy has
     NaN unless it is asked for."""
     digest = config.digest()
+    objectives = {"Self-Information": kernels.gaussian_objective, "$L_2$ Norm": kernels.radius_objective}
 
-    def trial(group: pd.DataFrame) -> pd.DataFrame:
-        t = group.iloc[0]
-        seed = int(t.seed)
+    def trial(t) -> tuple:
+        seed, loss = int(t.seed), []
         x, truth = two_gaussians(int(t.dimension), int(t.samples_per_class), t.noise, np.random.default_rng(seed))
-        methods = {
-            "Self-Information": lambda s: kernels.weighted_partition(x, kernels.gaussian_objective, s, starts, iterations),
-            "$L_2$ Norm": lambda s: kernels.weighted_partition(x, kernels.radius_objective, s, starts, iterations),
-            "Differential Entropy": (lambda s: kernels.cross_entropy_clusters(x, s, log_space=False)) if differential_entropy else None,
-            "Gaussian Mixture": lambda s: kernels.gmm(x, s),
-            "Reg. EM": lambda s: kernels.regularized_em(x, s),
-            "CEC": lambda s: kernels.cross_entropy_clusters(x, s),
-        }
-        rows = [(int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, name, *(attempted(lambda s, f=f: kernels.normalized_mcc(truth, f(s)), seed) if f else (float("nan"), None)), digest) for name, f in methods.items()]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in io.GAUSSIAN_TRIALS.split(", ")])
 
-    return tasks.groupBy("dimension", "coefficient", "noise", "simulation").applyInPandas(trial, io.GAUSSIAN_TRIALS)
+        def score(s: int) -> float:
+            if t.method in objectives:
+                labels, value = kernels.weighted_start(x, objectives[t.method], int(t.start), s, iterations)
+                loss.append(value)
+            elif t.method == "Gaussian Mixture":
+                labels = kernels.gmm(x, s)
+            elif t.method == "Reg. EM":
+                labels = kernels.regularized_em(x, s)
+            else:
+                labels = kernels.cross_entropy_clusters(x, s, log_space=t.method == "CEC")
+            return kernels.normalized_mcc(truth, labels)
+
+        asked = differential_entropy or t.method != "Differential Entropy"
+        mcc, failure = attempted(score, seed) if asked else (float("nan"), None)
+        return (int(t.dimension), int(t.coefficient), int(t.samples_per_class), t.noise, t.seed, t.method, mcc, failure, digest, int(t.start), loss[-1] if loss else None)
+
+    methods = {"Self-Information": (starts, 4), "$L_2$ Norm": (starts, 1), "Differential Entropy": (1, 6 if differential_entropy else 0), "Gaussian Mixture": (1, 2), "Reg. EM": (1, 11), "CEC": (1, 6)}
+    size = F.col("samples_per_class").cast("double") * F.col("dimension") * F.col("dimension")
+    return _started(tasks, ["dimension", "coefficient", "noise", "simulation"], methods, size, trial, io.GAUSSIAN_TRIALS)
 
 
 def resumed(tasks: DataFrame, trials: Callable[[DataFrame], DataFrame], keys: list[str], schema: str, path: str, config: Config, batches: int = 1) -> DataFrame:
-    """Runs the tasks that `path` does not hold for this configuration, appends their rows and returns all of them. Rows
-    are appended batch by batch (by a hash of the keys), so that a run that ends early keeps those that are done."""
-    spark = tasks.sparkSession
-    done = io.results(spark, path, schema).where(F.col("config") == config.digest())
+    """Runs the tasks that `path` does not hold for this configuration, adds their rows and returns all of them. Rows are
+    committed batch by batch (by a hash of the keys), each once or not at all, so that a run that ends early keeps those
+    that are done, and one that is repeated adds nothing."""
+    spark, digest = tasks.sparkSession, config.digest()
+    done = lambda: io.batches(spark, path, schema).where(F.col("config") == digest)
     for k in range(batches):
-        io.append(trials(io.still_to_run(tasks.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k), done, keys)), path, schema)
-    return io.results(spark, path, schema).where(F.col("config") == config.digest())
+        left = io.still_to_run(tasks.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k), done(), keys)
+        if not left.isEmpty():
+            io.commit_batch(trials(left), path, schema, f"{digest}-{k}-of-{batches}")
+    return done()
 
 
-def text_sweep(docs: DataFrame, labels: DataFrame, ngrams: list[int], windows: list[int], features: list[int | None], restarts: int = 6, iterations: int = 200, model: str = "multinomial", config: str = "") -> DataFrame:
+def sweep_counts(docs: DataFrame, ngrams: list[int], widths: list[int], top: int) -> DataFrame:
+    """(ngram, width, feature, cnt, rank, n_features, total): the `top` features of every n and width of one sequence,
+    with how many features there are and their counts in all; its n-grams are read once for each n."""
+    parts = []
+    for n in ngrams:
+        counts = io.materialised(text.counts_by_width(text.ngram_spans(docs, n), widths), "sweep-counts")
+        whole = counts.groupBy("width").agg(F.count("*").alias("n_features"), F.sum("cnt").alias("total"))
+        parts.append(text.ranked_by_width(counts, top).join(F.broadcast(whole), "width").withColumn("ngram", F.lit(n)))  # a row for each width
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.select("ngram", "width", "feature", "cnt", "rank", "n_features", "total")
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by key, a key at a time."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch])
+        last = held[key].iloc[-1] if len(held) else None
+        if len(held) and held[key].iloc[0] != last:
+            whole = held[held[key] != last]
+            held = held[held[key] == last]
+            for _, group in whole.groupby(key):
+                yield group
+    if held is not None and len(held):
+        yield held
+
+
+def text_sweep(docs: DataFrame, labels: DataFrame, ngrams: list[int], windows: list[int], features: list[int | None], restarts: int = 6, iterations: int = 200, model: str = "multinomial", config: str = "", kmeans_starts: int = 100) -> DataFrame:
     """One row for each combination of one sequence: the partition of its windows against expert labels (row, label).
 
-    Matrices are built by Spark for every combination; each goes to one task as rows of (row, feature, value), so a
-    combination's matrix must fit a task; score.gradient serves larger ones."""
+    The n-grams of each n are written once. Counts for every width come from one pass over them; then each goes, with the
+    documents it spans and its rank in each width, to the combinations that have it, where it is spread over its windows.
+    A combination is fitted as a sparse matrix in one task, that of its share of the whole cost; operators.optimize
+    serves a matrix that no task holds."""
+    most, widest = max((f for f in features if f is not None), default=0), max(windows)
+    combos = [(n, w, f) for n in ngrams for w in windows for f in features]
+    by_cost = sorted(range(len(combos)), key=lambda c: -combos[c][1] * (combos[c][2] or 10 * max(most, 100)))
+    tasks = min(len(combos), 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    task = {c: place % tasks for place, c in enumerate(by_cost)}
     parts = []
     for n in ngrams:
-        for w in windows:
-            found = text.occurrences(docs, n, w).cache()
-            counts = text.feature_counts(found)
-            for f in features:
-                chosen = text.ranked(counts, f)
-                parts.append(text.count_matrix(found, chosen).select("row", "feature_id", "value", F.lit(n).alias("ngram"), F.lit(w).alias("window"), F.lit("all" if f is None else str(f)).alias("features")))
-    entries = parts[0]
-    for p in parts[1:]:
+        spans = io.materialised(text.ngram_spans(docs, n), "sweep-spans")
+        counts = text.counts_by_width(spans, windows)
+        if None not in features:
+            counts = text.ranked_by_width(counts, most)
+        elif most:
+            counts = counts.join(text.ranked_by_width(counts, most).select("feature", "width", "rank"), ["feature", "width"], "left")
+        else:
+            counts = counts.withColumn("rank", F.lit(None).cast("int"))
+        ranks = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("width", "rank"))).alias("ranks"))
+        met = spans.join(ranks, "feature").select(F.xxhash64("feature").alias("feature"), "ds", "de", "n_docs", "ranks")
+        asked = []
+        for c, (m, w, f) in enumerate(combos):
+            if m == n:
+                has = F.map_contains_key("ranks", F.lit(w)) if f is None else F.col("ranks")[F.lit(w)] <= f
+                inside = has & (text.range_length(w, widest) > 0)
+                lo, hi = F.greatest(F.lit(0), F.col("de") - w + 1), F.least(F.col("n_docs") - 1, F.col("ds") + w)
+                asked.append(F.when(inside, F.struct(F.lit(c).alias("combo"), F.lit(task[c]).alias("task"), lo.alias("lo"), hi.alias("hi"))))
+        parts.append(met.select("feature", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("x")).select("x.*", "feature", F.lit(None).cast("int").alias("label")))
+    every = F.explode(F.array(*(F.struct(F.lit(c).alias("combo"), F.lit(t).alias("task")) for c, t in task.items())))
+    entries = labels.select(every.alias("x"), F.col("row").cast("long").alias("lo"), F.col("label").cast("int").alias("label")).select("x.*", "lo", F.col("lo").alias("hi"), F.lit(None).cast("long").alias("feature"), "label")
+    for p in parts:
         entries = entries.unionByName(p)
-    entries = entries.join(labels, "row")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, r = np.unique(group["row"], return_inverse=True)
-        cols, c = np.unique(group["feature_id"], return_inverse=True)
-        x = np.zeros((len(rows), len(cols)))
-        x[r, c] = group["value"]
-        truth = np.zeros(len(rows), int)
-        truth[r] = group["label"]
-        one = group.iloc[0]
-        key = f"n-{one.ngram}_l-{one.window}_f-{one.features}"
-        base = [key, int(one.ngram), int(one.window), one.features, len(rows), len(cols), model, "count"]
-        try:
-            best = kernels.partition(x, model, restarts, iterations)
-            tail = [kernels.normalized_mcc(truth, best["labels"]), kernels.normalized_mcc(truth, kernels.kmeans(x, 0)), best["loss"], bool(best["success"]), int(best["n_iter"]), config]
-        except ValueError:  # too few rows, or every start collapsed
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _groups(batches, "combo"):
+            n, w, f = combos[int(group["combo"].iloc[0])]
+            marked, found = group[group["label"].notna()], group[group["feature"].notna()]
+            lo, size = found["lo"].to_numpy(np.int64), (found["hi"] - found["lo"] + 1).to_numpy(np.int64)
+            at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            truth_of = pd.Series(marked["label"].to_numpy(int), index=marked["lo"].to_numpy(np.int64))
+            known = np.isin(at, truth_of.index)
+            names, col = np.unique(found["feature"].to_numpy(np.int64), return_inverse=True)
+            rows, r = np.unique(at[known], return_inverse=True)
+            cols, c = np.unique(np.repeat(col, size)[known], return_inverse=True)
+            base = [f"n-{n}_l-{w}_f-{'all' if f is None else f}", n, w, "all" if f is None else str(f), len(rows), len(cols), model, "count"]
             tail = [float("nan"), float("nan"), float("nan"), False, 0, config]
-        return pd.DataFrame([base + tail], columns=[c.split()[0] for c in io.SWEEP.split(", ")])
+            if len(rows) > 1:
+                x, truth = kernels.Sparse(r, c, np.ones(len(r)), (len(rows), len(cols))), truth_of.loc[rows].to_numpy()
+                try:
+                    best = kernels.partition(x, model, restarts, iterations)
+                    tail = [kernels.normalized_mcc(truth, best["labels"]), kernels.normalized_mcc(truth, kernels.sparse_kmeans(x, 0, kmeans_starts)), best["loss"], bool(best["success"]), int(best["n_iter"]), config]
+                except ValueError:  # every start collapsed
+                    pass
+            if len(rows):
+                yield pd.DataFrame([base + tail], columns=[k.split()[0] for k in io.SWEEP.split(", ")])
+
+    return entries.repartitionById(tasks, "task").sortWithinPartitions("combo").mapInPandas(run, io.SWEEP)
+
 
-    return entries.groupBy("ngram", "window", "features").applyInPandas(run, io.SWEEP)
+def _spread(df: DataFrame, by: str) -> DataFrame:
+    """Groups over a stated number of tasks: small rows of long fits would be coalesced into few otherwise."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, by)
 
 
 def partitions(matrix: DataFrame, by: str, model: str, restarts: int = 6, iterations: int = 200) -> DataFrame:
@@ -199,7 +296,7 @@ def partitions(matrix: DataFrame, by: str, model: str, restarts: int = 6, iterat
         return pd.DataFrame({by: group[by].iloc[0], "row": rows, "membership": best["membership"], "label": best["labels"], "loss": best["loss"]})
 
     kind = dict(matrix.dtypes)
-    return matrix.groupBy(by).applyInPandas(run, f"{by} {kind[by]}, row {kind['row']}, membership double, label int, loss double")
+    return _spread(matrix, by).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, row {kind['row']}, membership double, label int, loss double")
 
 
 def objectives(df: DataFrame, by: str, vector: str, objective: Callable) -> DataFrame:
@@ -209,4 +306,4 @@ def objectives(df: DataFrame, by: str, vector: str, objective: Callable) -> Data
         x = np.stack([np.asarray(v, float) for v in group[vector]])
         return pd.DataFrame({by: [group[by].iloc[0]], "n": [len(x)], "objective": [float(objective(x, np.full(len(x), 0.5))[0])]})
 
-    return df.groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, objective double")
+    return _spread(df, by).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, n long, objective double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels, scalar
-from ..operators import evaluate, inference, optimize, order, score, text
+from ..operators import evaluate, gram, inference, lloyd, optimize, order, score, text
 from ..sources import io
 from . import benchmarks
 
@@ -482,10 +482,9 @@ def l2_objective(spark, sf_dir):
     d AS (SELECT vec_id, m.c, sum(power(x - m, 2)) AS d FROM e JOIN m USING (j) GROUP BY ALL) SELECT vec_id, CAST(arg_min(c, (round(d, 9), c)) AS INTEGER) AS nearest FROM d GROUP BY vec_id""")
 def kmeans_one_step(spark, sf_dir):
     """One Lloyd step from the centres of even and odd labels, ties to cluster 0."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("c"), F.posexplode("embedding").alias("j", "v")).withColumn("x", F.col("v").cast("double"))
-    centres = e.groupBy("c", "j").agg(F.avg("x").alias("m"))  # two rows for each coordinate
-    d = e.drop("c").join(F.broadcast(centres), "j").groupBy("vec_id", "c").agg(F.round(F.sum((F.col("x") - F.col("m")) * (F.col("x") - F.col("m"))), 9).alias("d"))
-    return d.groupBy("vec_id").agg(F.min_by("c", F.struct("d", "c")).cast("int").alias("nearest"))
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding", *((F.col("label") % 2 == c).cast("double").alias(f"w{c}") for c in (0, 1)))
+    centres = [mean for _, mean, _ in gram.moments(e, "embedding", ["w0", "w1"])]
+    return lloyd.nearest(e, "embedding", centres, "nearest").select("vec_id", "nearest")
 
 
 @query("""WITH e AS (SELECT (1 + label) / 10.0 AS w, embedding AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
@@ -690,12 +689,13 @@ def gaussian_objectives(spark, sf_dir):
 @query()
 def large_partition(spark, sf_dir):
     """The distributed fit, on the matrix of the score queries."""
-    return optimize.large_partition(_matrix(spark, sf_dir)[0], "multinomial", steps=4, starts=1)
+    return optimize.large_partition(_matrix(spark, sf_dir)[0], "multinomial")
 
 
 @query()
 def large_kmeans(spark, sf_dir):
-    return optimize.large_kmeans(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding"), "embedding", [0, 1, 2]).select("vec_id", "label")
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding")
+    return lloyd.kmeans(e, "embedding", "vec_id", [0, 1, 2, 3, 4, 5]).select("vec_id", "label")
 
 
 @query()
@@ -722,36 +722,103 @@ def gaussian_benchmark(spark, sf_dir):
     return evaluate.summary(benchmarks.gaussian_trials(tasks, config), ["dimension", "coefficient", "samples_per_class", "noise", "method"], "mcc")
 
 
-@query()
+def _long_turns(spark, sf_dir):
+    """(row, v, one) of each conversation: the mean length of its turns, and whether it has more of them than the mean."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").groupBy(F.col("conv_id").alias("row")).agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null")
+    middle = turns.agg(F.avg("n").alias("middle"))
+    return turns.crossJoin(F.broadcast(middle)).select("row", "v", (F.col("n") > F.col("middle")).alias("one"))  # one row
+
+
+def _fmix_sql(x: str) -> str:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = f"((xor({x}, ({x}) >> {shift}) * {factor}) % 4294967296)"
+    return x
+
+
+_PANEL = """WITH c AS (SELECT conv_id AS row, avg(length(text)) AS v, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id HAVING avg(length(text)) IS NOT NULL),
+    x AS (SELECT row, v, n > (SELECT avg(n) FROM c) AS one FROM c), z AS (SELECT count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, avg(v) FILTER (one) AS m1, avg(v) FILTER (NOT one) AS m2, sum(v) AS total FROM x),"""
+
+
+@query(f"""{_PANEL} r1 AS (SELECT row, v, CAST(row AS UBIGINT) % 4294967296 AS a FROM x), r2 AS (SELECT row, v, {_fmix_sql("a")} AS a FROM r1), r3 AS (SELECT row, v, xor(a, a >> 16) AS a FROM r2),
+    g1 AS (SELECT rep, CAST(rep + 1 AS UBIGINT) AS b FROM range(0, 100000) g(rep)), g2 AS (SELECT rep, {_fmix_sql("b")} AS b FROM g1), g3 AS (SELECT rep, xor(b, b >> 16) AS b FROM g2),
+    d1 AS (SELECT rep, row, v, xor(a, b) AS h FROM r3 CROSS JOIN g3), d2 AS (SELECT rep, row, v, {_fmix_sql("h")} AS h FROM d1), d3 AS (SELECT rep, row, v, xor(h, h >> 16) AS h FROM d2),
+    k AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY h) AS k FROM d3), s AS (SELECT rep, sum(v) AS s FROM k, z WHERE k <= n1 GROUP BY rep),
+    e AS (SELECT count(*) FILTER (abs(s * (1 / n1 + 1 / n2) - total / n2) >= abs(m1 - m2) - 1e-9) AS exceedances FROM s, z)
+    SELECT round(abs(m1 - m2), 6) AS observed, exceedances, 100000 AS permutations, round((exceedances + 1) / 100001, 6) AS p, exceedances = 0 AS is_lower_bound FROM e, z""")
 def permutation_significance(spark, sf_dir):
-    """Do long conversations have longer turns? One value for each turn of the panel."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null").orderBy("conv_id").collect()  # one summary for each conversation
-    middle = sorted(r["n"] for r in turns)[len(turns) // 2] if turns else 0
-    return inference.permutation_test([r["v"] for r in turns], [r["n"] > middle for r in turns], spark, 100_000)
+    """Do long conversations have longer turns? The 100,000 permutations of the published panels."""
+    return _rounded(inference.permutation_by_hash(_long_turns(spark, sf_dir), "v", "one", 100_000, draw="counter"), "observed", "p")
 
 
-@query(f"""WITH c AS (SELECT conv_id AS row, avg(length(text)) AS v, count(*) AS n FROM conversations GROUP BY conv_id HAVING avg(length(text)) IS NOT NULL),
-    x AS (SELECT row, v, n > (SELECT avg(n) FROM c) AS one FROM c), z AS (SELECT count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, avg(v) FILTER (one) AS m1, avg(v) FILTER (NOT one) AS m2, sum(v) AS total FROM x),
+@query(f"""{_PANEL}
     h AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || row), row) AS k FROM x, range(0, {REPLICATES}) g(rep)),
     s AS (SELECT rep, sum(v) AS s FROM h, z WHERE k <= n1 GROUP BY rep),
     e AS (SELECT count(*) FILTER (abs(s * (1 / n1 + 1 / n2) - total / n2) >= abs(m1 - m2) - 1e-9) AS exceedances FROM s, z)
     SELECT round(abs(m1 - m2), 6) AS observed, exceedances, {REPLICATES} AS permutations, round((exceedances + 1) / ({REPLICATES} + 1), 6) AS p FROM e, z""")
 def permutation_by_hash(spark, sf_dir):
-    """The same question for any number of conversations: "long" is over the mean."""
-    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("row")).agg(F.avg(F.length("text")).alias("v"), F.count("*").alias("n")).where("v is not null")
-    middle = turns.agg(F.avg("n").alias("middle"))
-    sides = turns.crossJoin(F.broadcast(middle)).select("row", "v", (F.col("n") > F.col("middle")).alias("one"))  # one row
-    return _rounded(inference.permutation_by_hash(sides, "v", "one", REPLICATES), "observed", "p")
+    """The same question with subsets that any engine draws by md5."""
+    found = inference.permutation_by_hash(_long_turns(spark, sf_dir), "v", "one", REPLICATES)
+    return _rounded(found.drop("is_lower_bound"), "observed", "p")
+
+
+def _mixture(spark, sf_dir, method: str, max_iter: int | None = None):
+    """Two clusters of all components of the vectors, from two rows that a hash picks."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding")
+    return gram.mixture(e, "embedding", method, gram.two_rows(e, "embedding", "vec_id"), max_iter=max_iter).select("vec_id", "label")
 
 
 @query()
 def large_gmm(spark, sf_dir):
-    return optimize.large_gmm(table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.slice("embedding", 1, 8).alias("v")), "v").select("vec_id", "label")
+    return _mixture(spark, sf_dir, "gmm")
+
+
+@query()
+def large_regularized_em(spark, sf_dir):
+    return _mixture(spark, sf_dir, "regularized", 60)
+
+
+@query()
+def large_cross_entropy_clusters(spark, sf_dir):
+    return _mixture(spark, sf_dir, "cec")
+
+
+@query()
+def gaussian_slopes(spark, sf_dir):
+    """The Gaussian objective of all components under unequal weights, and its derivative by each of them."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select("vec_id", "embedding", ((1 + F.col("label")) / 10.0).alias("w"))
+    value, found = gram.gaussian_spread(e, "embedding", "w")
+    return found.select("vec_id", F.lit(value).alias("objective"), "slope")
+
+
+_GRID = (benchmarks.NGRAMS, benchmarks.WINDOWS, max(f for f in benchmarks.FEATURES if f))
+
+
+def _one_sequence(spark, sf_dir):
+    """All conversations, one after the other, with the label of each turn: whether a user has it."""
+    turns = table(spark, sf_dir, "conversations").where("role is not null").withColumn("key", F.lit(0))
+    return text.sequences(turns, "key", ["conv_id", "turn", "role", "text"], toks=F.transform(scalar.tokens("text"), F.lower), label=(F.col("role") == "user").cast("int"))
+
+
+def _sweep_sql() -> str:
+    gram_of = lambda n: " || ' ' || ".join(["tok", *(f"lead(tok, {k}) OVER l" for k in range(1, n))])
+    each = " UNION ALL ".join(f"SELECT {n} AS ngram, n_docs, seq AS ds, lead(seq, {n - 1}) OVER l AS de, row_number() OVER l AS place, {gram_of(n)} AS feature FROM axis WINDOW l AS (ORDER BY seq, pos)" for n in _GRID[0])
+    return f"""WITH docs AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS seq, count(*) OVER () AS n_docs, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda t: lower(t)) AS toks FROM conversations WHERE role IS NOT NULL),
+    axis AS (SELECT seq, n_docs, pos, toks[pos] AS tok FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS pos FROM docs)), occ AS ({each}),
+    wide AS (SELECT ngram, width, feature, place, least(n_docs - 1, ds + width) - greatest(0, de - width + 1) + 1 AS n FROM occ, (SELECT unnest({_GRID[1]}) AS width) WHERE feature IS NOT NULL AND de <= n_docs - 2),
+    counts AS (SELECT ngram, width, feature, CAST(sum(n) AS BIGINT) AS cnt, min(place) AS first FROM wide WHERE n > 0 GROUP BY ALL)
+    SELECT CAST(ngram AS INTEGER) AS ngram, CAST(width AS INTEGER) AS width, feature, cnt, rank, n_features, total FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY ngram, width ORDER BY cnt DESC, first) AS INTEGER) AS rank, count(*) OVER (PARTITION BY ngram, width) AS n_features, CAST(sum(cnt) OVER (PARTITION BY ngram, width) AS BIGINT) AS total FROM counts) WHERE rank <= {_GRID[2]}"""
+
+
+@query(_sweep_sql())
+def sweep_counts(spark, sf_dir):
+    """The features of the whole grid of the published sweep: 5 lengths, 13 widths, the 500 most frequent of each."""
+    found = benchmarks.sweep_counts(_one_sequence(spark, sf_dir), *_GRID)
+    return found.withColumn("feature", scalar.display("feature"))
 
 
 @query()
 def text_sweep(spark, sf_dir):
     """Part of the sweep's grid over the turns of all conversations as one sequence: user turns against the others."""
-    turns = table(spark, sf_dir, "conversations").where("role is not null").withColumn("key", F.lit(0))
-    docs = text.sequences(turns, "key", ["conv_id", "turn", "role", "text"], toks=F.transform(scalar.tokens("text"), F.lower), label=(F.col("role") == "user").cast("int"))
+    docs = _one_sequence(spark, sf_dir)
     return benchmarks.text_sweep(docs.drop("label"), docs.select(F.col("seq").alias("row"), "label"), [1, 2], [2, 4], [100, 300], model="multinomial")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
+from contextvars import ContextVar
 from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,11 +35,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder all executors share and read back."""
+_PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open scratch scopes", default=())
+
+
+def materialised(df: DataFrame, name: str, *then_drop: DataFrame) -> DataFrame:
+    """df written to the folder all executors share and read back; the tables of then_drop, which this function has
+    returned before and nothing else needs, are deleted."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    for scope in _OPEN.get():
+        scope.append(out)
+    dropped(*then_drop)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        if (at := _PLACES.pop(table, None)) is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def scratch():
+    """Deletes, at its end, every table that materialised() has written inside, but for those in the list it gives."""
+    mine, keep = [], []
+    token = _OPEN.set((*_OPEN.get(), mine))
+    try:
+        yield keep
+    finally:
+        _OPEN.reset(token)
+        dropped(*[t for t in mine if not any(t is k for k in keep)])
 
 
 def annotations(spark: SparkSession, path: str, label: str) -> DataFrame:
@@ -77,6 +110,46 @@ def append(df: DataFrame, path: str, schema: str) -> None:
     df.select(*StructType.fromDDL(schema).names).write.mode("append").parquet(path)
 
 
+def commit_batch(df: DataFrame, path: str, schema: str, name: str) -> int:
+    """Adds the rows of df to the table of batches at `path`, all or none: they are written to a folder of their own, and
+    count from the moment a manifest file names it. A run that ends in between leaves a folder that nobody reads; the
+    batch is run again. `name` is for people: folders and manifests have names of their own. Gives the number of rows."""
+    wanted = StructType.fromDDL(schema)
+    if set(df.columns) != set(wanted.names):
+        raise ValueError(f"columns differ: {sorted(set(df.columns) ^ set(wanted.names))}")
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    df.select(*wanted.names).write.parquet(f"{path}/{folder}")
+    rows = spark.read.schema(wanted).parquet(f"{path}/{folder}").count()
+    _publish(spark, path, name, json.dumps({"folder": folder, "rows": rows, "name": name}))
+    return rows
+
+
+def _publish(spark: SparkSession, path: str, name: str, line: str) -> None:
+    """A manifest file, whole or not at all: written beside its place and renamed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(at, f".{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(line.encode() + b"\n"))
+    out.close()
+    if not fs.rename(draft, spark._jvm.org.apache.hadoop.fs.Path(at, f"{name}-{uuid.uuid4().hex}.json")):
+        raise OSError(f"the manifest of {name} could not be named in {path}")
+
+
+def batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches that manifests name; an empty table where there is none yet."""
+    try:
+        named = spark.read.schema("folder string, rows long, name string").json(f"{path}/manifest")
+        folders = sorted(r["folder"] for r in named.where("rows > 0").select("folder").distinct().collect())  # a row for each batch
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        folders = []
+    if not folders:
+        return spark.createDataFrame([], StructType.fromDDL(schema))
+    return spark.read.schema(schema).parquet(*(f"{path}/{f}" for f in folders))
+
+
 def still_to_run(tasks: DataFrame, done: DataFrame, keys: list[str], start: int = 0, stop: int | None = None, limit: int | None = None) -> DataFrame:
     """Tasks that are not done, in the range of `index` if one is given, `limit` at most."""
     left = tasks.join(done.select(*keys).distinct(), keys, "left_anti")

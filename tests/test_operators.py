@@ -44,6 +44,27 @@ def test_counts_equal_counts_of_built_windows(spark, seed):
     assert [(r["g"], r["cnt"]) for r in ranked] == sorted(order.items(), key=lambda x: (-x[1], first[x[0]]))
 
 
+def test_one_sequence_over_many_ranges(spark):
+    """Numbering, places, windows and n-grams of one sequence that no task holds equal those of plain Python."""
+    rng = random.Random(5)
+    docs = [[rng.choice("abcd") for _ in range(rng.choice([0, 0, 1, 2, 5]))] for _ in range(400)]
+    df = spark.createDataFrame([(7, i, d) for i, d in enumerate(docs)] + [(None, 1, ["x"]), (None, 0, ["y", "y"])], "k int, t int, toks array<string>")
+    placed = text.sequences(df.repartition(5), "k", ["t"], ranges=8, toks=F.col("toks")).cache()
+    one = placed.where("key = 7").orderBy("seq").collect()
+    assert [r["toks"] for r in one] == docs and [r["seq"] for r in one] == list(range(400)) and {r["n_docs"] for r in one} == {400}
+    assert [r["before"] for r in one] == [sum(map(len, docs[:i])) for i in range(400)]
+    assert sorted((r["seq"], r["before"], r["toks"][0]) for r in placed.where("key IS NULL").collect()) == [(0, 0, "y"), (1, 2, "x")]
+    ranged = df.repartitionByRange(8, "k", "t").select("k", F.spark_partition_id().alias("p")).where("k = 7").distinct()
+    assert ranged.count() >= 7  # one sequence, many tasks
+    wide = {r["seq"]: r["toks"] for r in text.running_windows(placed.where("key = 7"), 3, block=16).collect()}
+    assert [wide[i] for i in range(400)] == windows(docs, 3)
+    flat = [(t, i) for i, d in enumerate(docs) for t in d]
+    for n in (1, 2, 4):
+        got = sorted((r["place"], r["feature"], r["ds"], r["de"]) for r in text.ngram_spans(placed.where("key = 7"), n, block=8).collect())
+        want = [(k + 1, [t for t, _ in flat[k : k + n]], flat[k][1], flat[k + n - 1][1]) for k in range(len(flat) - n + 1) if flat[k + n - 1][1] <= 398]
+        assert got == want
+
+
 def test_ngrams_and_ties(spark):
     df = spark.createDataFrame([(["a", "b", "c"],)], "t array<string>")
     assert df.select(scalar.ngrams("t", 2)).first()[0] == [["a", "b"], ["b", "c"]]
@@ -135,6 +156,36 @@ def test_resume(spark, tmp_path):
         io.append(first.drop("mcc"), path, io.TRIALS)
 
 
+def test_batches_count_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A run that ends between its rows and its manifest adds nothing; the next one adds each row once."""
+    path, config, keys = str(tmp_path / "trials"), benchmarks.Config(simulations=1), ["panel", "fraction", "simulation"]
+    tasks = benchmarks.categorical_tasks(spark, config).where("panel = 8")
+
+    def run(left):
+        names = [c.split()[0] for c in io.TRIALS.split(", ")]
+        made = left.withColumns({"method": F.lit("x"), "mcc": F.lit(1.0), "information_loss": F.lit(None).cast("double"), "optimizer_success": F.lit(None).cast("boolean"), "config": F.lit(config.digest())})
+        return made.select(*names)
+
+    whole = io._publish
+    calls = []
+
+    def killed(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return whole(*args)
+
+    monkeypatch.setattr(io, "_publish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        benchmarks.resumed(tasks, run, keys, io.TRIALS, path, config, batches=3)
+    kept = io.batches(spark, path, io.TRIALS).count()
+    assert 0 < kept < 9  # the first batch; rows of the second are written, and nobody reads them
+    for _ in range(2):
+        got = benchmarks.resumed(tasks, run, keys, io.TRIALS, path, config, batches=3)
+        assert got.count() == got.select(*keys).distinct().count() == 9
+    assert io.batches(spark, str(tmp_path / "none"), io.TRIALS).count() == 0
+
+
 def test_retries_change_the_seed():
     seen = []
 

@@ -227,10 +227,12 @@ def missing_conditions(spark, sf_dir):
     return evaluate.missing(expected, customer.where("c_acctbal > 9000"), ["c_nationkey", "c_mktsegment"])
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, CAST(w AS INTEGER) AS w, coalesce(CAST(f AS VARCHAR), 'all') AS f, 'n-' || n || '_l-' || w || '_f-' || coalesce(CAST(f AS VARCHAR), 'all') AS combination FROM (SELECT unnest([1, 2, 3, 4, 5]) AS n), (SELECT unnest([2, 3, 4, 6, 8, 10, 12, 14, 18, 22, 24, 26, 28]) AS w), (SELECT unnest([100, 300, 500, NULL]) AS f)")
+@query("""SELECT n, w, coalesce(CAST(f AS VARCHAR), 'all') AS f, 'n-' || n || '_l-' || w || '_f-' || coalesce(CAST(f AS VARCHAR), 'all') AS combination
+    FROM (SELECT DISTINCT r_regionkey AS n FROM region), (SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS w FROM lineitem), (SELECT DISTINCT nullif(p_size % 5, 0) AS f FROM part)""")
 def grid_cross_join(spark, sf_dir):
-    frames = [spark.createDataFrame([(v,) for v in values], f"{name} int") for name, values in (("n", benchmarks.NGRAMS), ("w", benchmarks.WINDOWS), ("f", benchmarks.FEATURES))]
-    combined = evaluate.grid(*frames).withColumn("combination", scalar.result_key("n", "w", "f"))
+    n, w = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n")), table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("int").alias("w"))
+    f = table(spark, sf_dir, "part").select(F.nullif(F.col("p_size") % 5, F.lit(0)).alias("f"))
+    combined = evaluate.grid(n.distinct(), w.distinct(), f.distinct()).withColumn("combination", scalar.result_key("n", "w", "f"))
     return combined.withColumn("f", F.coalesce(F.col("f").cast("string"), F.lit("all")))
 
 
@@ -559,9 +561,12 @@ def result_keys(spark, sf_dir):
     return part.select(scalar.result_key("n", "w", "f").alias("key")).distinct()
 
 
-@query("SELECT name, lower(model) AS model FROM (VALUES ('Binary', 'bernoulli'), (' BERNOULLI ', 'bernoulli'), ('binomial', 'binomial'), ('Multinomial', 'multinomial')) t(name, model)")
+@query(f"SELECT name, 'bernoulli' AS model, loss FROM ({_loss_sql('bernoulli', 'loss')}) AS l, (VALUES ('Binary'), (' BERNOULLI ')) t(name)")
 def model_aliases(spark, sf_dir):
-    return spark.createDataFrame([(x, scalar.score_model(x)) for x in ("Binary", " BERNOULLI ", "binomial", "Multinomial")], "name string, model string")
+    """The loss of one matrix under every name of its model."""
+    x, members, _ = _matrix(spark, sf_dir, "bernoulli")
+    each = [score.loss(x, members, name).select(F.lit(name).alias("name"), F.lit(scalar.score_model(name)).alias("model"), F.round("loss", 4).alias("loss")) for name in ("Binary", " BERNOULLI ")]
+    return each[0].unionByName(each[1])
 
 
 @query(f"""WITH {_MATRIX} SELECT (SELECT count(DISTINCT feature) FROM x) AS columns, (SELECT count(*) FROM x WHERE value IS NULL OR value < 0) AS bad_values, (SELECT count(*) FROM x WHERE value NOT IN (0, 1)) AS not_binary,
@@ -612,9 +617,11 @@ def merged_results(spark, sf_dir):
     return io.merged(old, new, ["key"])
 
 
-@query("SELECT method, mcc FROM (VALUES ('b', CAST(0.5 AS DOUBLE)), ('b', NULL)) t(method, mcc)")
+@query("SELECT o_orderkey, o_orderpriority AS method, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS mcc FROM orders WHERE substring(o_orderpriority, 1, 1) IN ('1', '3') AND o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 AND o_totalprice IS NOT NULL)")
 def methods_with_values(spark, sf_dir):
-    rows = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", 0.5), ("b", None)], "method string, mcc double")
+    """Orders stand for trials and priorities for methods, of which only two have values at all, and these not everywhere."""
+    mcc = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "3"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice"))).otherwise(F.lit(float("nan")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("method"), mcc.alias("mcc"))
     return evaluate.without_empty_methods(rows, "method", "mcc")
 
 
@@ -658,12 +665,14 @@ def lock_files(spark, sf_dir):
     return io.lock_file(spark, path)
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, CAST(p AS DOUBLE) AS p FROM (VALUES (0, 1.0), (1, 0.317310507863), (2, 0.045500263896), (3, 0.002699796063), (4, 0.000063342484), (5, 0.000000573303)) t(k, p)")
+@query("""WITH z AS (SELECT c_custkey, abs((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer)) / sqrt(2) AS x FROM customer WHERE c_acctbal IS NOT NULL)
+    SELECT c_custkey, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda n: pow(-1, n) * pow(x, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 8) AS p FROM z""")
 def normal_tails(spark, sf_dir):
-    """Two-sided tails of the normal law (reference values from tables), by way of their own Z scores."""
-    z = spark.range(6).select(F.col("id").cast("int").alias("k"), inference.two_sided_p(F.col("id").cast("double")).alias("p"))
-    again = z.select("k", inference.two_sided_p(inference.z_of_p("p")).alias("p"))
-    return _rounded(again, "p", to=12)
+    """How unusual each balance is: two-sided tails of the normal law, there and back by way of their Z scores."""
+    customer = table(spark, sf_dir, "customer").where("c_acctbal is not null").select("c_custkey", "c_acctbal")
+    one = customer.agg(F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("sd"))
+    z = customer.crossJoin(F.broadcast(one)).select("c_custkey", inference.two_sided_p((F.col("c_acctbal") - F.col("mean")) / F.col("sd")).alias("p"))  # one row
+    return _rounded(z.select("c_custkey", inference.two_sided_p(inference.z_of_p("p")).alias("p")), "p", to=8)
 
 
 @query("""WITH h AS (SELECT label, CAST(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS DOUBLE) AS s FROM embeddings WHERE len(embedding) > 0)

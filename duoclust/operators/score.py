@@ -83,6 +83,27 @@ def gradient(matrix: DataFrame, members: DataFrame, model: str) -> DataFrame:
     return rows.select("row", (g[0] - g[1]).alias("g"))
 
 
+def slope_audit(matrix: DataFrame, members: DataFrame, step: float = 1e-4) -> DataFrame:
+    """(row, g, slope): each row's derivative of the bernoulli loss, and the central difference of the loss when that one
+    membership moves by `step` either way. Nothing is fitted again: a move changes the sizes of the clusters alike for all
+    rows, which is one sum over features, and the totals of the row's own features, a sum over its entries."""
+    f, _ = _parts(matrix, members, "bernoulli")
+    f = f.select("feature", "f0", "f1", "w0", "w1")
+
+    def score_at(c: int, sign: float, moved: bool) -> Column:
+        turn = sign * step if c else -sign * step
+        size, at = F.col(f"w{c}") + turn, F.col(f"f{c}") + (turn * F.col("value") if moved else F.lit(0.0))
+        return at * F.ln(at / size + EPS) + (size - at) * F.ln(1 - at / size + EPS)
+
+    def change(moved: bool) -> Column:
+        return sum((score_at(c, 1.0, moved) - score_at(c, -1.0, moved) for c in (0, 1)), F.lit(0.0))
+
+    base = f.agg(F.sum(change(False)).alias("base"))
+    own = matrix.join(f, "feature").groupBy("row").agg(F.sum(change(True) - change(False)).alias("own"))
+    rows = gradient(matrix, members, "bernoulli").join(own, "row", "left").crossJoin(F.broadcast(base))  # one row
+    return rows.select("row", "g", (-(F.col("base") + F.coalesce("own", F.lit(0.0))) / (2 * step) / LN2).alias("slope"))
+
+
 def loo_self_information(matrix: DataFrame, labels: DataFrame, smoothing: float = 0.5, features: int | None = None) -> DataFrame:
     """(row, label, bits): mean bits a token of each row has under its own cluster without the row. `features` is the
     number of columns of the matrix, those that occur by default."""

@@ -349,6 +349,26 @@ def _score_queries(model: str) -> None:
 for _model in ("bernoulli", "binomial", "multinomial"):
     _score_queries(_model)
 
+
+def _audit_sql(step: float = 1e-4) -> str:
+    head, tail = _loss_sql("bernoulli", "gradient").rsplit(" SELECT r.row, ", 1)
+    at = lambda f, z: f"(({f}) * ln(({f}) / ({z}) + 1e-10) + (({z}) - ({f})) * ln(1 - ({f}) / ({z}) + 1e-10))"
+    h, v = f"{step}::DOUBLE", f"{step}::DOUBLE * value"
+    base = f"{at('b', f'zb + {h}')} - {at('b', f'zb - {h}')} + {at('a', f'za - {h}')} - {at('a', f'za + {h}')}"
+    own = f"{at(f'b + {v}', f'zb + {h}')} - {at(f'b - {v}', f'zb - {h}')} + {at(f'a - {v}', f'za - {h}')} - {at(f'a + {v}', f'za + {h}')}"
+    return f"""{head}, d AS (SELECT f0.feature, f0.f AS a, f0.z AS za, f1.f AS b, f1.z AS zb FROM f0 JOIN f1 USING (feature)), grad AS (SELECT r.row AS row, {tail}),
+    base AS (SELECT sum({base}) AS base FROM d), own AS (SELECT row, sum(({own}) - ({base})) AS own FROM x JOIN d USING (feature) GROUP BY row)
+    SELECT row, round(-(base + own) / (2 * {h}) / ln(2), 3) AS slope, abs(g + (base + own) / (2 * {h}) / ln(2)) < 0.001 AS agrees FROM grad JOIN own USING (row), base"""
+
+
+@query(_audit_sql())
+def slope_audit(spark, sf_dir):
+    """Do all derivatives of the bernoulli loss agree with its slopes?"""
+    x, members, _ = _matrix(spark, sf_dir, "bernoulli")
+    found = score.slope_audit(x, members)
+    return found.select("row", F.round("slope", 3).alias("slope"), (F.abs(F.round("g", 5) - F.col("slope")) < 0.001).alias("agrees"))
+
+
 _LOO = f"""{_MATRIX}, cf AS (SELECT label, feature, sum(value) AS f FROM x JOIN lab USING (row) GROUP BY ALL), ct AS (SELECT label, sum(f) AS t FROM cf GROUP BY label),
 loo AS (SELECT x.row, lab.label, -sum(value * log2((f - value + 0.5) / (t - r + 0.5 * (SELECT count(*) FROM chosen)))) / max(r) AS bits
   FROM x JOIN lab USING (row) JOIN cf ON cf.label = lab.label AND cf.feature = x.feature JOIN ct ON ct.label = lab.label JOIN r ON r.row = x.row GROUP BY x.row, lab.label)"""

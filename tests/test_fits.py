@@ -131,6 +131,16 @@ def test_penalised_gradients_are_the_slopes(spark, model):
         assert g == pytest.approx((loss(m + step) - loss(m - step)) / 2e-6, rel=1e-4, abs=1e-4)
 
 
+def test_audit_finds_the_slopes_of_the_kernel(spark):
+    x, m, matrix, members = _small(spark)
+    x = (x > 0).astype(float)
+    loss = lambda w: kernels.loss_and_gradient(x, w, "bernoulli")[0]
+    got = score.slope_audit(matrix.withColumn("value", F.lit(1.0)), members).orderBy("row").collect()
+    for r in got:
+        step = np.eye(len(m))[r["row"]] * 1e-4
+        assert r["slope"] == pytest.approx((loss(m + step) - loss(m - step)) / 2e-4, rel=1e-6, abs=1e-6) and r["g"] == pytest.approx(r["slope"], rel=1e-4, abs=1e-4)
+
+
 def test_rows_without_entries_have_no_slope(spark):
     _, _, matrix, members = _small(spark)
     more = members.unionByName(spark.createDataFrame([(99, 0.3)], "row long, m double"))

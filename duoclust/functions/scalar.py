@@ -16,6 +16,13 @@ def score_model(name: str) -> str:
         raise ValueError(f"unknown score model {name!r}") from None
 
 
+def at_least(least: float, **arguments: float) -> None:
+    """ValueError if an argument is not a number of at least that much."""
+    for name, value in arguments.items():
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not value >= least:
+            raise ValueError(f"{name} is {value!r}, and must be at least {least}")
+
+
 def tokens(text: str | Column) -> Column:
     """Runs of ASCII letters; a null text has none."""
     return F.coalesce(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit("[A-Za-z]+"), F.lit(0)), F.array().cast("array<string>"))

@@ -113,6 +113,23 @@ def compare(expected: DataFrame, observed: DataFrame, keys: list[str], values: l
     )
 
 
+def validated(expected: DataFrame, observed: DataFrame, keys: list[str], values: list[str], atol: float = 1e-8, rtol: float = 1e-9) -> DataFrame:
+    """(keys..., column, expected, observed, problem) of every cell that is not as expected: "missing" and "unexpected" keys,
+    and values that "differ" by more than the tolerances. NaN and null equal themselves; no rows mean that all is well."""
+    cells = lambda v: F.struct(F.lit(v).alias("column"), F.col(f"e_{v}").cast("double").alias("expected"), F.col(f"o_{v}").cast("double").alias("observed"))
+    e = expected.select(*keys, F.lit(1).alias("in_e"), *(F.col(v).alias(f"e_{v}") for v in values))
+    o = observed.select(*keys, F.lit(1).alias("in_o"), *(F.col(v).alias(f"o_{v}") for v in values))
+    each = e.join(o, keys, "full").select(*keys, "in_e", "in_o", F.explode(F.array(*map(cells, values))).alias("c")).select(*keys, "in_e", "in_o", "c.*")
+    near = F.col("expected").eqNullSafe(F.col("observed")) | F.coalesce(F.abs(F.col("expected") - F.col("observed")) <= atol + rtol * F.abs("expected"), F.lit(False))
+    problem = F.when(F.col("in_o").isNull(), "missing").when(F.col("in_e").isNull(), "unexpected").when(~near, "differs")
+    return each.withColumn("problem", problem).where("problem is not null").drop("in_e", "in_o")
+
+
+def incomplete(summarised: DataFrame, wanted: int) -> DataFrame:
+    """Conditions of summary() with another number of values than they should have."""
+    return summarised.where(F.coalesce("count", F.lit(0)) != wanted)
+
+
 def grid(*frames: DataFrame) -> DataFrame:
     """All combinations of small parameter tables."""
     out = frames[0]

@@ -116,6 +116,8 @@ def mixture(df: DataFrame, vector: str, method: str, first: np.ndarray, shrink:
     plain EM from the rows nearest to each; "regularized" leans covariances towards the sample's by `shrink`; "cec" takes
     clusters of equal weight; "differential" compares densities as they are and raises FloatingPointError (inside a task's
     error) where they vanish. One scan a step."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     steps, tolerance, ridge = METHODS[method]
     x, d = _prepared(df, vector)
     sc, shift = df.sparkSession.sparkContext, mean(df, vector)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
+from ..functions.scalar import at_least
 from ..sources.io import materialised
 
 
@@ -87,6 +88,7 @@ def thresholds(rows: DataFrame, replicates: int, size: int, draw: str = "md5") -
     """For each replicate the number of which `size` rows (at least one and no more than there are) have no larger one:
     BITS of it from each pass, which counts the rows below every value they can take; a task hands on one row for each
     replicate, however many rows it has."""
+    at_least(1, replicates=replicates, size=size)
     width, every = 1 << BITS, np.arange(replicates)
     prefix, below, settled = np.zeros(replicates, np.uint64), np.zeros(replicates, np.int64), np.zeros(replicates, bool)
     spark, last = rows.sparkSession, np.zeros(replicates, np.uint64)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.scalar import at_least
 from .gram import _prepared, _sums
 
 #: Rounds that draw first centres, and rows that one draws on average, times k.
@@ -68,6 +69,7 @@ def nearest(df: DataFrame, vector: str, centres: np.ndarray, name: str = "label"
 
 def first_centres(df: DataFrame, vector: str, key: str, seeds: list[int], k: int) -> list[np.ndarray]:
     """k first centres for each seed, drawn with probabilities in proportion to squared distances."""
+    at_least(1, k=k, seeds=len(seeds))
     x = df.dropna(subset=[vector]).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("x"))
     sc = df.sparkSession.sparkContext
     centres = [np.array([r["x"] for r in x.orderBy(F.xxhash64("key", F.lit(s)), "key").limit(1).collect()], float) for s in seeds]

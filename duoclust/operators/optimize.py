@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import at_least
 from ..sources.io import dropped, materialised, scratch
 from . import gram, score
 
@@ -25,6 +26,8 @@ def large_partition(matrix: DataFrame, model: str, steps: int = 30, logit: float
 
     All starts descend together, each as columns of one table (quasi_newton). With a penalty, whose value needs a pass
     of its own for every start, they follow each other by projected gradient steps of Barzilai-Borwein length."""
+    at_least(0, steps=steps, tolerance=tolerance, least=least, weight=weight, target=target)
+    at_least(1, starts=starts)
     with scratch() as keep:
         matrix = materialised(score.checked(matrix, model), "matrix")
         first = [score.median_split(_signed(matrix, seed, k) if k else score.row_totals(matrix), "total") for k in range(starts)]

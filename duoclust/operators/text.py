@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import at_least
 from ..sources.io import materialised
 from .order import numbered
 
@@ -58,6 +59,7 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 def running_windows(docs: DataFrame, width: int, block: int = DOCS) -> DataFrame:
     """(key, seq, toks): the tokens of each window, in order; for use where a window itself is asked for."""
+    at_least(1, width=width, block=block)
     own = F.floor(F.col("seq") / block)
     # document s is in windows s - width + 1 to s + width
     spread = F.sequence(F.floor(F.greatest(F.lit(0), F.col("seq") - width + 1) / block), F.floor((F.col("seq") + width) / block))
@@ -70,6 +72,7 @@ def running_windows(docs: DataFrame, width: int, block: int = DOCS) -> DataFrame
 def occurrences(docs: DataFrame, n: int, width: int, more: str | None = None, block: int = TOKENS) -> DataFrame:
     """(key, feature, lo, hi, place): every n-gram that is in a window, with its first and last window and the
     place of its first token, from 1; with `more`, the n-gram of that second channel too."""
+    at_least(1, n=n, width=width)
     found = ngram_spans(docs, n, more, block)
     ranged = found.withColumns({"lo": F.greatest(F.lit(0), F.col("de") - width + 1), "hi": F.least(F.col("n_docs") - 1, F.col("ds") + width)})
     return ranged.where("hi >= lo").select("key", "feature", *(["other"] if more else []), "lo", "hi", "place")
@@ -78,6 +81,7 @@ def occurrences(docs: DataFrame, n: int, width: int, more: str | None = None, bl
 def ngram_spans(docs: DataFrame, n: int, more: str | None = None, block: int = TOKENS) -> DataFrame:
     """(key, feature, ds, de, n_docs, place): every n-gram with the documents of its first and last token, those that
     reach the last document of their sequence left out. Single tokens need no neighbours and no shuffle."""
+    at_least(1, n=n, block=block)
     channels, block = {"toks": "feature"} | ({more: "other"} if more else {}), max(block, n)
     docs = docs if "before" in docs.columns else _placed(docs)
     axis = docs.select("key", "seq", "n_docs", "before", F.posexplode(F.arrays_zip(*channels)).alias("pos", "z"))
@@ -116,6 +120,7 @@ def counts_by_width(spans: DataFrame, widths: list[int]) -> DataFrame:
     """(feature, width, cnt, first): feature_counts() of one sequence for every width, from one pass over its n-grams.
     An n-gram's windows are as many as the documents at its sides allow, less those it spans; its first place comes before
     all others in any of them."""
+    at_least(1, **{f"width {k}": w for k, w in enumerate(widths)})
     lengths = {w: range_length(w, max(widths)) for w in widths}
     totals = [a for w, n in lengths.items() for a in (F.sum(F.greatest(n, F.lit(0))).alias(f"c{w}"), F.min(F.when(n > 0, F.col("place"))).alias(f"p{w}"))]
     wide = spans.groupBy("feature").agg(*totals)

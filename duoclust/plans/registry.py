@@ -256,6 +256,22 @@ def tolerance_compare(spark, sf_dir):
     return _rounded(evaluate.compare(sums(orders), sums(orders.where("o_orderkey % 500 <> 1")), ["o_custkey"], ["v"], atol=1e-2), "max_v", to=2)
 
 
+@query("""WITH e AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS mean, count(*) AS count FROM customer GROUP BY ALL),
+    o AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS mean, count(*) AS count FROM customer WHERE c_nationkey <> 5 AND NOT (c_nationkey = 3 AND c_custkey % 2 = 0) GROUP BY ALL),
+    b AS (SELECT e.*, o.mean AS omean, o.count AS ocount, o.c_nationkey IS NULL AS gone FROM e LEFT JOIN o USING (c_nationkey, c_mktsegment)),
+    c AS (SELECT c_nationkey, c_mktsegment, 'mean' AS "column", mean AS expected, omean AS observed, gone FROM b UNION ALL SELECT c_nationkey, c_mktsegment, 'count', count, ocount, gone FROM b)
+    SELECT c_nationkey, c_mktsegment, "column", round(CAST(expected AS DOUBLE), 6) AS expected, round(CAST(observed AS DOUBLE), 6) AS observed, CASE WHEN gone THEN 'missing' ELSE 'differs' END AS problem FROM c WHERE gone OR abs(expected - observed) > 1e-6 + 1e-6 * abs(expected)""")
+def validated_tables(spark, sf_dir):
+    """A table of expected means, written as CSV and loaded again, against one that lacks customers of two nations."""
+    customer = table(spark, sf_dir, "customer")
+    mean = lambda df: df.groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("mean"), F.count("*").alias("count"))
+    path = io.fresh_path(spark, "expected")
+    io.write_csv(mean(customer), path)
+    expected = io.expected(spark, path, "c_nationkey int, c_mktsegment string, mean double, count long")
+    observed = mean(customer.where("c_nationkey <> 5 and not (c_nationkey = 3 and c_custkey % 2 = 0)"))
+    return _rounded(evaluate.validated(expected, observed, ["c_nationkey", "c_mktsegment"], ["mean", "count"], 1e-6, 1e-6), "expected", "observed")
+
+
 @query("SELECT lang, round(avg(quality), 6) AS share_quality, round(avg(toxic), 6) AS share_toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def label_shares(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")

@@ -168,6 +168,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def expected(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of expected results from a CSV with a header: the columns of the schema, in any order and no others, and
+    only values of their types. ValueError for other columns; a value that is none fails when it is read."""
+    wanted = StructType.fromDDL(schema)
+    found = spark.read.option("header", True).csv(path)
+    if set(found.columns) != set(wanted.names):
+        raise ValueError(f"columns differ: {sorted(set(found.columns) ^ set(wanted.names))}")
+    return found.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields))  # a cast fails in ANSI mode
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -186,6 +186,29 @@ def test_batches_count_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert io.batches(spark, str(tmp_path / "none"), io.TRIALS).count() == 0
 
 
+def test_expected_tables_are_checked(spark, tmp_path):
+    io.write_csv(spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "k string, n int, v double"), f"{tmp_path}/e")
+    table = io.expected(spark, f"{tmp_path}/e", "v double, k string, n int")
+    assert {r["k"]: (r["n"], r["v"]) for r in table.collect()} == {"a": (1, 0.5), "b": (2, None)}
+    with pytest.raises(ValueError, match="columns differ"):
+        io.expected(spark, f"{tmp_path}/e", "k string, n int")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        io.expected(spark, f"{tmp_path}/e", "k int, n int, v double").collect()
+    seen = spark.createDataFrame([("a", 1, 0.5 + 1e-10), ("c", 3, 1.0)], "k string, n int, v double")
+    got = {(r["k"], r["column"]): r["problem"] for r in evaluate.validated(table, seen, ["k"], ["n", "v"]).collect()}
+    assert got == {("b", "n"): "missing", ("b", "v"): "missing", ("c", "n"): "unexpected", ("c", "v"): "unexpected"}
+    assert evaluate.validated(table, seen.withColumn("v", F.col("v") + 1), ["k"], ["v"]).where("k = 'a'").first()["problem"] == "differs"
+    assert [r["count"] for r in evaluate.incomplete(evaluate.summary(seen, ["k"], "v"), 2).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("call", [
+    lambda s: text.running_windows(s, 0), lambda s: text.occurrences(s, 0, 2), lambda s: text.occurrences(s, 1, -1), lambda s: text.counts_by_width(s, [0]), lambda s: inference.thresholds(s, 0, 1), lambda s: inference.thresholds(s, 5, True),
+])
+def test_arguments_out_of_range(spark, call):
+    with pytest.raises(ValueError):
+        call(sequence(spark, [["a"]]))
+
+
 def test_retries_change_the_seed():
     seen = []
 

@@ -16,7 +16,7 @@ def score_model(name: str) -> str:
         raise ValueError(f"unknown score model {name!r}") from None
 
 
-def at_least(least: float, **arguments: float) -> None:
+def at_least(least: float, /, **arguments: float) -> None:
     """ValueError if an argument is not a number of at least that much."""
     for name, value in arguments.items():
         if isinstance(value, bool) or not isinstance(value, (int, float)) or not value >= least:

@@ -71,13 +71,21 @@ def _two_loops(gram: np.ndarray, k: int, most: float) -> np.ndarray:
 
 
 class _Start:
-    """What the driver keeps of one start: its loss, the inner products of its basis, where it stands."""
+    """What the driver keeps of one start: its loss, the inner products of its basis by the names of their columns, the
+    steps whose pairs count, and where it stands."""
 
     def __init__(self, k: int):
-        self.k, self.value, self.gram, self.pairs, self.most, self.done, self.halved = k, math.inf, np.zeros((1, 1)), 0, 0.0, False, 0
+        self.k, self.value, self.dots, self.tags, self.most, self.done, self.halved = k, math.inf, {}, [], 0.0, False, 0
+
+    def pair(self, tag: int) -> list[str]:
+        return [f"s{self.k}_{tag}", f"y{self.k}_{tag}"]
 
     def basis(self) -> list[str]:
-        return [f"s{self.k}_{i}" for i in range(self.pairs)] + [f"y{self.k}_{i}" for i in range(self.pairs)] + [f"g{self.k}"]
+        return [self.pair(t)[0] for t in self.tags] + [self.pair(t)[1] for t in self.tags] + [f"g{self.k}"]
+
+    def gram(self) -> np.ndarray:
+        names = self.basis()
+        return np.array([[self.dots[tuple(sorted((a, b)))] for b in names] for a in names])
 
 
 def _free(k: int, low: float) -> Column:
@@ -162,48 +170,51 @@ def quasi_newton(matrix: DataFrame, first: list[DataFrame], model: str, steps: i
             out = out.withColumn(f"h{k}", (F.col(f"a{k}") + own * _vector([const])[0]) / (_LN2 if model == "bernoulli" else 1.0))
         return out.drop(*(f"a{k}" for k in chosen))
 
-    def products(at: DataFrame, active: list[_Start]) -> None:
-        """Fills in the inner products that the last step has changed."""
-        asked = {}
+    def products(at: DataFrame, active: list[_Start], tag: int | None) -> None:
+        """The inner products that the step `tag` has changed: those of its pair and of the free gradient."""
+        asked, keys = {}, {}
         for s in active:
-            names, g = s.basis(), F.when(_free(s.k, low), F.col(f"g{s.k}")).otherwise(0.0)
-            columns = [F.col(c) for c in names[:-1]] + [g]
-            for i in {s.pairs - 1, 2 * s.pairs - 1, 2 * s.pairs} if s.pairs else {0}:
-                asked |= {f"{s.k}/{i}/{j}": F.sum(columns[i] * columns[j]) for j in range(len(names))}
+            g = F.when(_free(s.k, low), F.col(f"g{s.k}")).otherwise(0.0)
+            new = s.pair(tag) if tag is not None else []
+            names = [*s.basis(), *new]
+            column = {c: F.col(c) for c in names} | {f"g{s.k}": g}
+            for x in [*new, f"g{s.k}"]:
+                for y in names:
+                    key = tuple(sorted((x, y)))
+                    keys[f"{key[0]}/{key[1]}"] = s, key
+                    asked[f"{key[0]}/{key[1]}"] = F.sum(column[x] * column[y])
             asked[f"{s.k}/most"] = F.max(F.abs(g))
         got = at.agg(*(c.alias(k) for k, c in asked.items())).first().asDict()
         for s in active:
             s.most = got.pop(f"{s.k}/most") or 0.0
-        for key, v in got.items():
-            k, i, j = map(int, key.split("/"))
-            every[k].gram[i, j] = every[k].gram[j, i] = v or 0.0
+        for name, v in got.items():
+            s, key = keys[name]
+            s.dots[key] = v or 0.0
 
     points = {f"p{s.k}": F.col(f"m{s.k}") for s in every}
     features, sums = measured(points, {}, state)
     for s in every:
         s.value = loss(sums, f"p{s.k}")
     state = materialised(graded(features, sums, {s.k: f"p{s.k}" for s in every}, state).withColumnsRenamed({f"h{s.k}": f"g{s.k}" for s in every}), "members", state, features)
-    products(state, every)
-    for _ in range(steps):
+    products(state, every, None)
+    for step in range(steps):
         active = [s for s in every if not s.done and s.most > tolerance and math.isfinite(s.value)]
         if not active:
             break
-        moving, taken, direction = list(active), {}, {}
+        moving, taken, direction, tried = list(active), {}, {}, []
         for s in active:
-            delta, s.halved = _vector(_two_loops(s.gram, s.pairs, s.most)), 0
+            delta, s.halved = _vector(_two_loops(s.gram(), len(s.tags), s.most)), 0
             whole = sum((F.col(c) * delta[i] for i, c in enumerate(s.basis())), F.lit(0.0))
             direction[s.k] = F.when(_free(s.k, low), whole).otherwise(0.0)
-        state = materialised(state.withColumns({f"d{k}": c for k, c in direction.items()}), "members", state)
-        kept_features = []
         while moving:
             points, also = {}, {}
             for s in moving:
                 lengths = _vector([0.5 ** (s.halved + j) for j in range(TRIED)])
                 for j in range(TRIED):
-                    points[f"p{s.k}_{j}"] = at = F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col(f"m{s.k}") + lengths[j] * F.col(f"d{s.k}")))
+                    points[f"p{s.k}_{j}"] = at = F.greatest(F.lit(low), F.least(F.lit(1 - low), F.col(f"m{s.k}") + lengths[j] * direction[s.k]))
                     also[f"p{s.k}_{j}_down"] = F.sum(F.col(f"g{s.k}") * (at - F.col(f"m{s.k}")))
             features, sums = measured(points, also, state)
-            kept_features.append(features)
+            tried.append(features)
             for s in list(moving):
                 for j in range(TRIED):
                     p = f"p{s.k}_{j}"
@@ -214,47 +225,32 @@ def quasi_newton(matrix: DataFrame, first: list[DataFrame], model: str, steps: i
                 s.halved += TRIED
                 if s.k in taken or s.halved >= HALVINGS:
                     moving.remove(s)
-        for s in active:
-            s.done = s.k not in taken
         if not taken:
-            dropped(*kept_features)
+            dropped(*tried)
             break
         moved = state.withColumns({f"n{k}": t[2] for k, t in taken.items()})
-        for features in kept_features:
+        for features in tried:
             chosen = {k: t[0] for k, t in taken.items() if t[3] is features}
             if chosen:
                 moved = graded(features, next(t[4] for t in taken.values() if t[3] is features), chosen, moved)
-        moved = materialised(moved, "moved", state, *kept_features)
-        curved = moved.agg(*(F.sum((F.col(f"n{k}") - F.col(f"m{k}")) * (F.col(f"h{k}") - F.col(f"g{k}"))).alias(str(k)) for k in taken)).first().asDict()
         columns = {c: F.col(c) for c in ["row", "r", *(f"m{s.k}" for s in every)]}
         for s in active:
-            if s.k not in taken:
-                continue
-            _, new, *_ = taken[s.k]
-            s.done = s.value - new <= tolerance * max(abs(s.value), abs(new), 1.0)
-            s.value = new
-            columns[f"m{s.k}"] = F.col(f"n{s.k}")
+            s.done = s.k not in taken
             if s.done:
                 continue
-            old = s.pairs
-            if curved[str(s.k)] > 1e-12:
-                first_kept = 1 if old == memory else 0
-                s.pairs = old - first_kept + 1
-                for i in range(old - first_kept):
-                    columns[f"s{s.k}_{i}"], columns[f"y{s.k}_{i}"] = F.col(f"s{s.k}_{i + first_kept}"), F.col(f"y{s.k}_{i + first_kept}")
-                columns[f"s{s.k}_{s.pairs - 1}"], columns[f"y{s.k}_{s.pairs - 1}"] = F.col(f"n{s.k}") - F.col(f"m{s.k}"), F.col(f"h{s.k}") - F.col(f"g{s.k}")
-                held = [*range(first_kept, old), *range(old + first_kept, 2 * old)]
-                gram, k = np.zeros((2 * s.pairs + 1,) * 2), s.pairs
-                to = [*range(old - first_kept), *range(k, k + old - first_kept)]
-                gram[np.ix_(to, to)] = s.gram[np.ix_(held, held)]
-                s.gram = gram
-            else:
-                columns |= {c: F.col(c) for c in s.basis()[:-1]}
-            columns[f"g{s.k}"] = F.col(f"h{s.k}")
-        state = materialised(moved.select(*(c.alias(k) for k, c in columns.items())), "members", moved)
+            new = taken[s.k][1]
+            s.done, s.value = s.value - new <= tolerance * max(abs(s.value), abs(new), 1.0), new
+            columns[f"m{s.k}"] = F.col(f"n{s.k}")
+            if not s.done:
+                change = F.col(f"n{s.k}") - F.col(f"m{s.k}"), F.col(f"h{s.k}") - F.col(f"g{s.k}")
+                columns |= {c: F.col(c) for c in s.basis()[:-1]} | dict(zip(s.pair(step), change, strict=True)) | {f"g{s.k}": F.col(f"h{s.k}")}
+        state = materialised(moved.select(*(c.alias(k) for k, c in columns.items())), "members", state, *tried)
         left = [s for s in active if not s.done]
         if left:
-            products(state, left)
+            products(state, left, step)
+        for s in left:
+            if s.dots[tuple(sorted(s.pair(step)))] > 1e-12:
+                s.tags = [*s.tags[-memory + 1 :], step]
     return state.select("row", *(f"m{s.k}" for s in every)), [s.value for s in every]
 
 

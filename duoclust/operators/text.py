@@ -28,7 +28,8 @@ TOKENS, DOCS = 1 << 16, 1 << 12
 
 def sequences(df: DataFrame, key: str, order: list[str], ranges: int | None = None, **arrays) -> DataFrame:
     """(key, seq, n_docs, before, arrays...): rows numbered from 0 in the given order, null keys as a sequence of their
-    own. `before` counts the elements of the first array. Written once, in `ranges` ranges (shuffle partitions by default)."""
+    own. `before` counts the elements of the first array. Written once, in `ranges` ranges (shuffle partitions by default);
+    in an io.scratch() scope that table goes with the scope."""
     places = [f"__{k}" for k in range(len(order))]
     rows = df.select(F.col(key).alias("key"), *(F.col(c).alias(p) for c, p in zip(order, places, strict=True)), *(c.alias(k) for k, c in arrays.items()))
     size = F.coalesce(F.size(next(iter(arrays))), F.lit(0)).cast("long") if arrays else F.lit(0).cast("long")

@@ -31,6 +31,7 @@ def starts_of(spark, x, k=3):
 
 @pytest.mark.parametrize("model", ["bernoulli", "binomial", "multinomial"])
 def test_quasi_newton_ends_where_the_kernel_ends(spark, model):
+    """After as many steps: both go the same way."""
     x, matrix = counts_of(spark)
     if model == "bernoulli":
         x, matrix = (x > 2).astype(float), matrix.where("value > 2").withColumn("value", F.lit(1.0))
@@ -40,10 +41,10 @@ def test_quasi_newton_ends_where_the_kernel_ends(spark, model):
     firsts, members = starts_of(spark, x)
     low = 1 / (1 + np.exp(10.0))
     with io.scratch():
-        found, losses = optimize.quasi_newton(matrix, members, model, 60, tolerance=1e-9)
+        found, losses = optimize.quasi_newton(matrix, members, model, 12, tolerance=1e-9)
         ends = {r["row"]: [r[f"m{k}"] for k in range(3)] for r in found.collect()}
     for k, first in enumerate(firsts):
-        _, value, _, _ = kernels.bounded_descent(lambda w: kernels.loss_and_gradient(x, w, model), first, low, 1 - low, 60, 1e-9, memory=5)
+        _, value, _, _ = kernels.bounded_descent(lambda w: kernels.loss_and_gradient(x, w, model), first, low, 1 - low, 12, 1e-9, memory=5)
         m = np.array([ends[i][k] for i in range(len(x))])
         assert losses[k] == pytest.approx(kernels.loss_and_gradient(x, m, model)[0], rel=1e-9)
         assert losses[k] == pytest.approx(value, rel=1e-6) and m.min() >= low - 1e-15 and m.max() <= 1 - low + 1e-15

@@ -100,6 +100,8 @@ _CUT = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\W\da-z_])")
 _STATED = re.compile(r"\b(?i:licen[cs]ed|released|distributed|available) (?i:under) (?i:the )?(?i:terms of (?:the )?)?[^.\n]{0,60}?(?:(?i:licen[cs]e)\b|\b[A-Z]{2,}[\w.-]*)|\bSPDX-License-Identifier:")
 _HINT = re.compile(r"(?i)licen[cs]e|permission|redistribut|reserved")
 _MARGIN = re.compile(r"\n[ \t]*(?:[*#;%/]+|//+|--+)?[ \t]*")
+#: What _STATED cannot do without.
+_SAYS = frozenset(["under", "spdx"])
 _VOCABULARY = frozenset(w for _, t in TEMPLATES + WHOLE for w in _WORD.findall(t.lower()))
 #: Words that name a family of licences or a variant in it: a statement and its template name the same ones.
 _FAMILIES = {name: re.compile(p) for name, p in {
@@ -149,6 +151,23 @@ class Matcher:
     def __init__(self, n: int, docs: dict[str, int]):
         self.idf = {w: idf(n, docs.get(w, 0)) for w in _VOCABULARY}
         self.sets = [self._set(t) for t in (TEMPLATES, WHOLE)]
+        self.keys = self._keys()
+
+    def _keys(self) -> frozenset[str]:
+        """Words of which every statement that is near enough to a template has one: common words are left out as long as
+        those left out of a template, even if all of them occur, have a cosine under the least one with it."""
+        of_word: dict[str, list[tuple[int, int, float]]] = {}
+        for which, (_, posting) in enumerate(self.sets):
+            for w, found in posting.items():
+                of_word.setdefault(w, []).extend((which, k, x * x) for k, x in found)
+        left, keys = {}, set()
+        for w in sorted(_VOCABULARY, key=lambda w: (self.idf[w], w)):
+            sums = {(which, k): left.get((which, k), 0.0) + share for which, k, share in of_word[w]}
+            if all(s < (COSINE, WHOLE_COSINE)[which] ** 2 - 1e-9 for (which, _), s in sums.items()):
+                left |= sums
+            else:
+                keys.add(w)
+        return frozenset(keys)
 
     def _set(self, templates: list[tuple[str, str]]) -> tuple[list, dict[str, list[tuple[int, float]]]]:
         posting: dict[str, list[tuple[int, float]]] = {}
@@ -191,25 +210,23 @@ class Matcher:
     def file(self, text: str | None) -> tuple[int, list[tuple]]:
         """(words, statements) of a whole text. A statement has its number of words, whether it says that there is a
         licence - then the licence is None if no template is near enough - and whether it is the whole file."""
-        total, found, every = 0, [], []
-        pieces = _CUT.split(text or "")
-        lines = len(pieces)
-        for paragraph in re.split(r"\n[ \t]*\n", text or "") if "\n" in (text or "") else ():  # a sentence may go over lines
+        text = text or ""
+        every, found = _WORD.findall(text.lower()), []
+        if self.keys.isdisjoint(every) and _SAYS.isdisjoint(every):
+            return len(every), found
+        pieces, hinted = _CUT.split(text), _HINT.search(text)
+        for paragraph in re.split(r"\n[ \t]*\n", text) if hinted and "\n" in text else ():  # a sentence may go over lines
             if "\n" in paragraph and _HINT.search(paragraph):
                 pieces += _CUT.split(_MARGIN.sub(" ", paragraph))
-        for k, piece in enumerate(pieces):
+        for piece in pieces:
             words = _WORD.findall(piece.lower())
-            if k < lines:
-                total += len(words)
-                every += words
-            if not words or _VOCABULARY.isdisjoint(words):
-                continue
-            got, stated = self.statement(words, piece), bool(_STATED.search(piece))
+            got = None if self.keys.isdisjoint(words) else self.statement(words, piece)
+            stated = not _SAYS.isdisjoint(words) and bool(_STATED.search(piece))
             if got or stated:
                 found.append((*(got or (None, 0.0, 1.0, [])), len(words), stated, False))
-        if _HINT.search(text or "") and (got := self.statement(every, "", whole=True)):
+        if hinted and (got := self.statement(every, "", whole=True)):
             found.append((*got, len(every), False, True))
-        return total, found
+        return len(every), found
 
 
 _PIECE = "struct<name: string, dot: double, shared: double, others: array<struct<word: string, n: int>>, words: int, stated: boolean, whole: boolean>"

@@ -174,6 +174,29 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_boundaries_are_looked_back_at_and_spans_stay(spark):
+    rng = random.Random(5)
+    atoms = ["pwd=", "pass:", "user:", "host=", "http://", "key_id=", "1.2.3.4:80", "5", "ab!c", "Zz9_" * 9, "q" * 31, "=", "==", ".", "-", " ", "\n", "'", "é", "\U0001f600", "x", "@"]
+    rows = [(i, "".join(rng.choices(atoms, k=rng.randint(1, 14)))) for i in range(3000)]
+    for name in ("pass", "blob", "user", "endpoint"):
+        pattern, group = secret_scan.KINDS[name][:2]
+        assert secret_scan.SEARCHED[name] == pattern.replace("(?:^|[^", "(?<![") != pattern
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, found = secret_scan.parts(df)
+    got = Counter((r["id"], r["kind"], r["start"], r["end"]) for r in found.collect())
+    want, per_kind = Counter(), Counter()
+    for i, t in rows:
+        for k, (name, (pattern, group, counted, least, _)) in enumerate(secret_scan.KINDS.items()):
+            for m in re.finditer(pattern, t):
+                fine = all(re.search(c, m[1]) for c in secret_scan.MIXED) if name == "blob" else len(m[counted]) >= least
+                if fine:
+                    want[i, k, *m.span(group)] += 1
+                    per_kind[name] += 1
+    assert got == want and min(per_kind[name] for name in ("pass", "blob", "user", "endpoint")) > 100
+    # no pattern that is searched for consumes a boundary, which took ten times as long
+    assert not any("(?:^|" in pattern for pattern in secret_scan.SEARCHED.values())
+
+
 def test_credentials_are_linked_to_the_nearest_parts(spark):
     text = f"user=ann pwd=zz11 {KEY} secret=abcdefgh\nhost: one.example.com and more words here\nhost: two.example.com"
     _, found = secret_scan.parts(spark.createDataFrame([(1, text), (2, "user=ann host: h.example.com")], "doc_id long, text string"))

@@ -47,7 +47,7 @@ _NAME = re.compile(r"[a-z]+")
 #: Words at the start or the end of a name that make it speak of the page and not of its element ("has-sidebar").
 ABOUT, KINDS = frozenset("has with without no".split()), frozenset("page layout".split())
 #: Pages that must agree on a text before it counts as a constant; streams that one group aligns, about; cells of an
-#: exact alignment, beyond which the next equal group is taken; tasks that share the pages of a frequent stream.
+#: alignment's table that are held at once; tasks that share the pages of a frequent stream.
 AGREE, FAN, CELLS, SALTS = 5, 32, 4 << 20, 32
 #: Share of the richest container's text from which its siblings stay beside it.
 SIBLING = 0.2
@@ -178,62 +178,64 @@ def _offsets(items: list[Item]) -> list[int]:
     return out
 
 
-def _best(x: list[Item], y: list[Item], weight: np.ndarray) -> np.ndarray:
-    """The most weight of y that a common subsequence of x[i:] and y[j:] has, for all i and j."""
+def _best(x: list[Item], y: list[Item], weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The most weight of y that a common subsequence of x[i:] and y[j:] has, for all j: that of i and of i + 1, for
+    each i in order. Rows depend on those behind them; of a long table some are kept, and the rest of it is counted
+    again between them, so that memory has a bound and the length decides nothing."""
     number: dict[tuple[str, ...], int] = {}
     a, b = (np.array([number.setdefault(g[0], len(number)) for g in z], np.int64) for z in (x, y))
-    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        row = np.maximum(best[i + 1, :-1], np.where(b == a[i], best[i + 1, 1:] + weight, 0))
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    return best
+    weight = weight.astype(np.int32 if min(len(x), len(y)) * int(weight.max(initial=0)) < 2**31 else np.int64)
+
+    def before(i: int, behind: np.ndarray) -> np.ndarray:
+        row = np.maximum(behind[:-1], np.where(b == a[i], behind[1:] + weight, 0))
+        return np.append(np.maximum.accumulate(row[::-1])[::-1], behind[-1:])
+
+    def rows(lo: int, hi: int, behind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = hi - lo <= max(1, CELLS // len(behind))
+        parts = hi - lo if whole else min(hi - lo, max(2, CELLS // len(behind)))
+        ends = [lo + (hi - lo) * k // parts for k in range(1, parts + 1)]
+        kept, marks = {hi: behind}, set(ends)
+        for i in range(hi - 1, lo - 1 if whole else ends[0] - 1, -1):
+            behind = before(i, behind)
+            if whole or i in marks:
+                kept[i] = behind
+        for start, end in zip([lo, *ends], ends, strict=False):
+            if whole:
+                yield kept.pop(start), kept[end]
+            else:
+                yield from rows(start, end, kept.pop(end))
+
+    return rows(0, len(x), np.zeros(len(y) + 1, weight.dtype)) if x else iter(())
 
 
 def align(x: list[Item], y: list[Item]) -> list[Item]:
     """The expression that covers both: what they share stays, repeated if it is in either, and what only one has
     becomes optional. The groups of both are subsequences of it."""
-    if len(x) * len(y) > CELLS:
-        return _align_next(x, y)
-    best = _best(x, y, np.ones(len(y), np.int32))
     out: list[Item] = []
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            out.append((x[i][0], x[i][1] or y[j][1], x[i][2] or y[j][2]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append((x[i][0], x[i][1], True))
-            i += 1
-        else:
+    j = 0
+    for (group, more, maybe), (best, behind) in zip(x, _best(x, y, np.ones(len(y), np.int32)), strict=True):
+        while j < len(y) and group != y[j][0] and behind[j] < best[j + 1]:
             out.append((y[j][0], y[j][1], True))
             j += 1
-    return out
+        if j < len(y) and group == y[j][0]:
+            out.append((group, more or y[j][1], maybe or y[j][2]))
+            j += 1
+        else:
+            out.append((group, more, True))
+    return out + [(group, more, True) for group, more, _ in y[j:]]
 
 
-def _align_next(x: list[Item], y: list[Item], ahead: int = 64) -> list[Item]:
-    """The same for long expressions: a group of y meets the next equal one of x, if it is not far ahead."""
-    out: list[Item] = []
-    i = 0
-    for group, more, maybe in y:
-        k = next((k for k in range(i, min(i + ahead, len(x))) if x[k][0] == group), None)
-        if k is None:
-            out.append((group, more, True))
-        else:
-            out += [(g, m, True) for g, m, _ in x[i:k]]
-            out.append((group, more or x[k][1], maybe or x[k][2]))
-            i = k + 1
-    return out + [(g, m, True) for g, m, _ in x[i:]]
+#: The former way of long expressions; they are aligned like all others now.
+_align_next = align
 
 
 def match(stream: list[Item], expression: list[Item]) -> list[int]:
     """For each symbol of the stream its place: its number among the symbols of an expression that covers the stream.
     Of several ways the one that leaves out the fewest groups which are not optional."""
     offsets, out, j = _offsets(expression), [], 0
-    exact = len(stream) * len(expression) <= CELLS
-    weight = np.array([len(expression) + 1 + (not maybe) for _, _, maybe in expression], np.int32)
-    best = _best(stream, expression, weight) if exact else None
-    for i, (group, _, _) in enumerate(stream):
-        while expression[j][0] != group or (exact and best[i, j] != best[i + 1, j + 1] + weight[j]):
+    weight = np.array([len(expression) + 1 + (not maybe) for _, _, maybe in expression], np.int64)
+    for (group, _, _), (best, behind) in zip(stream, _best(stream, expression, weight), strict=True):
+        while expression[j][0] != group or best[j] != behind[j + 1] + weight[j]:
             j += 1
         out += range(offsets[j], offsets[j] + len(group))
         j += 1

@@ -34,6 +34,28 @@ def test_expressions_cover_every_stream():
     assert html_extract.folded(list("hpphppp"))[1] == [0, 1, 1, 0, 1, 1, 1]
 
 
+def test_long_expressions_are_aligned_like_short_ones(monkeypatch):
+    """How much of the table is held at once decides nothing: neither the expression nor the places."""
+    import random
+
+    rng = random.Random(4)
+
+    def drawn(n, kinds):
+        return [((f"s{rng.randrange(kinds)}",), rng.random() < 0.2, rng.random() < 0.3) for _ in range(n)]
+
+    # the next group that both have is 100 groups on: the former way for long expressions passed it over
+    far = [(("end",), False, False)]
+    pairs = [(drawn(rng.randrange(30), kinds), drawn(rng.randrange(30), kinds)) for kinds in (2, 5, 40) for _ in range(40)]
+    pairs.append(([((f"a{k}",), False, False) for k in range(100)] + far, far))
+    whole = [html_extract.align(x, y) for x, y in pairs]
+    places = [[html_extract.match(z, e) for z in pair] for pair, e in zip(pairs, whole, strict=True)]
+    assert [e.count(far[0]) for e in whole[-1:]] == [1] and len(whole[-1]) == 101
+    for cells in (200, 40, 7, 1):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        assert [html_extract.align(x, y) for x, y in pairs] == whole
+        assert [[html_extract.match(z, e) for z in pair] for pair, e in zip(pairs, whole, strict=True)] == places
+
+
 def test_many_streams_of_one_host(spark):
     """More streams than one group aligns: each has its own order of parts."""
     import random

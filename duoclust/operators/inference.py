@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.scalar import at_least
-from ..sources.io import materialised
+from ..sources.io import materialised, scratch
 
 
 #: Values of a permutation test, at most: they go to every task.
@@ -52,6 +53,11 @@ def feature_contrast(matrix: DataFrame, labels: DataFrame) -> DataFrame:
 
 #: Bits of a hash that one pass settles; rows of a block, about; shares that a group of one feature is dealt to.
 BITS, BLOCK_CELLS, SALTS = 4, 1 << 22, 16
+#: Of a permutation test: rows of a block, about, and replicates that its task takes at a time; cells of one step; cells
+#: around the ends of subsets that a task hands on for those replicates, at most.
+ROWS, REPS, STEP, CELLS = 1 << 16, 1 << 10, 1 << 17, 1 << 21
+#: How far from its expected place a subset may end: standard deviations, and rows.
+SIGMAS, SLACK = 6, 8
 _M32 = np.uint64(0xFFFFFFFF)
 
 
@@ -89,9 +95,13 @@ def thresholds(rows: DataFrame, replicates: int, size: int, draw: str = "md5") -
     BITS of it from each pass, which counts the rows below every value they can take; a task hands on one row for each
     replicate, however many rows it has."""
     at_least(1, replicates=replicates, size=size)
-    width, every = 1 << BITS, np.arange(replicates)
-    prefix, below, settled = np.zeros(replicates, np.uint64), np.zeros(replicates, np.int64), np.zeros(replicates, bool)
-    spark, last = rows.sparkSession, np.zeros(replicates, np.uint64)
+    return _thresholds(rows, np.arange(replicates), size, draw)
+
+
+def _thresholds(rows: DataFrame, every: np.ndarray, size: int, draw: str) -> np.ndarray:
+    width, n = 1 << BITS, len(every)
+    prefix, below, settled = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, bool)
+    spark, last, at = rows.sparkSession, np.zeros(n, np.uint64), {r: k for k, r in enumerate(every.tolist())}
     for bits in range(0, 64, BITS):
         shared, shift = spark.sparkContext.broadcast((every[~settled], prefix[~settled])), np.uint64(64 - bits - BITS)
 
@@ -108,12 +118,13 @@ def thresholds(rows: DataFrame, replicates: int, size: int, draw: str = "md5") -
 
         counted = rows.select("row").mapInArrow(count, ", ".join(["rep long", *(f"c{k} long" for k in range(width))]))
         for r in counted.groupBy("rep").agg(*(F.sum(f"c{k}") for k in range(width))).toLocalIterator():
-            upto = below[r[0]] + np.cumsum(np.array(r[1:], np.int64))
+            i, counts = at[r[0]], np.array(r[1:], np.int64)
+            upto = below[i] + np.cumsum(counts)
             k = int(np.searchsorted(upto, size))
-            prefix[r[0]] = (prefix[r[0]] << np.uint64(BITS)) | np.uint64(k)
-            below[r[0]] = upto[k - 1] if k else below[r[0]]
-            settled[r[0]] = upto[k] == size
-            last[r[0]] = (prefix[r[0]] << shift) | np.uint64((1 << int(shift)) - 1)
+            prefix[i] = (prefix[i] << np.uint64(BITS)) | np.uint64(k)
+            below[i] = upto[k - 1] if k else below[i]
+            settled[i] = upto[k] == size
+            last[i] = (prefix[i] << shift) | np.uint64((1 << int(shift)) - 1)
         if settled.all():
             break
     return last
@@ -155,31 +166,170 @@ def random_subsets(rows: DataFrame, replicates: int, size: int) -> DataFrame:
     return marked.mapInArrow(spread, StructType([StructField("rep", IntegerType()), marked.schema["row"]]))
 
 
+def _words(rows: pa.Array, replicates: np.ndarray, draw: str) -> Iterator[tuple[slice, slice, np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]]:
+    """(replicates, rows, words, numbers) of steps that a core's cache holds. words, a line for each replicate: numbers of
+    _drawn() by their upper 32 bits, but for the last mixing step of "counter", which leaves the upper 16 as they are;
+    numbers() gives those of some cells (line, column) whole."""
+    across = min(len(rows), 1 << 13)
+    down = max(1, STEP // across)
+    if draw == "counter":
+        whole = np.asarray(rows.cast(pa.int64())).view(np.uint64)
+        first = [(x ^ (x >> np.uint64(16))).astype(np.uint32) for x in (_fmix(whole & _M32), _fmix(replicates.astype(np.uint64) + np.uint64(1)))]
+        word, spare = np.empty((2, down, across), np.uint32)
+    for i in range(0, len(rows), across):
+        for j in range(0, len(replicates), down):
+            at, of = slice(j, j + down), slice(i, i + across)
+            if draw == "counter":
+                a, b = first[0][of], first[1][at, None]
+                y, z = word[: len(b), : len(a)], spare[: len(b), : len(a)]
+                np.bitwise_xor(a, b, out=y)
+                np.multiply(y, np.uint32(0x85EBCA6B), out=y)
+                np.right_shift(y, np.uint32(13), out=z)
+                np.bitwise_xor(y, z, out=y)
+                np.multiply(y, np.uint32(0xC2B2AE35), out=y)
+
+                def numbers(line: np.ndarray, column: np.ndarray, y=y, high=whole[of] >> np.uint64(32)) -> np.ndarray:
+                    top = y[line, column].astype(np.uint64)
+                    top ^= top >> np.uint64(16)
+                    return (top << np.uint64(32)) | _fmix(high[column] ^ top)
+            else:
+                h = _drawn(rows[of], replicates[at], draw).T
+                y, numbers = np.ascontiguousarray((h >> np.uint64(32)).astype(np.uint32)), lambda line, column, h=h: h[line, column]
+            yield at, of, y, numbers
+
+
+def _below(words: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are under the bound of their line, and how many in each."""
+    less = np.zeros((len(words), -(-words.shape[1] // 64) * 64), bool)
+    np.less(words, bound[:, None], out=less[:, : words.shape[1]])
+    return less[:, : words.shape[1]], np.bitwise_count(np.packbits(less, axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def _least_sums(x: DataFrame, n: int, replicates: int, size: int, draw: str) -> DataFrame:
+    """(rep, s): the sum of v over the `size` rows (fewer than the n there are) of least number in each replicate, in two
+    passes; null where a replicate's numbers are not spread evenly enough for that.
+
+    The first pass counts the numbers under one bound that is the same for all. So it is known within a few rows where
+    each replicate's subset ends: the second pass adds up what is safely inside, and hands on the cells around the end,
+    which are settled by their order. Blocks of rows meet ranges of replicates, so that few rows have many tasks, too."""
+    spark, blocks = x.sparkSession, -(-n // ROWS)
+    parts = -(-replicates // REPS)
+    groups = min(parts, -(-4 * spark.sparkContext.defaultParallelism // blocks))
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    packed = materialised(x.groupBy(block).agg(F.collect_list(F.struct("row", "v")).alias("x")), "blocks")
+    task = (F.col("block") * groups + F.col("group")).cast("int").alias("task")
+    cells = packed.crossJoin(F.broadcast(spark.range(groups).select(F.col("id").alias("group")))).select(task, "group", "x").repartitionById(blocks * groups, "task")
+    even = np.uint64(min(int(size / n * 65536), 65535) << 16)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, int, np.ndarray]]:
+        """(rows, values, part, replicates) of a task, rows in their order."""
+        for batch in batches:
+            for k, group in enumerate(batch.column("group").to_pylist()):
+                both = batch.column("x")[k].values
+                row, v = both.field("row"), both.field("v")
+                order = pc.sort_indices(row)
+                for part in range(group, parts, groups):
+                    yield row.take(order), np.asarray(v.take(order)), part, np.arange(part * REPS, min(replicates, (part + 1) * REPS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, part, reps in held(batches):
+            found = np.zeros(len(reps), np.int64)
+            for at, _, words, _ in _words(rows, reps, draw):
+                found[at] += _below(words, np.full(len(words), even, np.uint32))[1]
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [found.tolist()]}, pa.schema([("part", pa.int32()), ("n", pa.list_(pa.int64()))]))
+
+    each = cells.mapInArrow(count, "part int, n array<long>").select("part", F.posexplode("n").alias("k", "n")).groupBy("part", "k").agg(F.sum("n").alias("n"))
+    found = each.select((F.col("part") * REPS + F.col("k")).alias("rep"), "n").toArrow()  # a row for each replicate
+    off = np.zeros(replicates)
+    off[np.asarray(found["rep"])] = size - np.asarray(found["n"])
+    slack = SIGMAS * np.sqrt(np.abs(off) + 1) + SLACK
+    edges = [np.clip(np.floor((int(even) + (off + side * slack) / n * 2**32) / 65536) + (side > 0), 0, 65536).astype(np.int64) << 16 for side in (-1, 1)]
+    low = np.minimum(edges[0], (1 << 32) - (1 << 16))
+    shared = spark.sparkContext.broadcast((low.astype(np.uint32), (np.maximum(edges[1], low + (1 << 16)) - 1 - low).astype(np.uint32)))
+    kind = pa.schema([("part", pa.int32()), ("whole", pa.bool_()), *((c, pa.binary()) for c in ("n", "s", "rep", "number", "v"))])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, v, part, reps in held(batches):
+            n, s, cells, whole = np.zeros(len(reps), np.int64), np.zeros(len(reps)), [], 0
+            low, width = (b[reps[0] : reps[-1] + 1] for b in shared.value)
+            for at, of, words, numbers in _words(rows, reps, draw):
+                less, more = _below(words, low[at])
+                n[at] += more
+                s[at] += less.astype(np.float64) @ v[of]
+                if whole <= CELLS:
+                    line, column = np.divmod(np.flatnonzero(words - low[at, None] <= width[at, None]), words.shape[1])
+                    cells.append(((line + at.start).astype(np.int32), numbers(line, column), v[of][column]))
+                    whole += len(line)
+            cells = cells if whole <= CELLS else cells[:0]
+            rep, number, value = (np.concatenate([c[k] for c in cells] or [np.zeros(0, t)]) for k, t in enumerate((np.int32, np.uint64, np.float64)))
+            yield pa.RecordBatch.from_pydict({"part": [part], "whole": [whole <= CELLS], "n": [n.tobytes()], "s": [s.tobytes()], "rep": [rep.tobytes()], "number": [number.tobytes()], "v": [value.tobytes()]}, kind)
+
+    def settled(part: int, rows: list[dict]) -> pa.RecordBatch:
+        joined = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
+        n, s = (np.sum([np.frombuffer(r[c], t) for r in rows], axis=0) for c, t in (("n", np.int64), ("s", np.float64)))
+        rep, number, v = joined("rep", np.int32), joined("number", np.uint64), joined("v", np.float64)
+        order = np.lexsort((number, rep))
+        rep, number, v = rep[order], number[order], v[order]
+        have = np.bincount(rep, minlength=len(n))
+        left, end = size - n, np.cumsum(have)
+        fine = (left >= 1) & (left <= have) & all(r["whole"] for r in rows)
+        last = np.zeros(len(n), np.uint64)
+        last[fine] = number[(end - have + left - 1)[fine]]
+        inside = fine[rep] & (number <= last[rep])
+        s = s + np.bincount(rep[inside], v[inside], len(n))
+        return pa.RecordBatch.from_arrays([pa.array(part * REPS + np.arange(len(n))), pa.array(s, mask=~fine)], ["rep", "s"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != part and rows:
+                    yield settled(part, rows)
+                    rows = []
+                part = r["part"]
+                rows.append(r)
+        if rows:
+            yield settled(part, rows)
+
+    ends = cells.mapInArrow(gather, "part int, whole boolean, n binary, s binary, rep binary, number binary, v binary")
+    tasks = min(parts, 4 * spark.sparkContext.defaultParallelism)
+    return ends.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part", "n", "s").mapInArrow(settle, "rep long, s double")
+
+
 def permutation_by_hash(df: DataFrame, value: str, first: str, replicates: int, draw: str = "md5") -> DataFrame:
     """One row (observed, exceedances, permutations, p, is_lower_bound) for the difference of two means, for any number of
-    rows and replicates: replicates draw the first side as subset_masks() does, and a task hands on one sum for each. p is
-    (exceedances + 1) / (permutations + 1). df has (row, value, first), first a boolean. ValueError without values on a
-    side."""
-    x = df.select("row", F.col(value).cast("double").alias("v"), F.col(first).alias("one"))
-    n1, n, s1, total = x.agg(F.count_if("one"), F.count("*"), F.sum(F.when(F.col("one"), F.col("v"))), F.sum("v")).first()
-    if not n1 or n1 == n:
-        raise ValueError("both sides need values")
-    n2, every = n - n1, np.arange(replicates)
-    observed = abs(s1 / n1 - (total - s1) / n2)
-    shared = df.sparkSession.sparkContext.broadcast(thresholds(x, replicates, n1, draw))
+    rows and replicates: replicates draw the first side as subset_masks() does. p is (exceedances + 1) / (permutations +
+    1). df has (row, value, first), first a boolean. ValueError without values on a side."""
+    at_least(1, replicates=replicates)
+    with scratch():
+        x = materialised(df.select("row", F.col(value).cast("double").alias("v"), F.col(first).alias("one")), "panel")
+        n1, n, s1, total = x.agg(F.count_if("one"), F.count("*"), F.sum(F.when(F.col("one"), F.col("v"))), F.sum("v")).first()
+        if not n1 or n1 == n:
+            raise ValueError("both sides need values")
+        n2 = n - n1
+        observed = abs(s1 / n1 - (total - s1) / n2)
+        hit = F.abs(F.col("s") * (1 / n1 + 1 / n2) - total / n2) >= observed - 1e-9
+        summed = _least_sums(x.select("row", "v"), n, replicates, n1, draw)
+        exceedances, left = summed.agg(F.count_if(hit), F.collect_list(F.when(F.col("s").isNull(), F.col("rep")))).first()
+        if left:
+            exceedances += _sums_by_threshold(x, np.array(sorted(left)), n1, draw).agg(F.count_if(hit)).first()[0]
+    p = (exceedances + 1) / (replicates + 1)
+    return df.sparkSession.range(1).select(F.lit(observed).alias("observed"), F.lit(exceedances).cast("long").alias("exceedances"), F.lit(replicates).alias("permutations"), F.lit(p).alias("p"), F.lit(exceedances == 0).alias("is_lower_bound"))
+
+
+def _sums_by_threshold(x: DataFrame, every: np.ndarray, size: int, draw: str) -> DataFrame:
+    """(rep, s) of _least_sums() for any numbers, for the replicates of `every`; a task hands on one sum for each."""
+    shared = x.sparkSession.sparkContext.broadcast(_thresholds(x, every, size, draw))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(replicates)
+        out = np.zeros(len(every))
         for batch in batches:
             v = np.asarray(batch.column("v"))
             for i, j, h in _blocks(batch.column("row"), every, draw):
                 out[j] += v[i] @ (h <= shared.value[j])
         yield pa.RecordBatch.from_pydict({"rep": every, "s": out})
 
-    summed = x.select("row", "v").mapInArrow(sums, "rep long, s double").groupBy("rep").agg(F.sum("s").alias("s"))
-    hit = F.abs(F.col("s") * (1 / n1 + 1 / n2) - total / n2) >= observed - 1e-9
-    hits = summed.agg(F.count_if(hit).alias("exceedances"))
-    return hits.select(F.lit(observed).alias("observed"), "exceedances", F.lit(replicates).alias("permutations"), ((F.col("exceedances") + 1) / (replicates + 1)).alias("p"), (F.col("exceedances") == 0).alias("is_lower_bound"))
+    return x.select("row", "v").mapInArrow(sums, "rep long, s double").groupBy("rep").agg(F.sum("s").alias("s"))
 
 
 def half_sample_importance(matrix: DataFrame, labels: DataFrame, replicates: int) -> DataFrame:

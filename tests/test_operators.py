@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,41 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _panel(spark, rows, values):
+    one = [k % 3 == 0 for k in range(len(rows))]
+    df = spark.createDataFrame(list(zip(rows, values, one, strict=True)), "row long, v double, one boolean")
+    return df, one
+
+
+def _counter_exceedances(rows, v, one, replicates):
+    n1, n2, hits = sum(one), len(one) - sum(one), 0
+    seen = abs(v[one].mean() - v[~one].mean())
+    for k in range(replicates):
+        h = inference._drawn(pa.array(rows), np.array([k]), "counter")[:, 0]
+        s = v[h <= np.sort(h)[n1 - 1]].sum()
+        hits += abs(s * (1 / n1 + 1 / n2) - v.sum() / n2) >= seen - 1e-9
+    return hits
+
+
+@pytest.mark.parametrize("rows", [list(range(6)), [3 * k + 7 for k in range(3000)], [k << 40 for k in range(70)], [-k for k in range(500)]])
+def test_permutations_are_those_of_sorted_numbers(spark, rows):
+    """Few rows, many, rows whose numbers agree in their upper halves, and rows under zero."""
+    v = np.random.default_rng(len(rows)).normal(0, 1, len(rows))
+    df, one = _panel(spark, rows, v.tolist())
+    got = inference.permutation_by_hash(df, "v", "one", 1500, draw="counter").first()
+    assert got["exceedances"] == _counter_exceedances(rows, v, np.array(one), 1500)
+
+
+def test_few_rows_have_many_tasks_in_a_permutation_test(spark, monkeypatch):
+    """One partition of rows is not one task of all replicates, and blocks of rows add up."""
+    rows = list(range(2000))
+    v = np.random.default_rng(1).normal(0, 1, len(rows))
+    df, one = _panel(spark, rows, v.tolist())
+    seen = []
+    plain = type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, c: seen.append(n) or plain(self, n, c))
+    monkeypatch.setattr(inference, "ROWS", 300)
+    got = inference.permutation_by_hash(df.coalesce(1), "v", "one", 3000, draw="counter").first()
+    assert got["exceedances"] == _counter_exceedances(rows, v, np.array(one), 3000) and seen[0] >= 14

@@ -229,3 +229,46 @@ def test_lloyd_steps_and_many_starts(spark):
     assert price(got) <= 1.001 * price(kernels.kmeans(x, 0))
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)] + [(9, None)], "id long, v array<double>")
     assert {r["label"] for r in lloyd.kmeans(same, "v", "id", [0]).where("v IS NOT NULL").collect()} == {0}
+
+
+@pytest.mark.parametrize(("model", "n", "width"), [("multinomial", 1, 2), ("binomial", 2, 3)])
+def test_sweep_in_blocks_finds_what_the_kernels_find(spark, model, n, width):
+    """Windows over three blocks, some without labels, against one matrix in memory; descents that outlast KEEP."""
+    from duoclust.operators import blocks
+    from duoclust.plans import benchmarks
+
+    rng = np.random.default_rng(7)
+    size, top = 2 * blocks.ROWS + 400, 9
+    side = (np.arange(size) // 150) % 2
+    docs = [[f"w{int(v)}" for v in (rng.geometric(0.25, rng.integers(0, 5)) + 2 * k) % 14] for k in side]
+    labelled = [i for i in range(size) if i % 97]
+    df = spark.createDataFrame([(0, i, size, d) for i, d in enumerate(docs)], "key int, seq long, n_docs long, toks array<string>")
+    labels = spark.createDataFrame([(i, int(side[i])) for i in labelled], "row long, label int")
+    got = benchmarks.text_sweep(df, labels, [n], [width], [top], restarts=3, iterations=40, model=model, kmeans_starts=6).collect()
+
+    spans = benchmarks.text.ngram_spans(df, n)
+    ranked = benchmarks.text.ranked_by_width(benchmarks.text.counts_by_width(spans, [width]), top)
+    names = {tuple(r["feature"]): k for k, r in enumerate(ranked.select("feature").orderBy(F.xxhash64("feature")).collect())}
+    x = np.zeros((size, top))
+    for r in spans.collect():
+        if (k := names.get(tuple(r["feature"]))) is not None:
+            x[max(0, r["de"] - width + 1) : min(size - 1, r["ds"] + width) + 1, k] += 1
+    rows = np.array([i for i in labelled if x[i].any()])
+    r, c = np.nonzero(x[rows])
+    sparse = kernels.Sparse(r, c, x[rows][r, c], (len(rows), top))
+    best = kernels.partition(sparse, model, 3, 40)
+    assert len(got) == 1 and (got[0]["n_samples"], got[0]["n_features"]) == (len(rows), top) and best["n_iter"] > blocks.KEEP
+    assert (got[0]["optimizer_iterations"], got[0]["optimizer_success"]) == (best["n_iter"], best["success"])
+    assert got[0]["information_loss"] == pytest.approx(best["loss"], rel=1e-9)
+    assert got[0]["information_mcc"] == pytest.approx(kernels.normalized_mcc(side[rows], best["labels"]), abs=1e-9)
+    assert got[0]["kmeans_mcc"] == pytest.approx(kernels.normalized_mcc(side[rows], kernels.sparse_kmeans(sparse, 0, 6)), abs=1e-9)
+
+
+def test_blocks_bound_what_a_task_holds(spark):
+    from duoclust.operators import blocks
+
+    size = 3 * blocks.ROWS
+    entries = spark.createDataFrame([(b, i, i, size, [0], None) for i in range(size) for b in {max(0, i - 1) // blocks.ROWS, min(size - 1, i + 2) // blocks.ROWS}] + [(i // blocks.ROWS, i, None, None, None, 1) for i in range(size)], "block int, ds long, de long, n_docs long, cols array<int>, label long")
+    found = blocks.counted(entries, [(0, 2, 1)]).collect()
+    assert {r["block"]: len(r["truth"]) // 8 for r in found} == {0: blocks.ROWS, 1: blocks.ROWS, 2: blocks.ROWS}
+    assert sum(int(np.frombuffer(r["x"], r["kind"]).sum()) for r in found) == sum(min(size - 1, i + 2) - max(0, i - 1) + 1 for i in range(size))

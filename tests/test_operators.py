@@ -281,3 +281,28 @@ def test_few_rows_have_many_tasks_in_a_permutation_test(spark, monkeypatch):
     monkeypatch.setattr(inference, "ROWS", 300)
     got = inference.permutation_by_hash(df.coalesce(1), "v", "one", 3000, draw="counter").first()
     assert got["exceedances"] == _counter_exceedances(rows, v, np.array(one), 3000) and seen[0] >= 14
+
+
+@pytest.mark.parametrize("odd", [None, "\0", "a b"])
+def test_sweep_counts_are_those_of_all_spans(spark, odd):
+    """Windows wider and narrower than the sequence, empty documents, n-grams over several documents, any tokens."""
+    rng = random.Random(5)
+    docs = [[rng.choice(["a", "b", "c", odd or "d"]) for _ in range(rng.choice([0, 1, 1, 2, 5, 9]))] for _ in range(70)]
+    df = sequence(spark, docs)
+    for widths, top in (([2, 3], 6), ([4, 1, 9], 1000), ([80], 3)):
+        got = sorted(tuple(r) for r in benchmarks.sweep_counts(df, [1, 2, 4], widths, top).collect())
+        want = []
+        for n in (1, 2, 4):
+            counts = text.counts_by_width(text.ngram_spans(df, n), widths).collect()
+            for w in widths:
+                mine = sorted((-r["cnt"], r["first"], r["feature"]) for r in counts if r["width"] == w)
+                want += [(n, w, f, -c, k, len(mine), -sum(m[0] for m in mine)) for k, (c, _, f) in enumerate(mine[:top], 1)]
+        assert got == sorted(want)
+
+
+def test_inner_ngrams_and_the_others_are_all_spans(spark):
+    df = sequence(spark, [list("abcab"), [], list("b"), list("ca"), list("abcabcab"), list("c"), list("ab"), list("cc")] * 3)
+    for n in (1, 2, 3):
+        parts = text.ngram_spans(df, n, near=3, block=4).select("feature", "place").union(text.inner_ngrams(df, n, 3))
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, text.ngram_spans(df, n).select("feature", "place").collect()))
+        assert text.ngram_spans(df, n, near=3).count() < text.ngram_spans(df, n).count()
